@@ -43,30 +43,33 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long").alias("n_shouts"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
 def rules() -> dict[str, Column]:
-    """The default rules over features(): each votes good, bad or abstains."""
+    """The default rules over features(): each votes good (1), bad (-1) or abstains (0).
+
+    Failures vote bad and their absence abstains; two rules vote for prose.
+    """
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     symbols, upper, mean = F.col("n_symbols") / chars, F.col("n_upper") / chars, F.col("word_chars") / words
     repeat, shouts = F.col("n_repeat_words") / words, F.col("n_shouts") / words
     fresh = F.col("n_distinct") / words
+    letters, lines = F.col("n_letters") / chars, F.greatest("n_lines", F.lit(1))
+    long = F.col("n_words") >= 30
     return {
-        "v_symbols": _vote(symbols > 0.08, symbols < 0.01),
-        "v_upper": _vote(upper > 0.4, upper < 0.15),
-        "v_shouts": _vote(shouts > 0.3, shouts < 0.05),
-        "v_repeat": _vote(repeat > 0.2, (repeat < 0.05) & (F.col("n_words") >= 30)),
-        "v_lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), (F.col("n_dup_lines") == 0) & (F.col("n_lines") >= 3)),
-        "v_fresh": _vote((fresh < 0.08) & (F.col("n_words") >= 30), (fresh > 0.25) & (F.col("n_words") >= 30)),
-        "v_mean": _vote((mean < 2) | (mean > 14), (mean > 3) & (mean < 10)),
-        "v_length": _vote(F.col("n_words") < 10, F.col("n_words") >= 40),
+        "v_symbols": F.when(symbols > 0.05, -1).otherwise(0),
+        "v_letters": F.when(long & (letters < 0.85), -1).when(letters > 0.92, 1).otherwise(0),
+        "v_upper": F.when(upper > 0.4, -1).otherwise(0),
+        "v_shouts": F.when(shouts > 0.3, -1).otherwise(0),
+        "v_repeat": F.when(long & (repeat > 0.2), -1).otherwise(0),
+        "v_fresh": F.when(long & (fresh < 0.1), -1).otherwise(0),
+        "v_lines": F.when(F.col("n_dup_lines") > 0.3 * lines, -1).otherwise(0),
+        "v_mean": F.when((mean < 2) | (mean > 14), -1).otherwise(0),
+        "v_prose": F.when(long & (repeat < 0.05) & (symbols < 0.02) & (upper < 0.15), 1).otherwise(0),
     }
 
 

@@ -15,46 +15,34 @@ def pattern_counts(votes: DataFrame, rules: list[str]) -> list[tuple[tuple[int,
     return sorted((tuple(int(r[k]) for k in rules), r["count"]) for r in rows)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60, prior: float = 0.8) -> dict:
-    """Expectation-maximisation over vote patterns.
-
-    Each rule has, for either class, the probability of a good vote where it
-    votes at all; an abstention says nothing. Starts from rules that are right
-    nine times in ten, so that the classes keep their meaning. Returns the
-    share of good rows, each rule's log-likelihood ratio by vote, and each
-    rule's accuracy where it votes. No rows: the starting weights.
+def _good(votes, weights: list[float], prior: float) -> float:
+    odds = math.log(prior / (1 - prior)) + sum(v * w for v, w in zip(votes, weights, strict=True))
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 60, prior: float = 0.5, start: float = 0.8) -> dict:
+    """Expectation-maximisation over vote patterns, with one accuracy a rule.
+
+    A vote is right with its rule's accuracy; an abstention says nothing. The
+    class balance stays at ``prior``. Accuracies stay between 0.5 and 0.99, so
+    that the classes keep their meaning. No rows: the starting accuracies.
     """
-    total = sum(n for _, n in patterns)
-    start = {1: (0.9, 0.1), -1: (0.1, 0.9)}
-    like = [{v: list(start[v]) for v in (1, -1)} for _ in range(n_rules)]
-    for _ in range(rounds if total else 0):
-        mass = [[{1: 0.5, -1: 0.5} for _ in range(2)] for _ in range(n_rules)]
-        good = 0.0
+    accuracy = [start] * n_rules
+    for _ in range(rounds if patterns else 0):
+        weights = [math.log(a / (1 - a)) for a in accuracy]
+        right, cast = [start] * n_rules, [1.0] * n_rules
         for votes, n in patterns:
-            p = _posterior(votes, like, prior)
-            good += n * p
+            p = _good(votes, weights, prior)
             for j, v in enumerate(votes):
                 if v:
-                    mass[j][0][v] += n * p
-                    mass[j][1][v] += n * (1 - p)
-        prior = min(max(good / total, 1e-3), 1 - 1e-3)
-        for j in range(n_rules):
-            for c in range(2):
-                s = sum(mass[j][c].values())
-                for v in (1, -1):
-                    like[j][v][c] = mass[j][c][v] / s
-    ratio = [{v: math.log(like[j][v][0] / like[j][v][1]) for v in (1, -1)} for j in range(n_rules)]
-    right = [(prior * like[j][1][0] + (1 - prior) * like[j][-1][1]) / max(1e-12, sum(prior * like[j][v][0] + (1 - prior) * like[j][v][1] for v in (1, -1))) for j in range(n_rules)]
-    return {"prior": prior, "ratio": ratio, "accuracy": right}
-
-
-def _posterior(votes, like, prior: float) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(math.log(like[j][v][0] / like[j][v][1]) for j, v in enumerate(votes) if v)
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+                    right[j] += n * (p if v > 0 else 1 - p)
+                    cast[j] += n
+        accuracy = [min(0.99, max(0.5, r / c)) for r, c in zip(right, cast, strict=True)]
+    return {"prior": prior, "accuracy": accuracy, "weights": [math.log(a / (1 - a)) for a in accuracy]}
 
 
 def posterior(model: dict, rules: list[str]) -> Column:
     """Probability that a row is good, from its vote columns."""
     odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    terms = [F.when(F.col(k) > 0, model["ratio"][j][1]).when(F.col(k) < 0, model["ratio"][j][-1]).otherwise(0.0) for j, k in enumerate(rules)]
+    terms = [F.col(k).cast("double") * w for k, w in zip(rules, model["weights"], strict=True)]
     return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, odds)))
