@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality_rules
+from . import decontaminate, language, licenses, pii, quality_model, quality_rules
 from .common import table
 
 
@@ -25,7 +25,26 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op4_pii)}
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = quality_model.score(docs.select("doc_id", "text"), quality_model.train(docs))
+    return rated.select("doc_id", F.round("quality_score", 6).alias("score"), (F.col("quality_score") >= 0.5).alias("kept"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out), "doc_id", "text", "lang")
+    found = language.predict(docs, model)
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op4_pii, op5_quality_model, op6_licenses, op7_language)}
 
 ORACLE: dict[str, str] = {
     "op2_decontaminate": r"""
