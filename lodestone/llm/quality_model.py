@@ -38,13 +38,12 @@ def _vectors(batches):
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """Logistic regression on soft labels by gradient descent, classes weighted alike."""
+    """Logistic regression on soft labels by gradient descent."""
     rows = rows.sort_values(["p", "x"], kind="stable")
     x, p = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), -1), rows["p"].to_numpy()
     p, w, b = p.astype(np.float32), np.zeros(x.shape[1], np.float32), np.float32(0)
-    each = p / max(p.sum(), 1e-9) + (1 - p) / max((1 - p).sum(), 1e-9)
     for _ in range(STEPS):
-        miss = (1 / (1 + np.exp(-(x @ w + b))) - p) * each
+        miss = (1 / (1 + np.exp(-(x @ w + b))) - p) / len(p)
         w -= RATE * (x.T @ miss + DECAY * w)
         b -= RATE * miss.sum()
     return pd.DataFrame({"w": [np.append(w, b).astype(np.float64).tobytes()]})

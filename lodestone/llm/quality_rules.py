@@ -52,7 +52,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def rules() -> dict[str, Column]:
     """The default rules over features(): each votes good (1), bad (-1) or abstains (0).
 
-    Failures vote bad and their absence abstains; one rule votes for prose.
+    Failures vote bad and their absence abstains; two rules vote for prose.
     """
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     symbols, upper, mean = F.col("n_symbols") / chars, F.col("n_upper") / chars, F.col("word_chars") / words
@@ -62,7 +62,7 @@ def rules() -> dict[str, Column]:
     long = F.col("n_words") >= 30
     return {
         "v_symbols": F.when(symbols > 0.05, -1).otherwise(0),
-        "v_letters": F.when(long & (letters < 0.85), -1).otherwise(0),
+        "v_letters": F.when(long & (letters < 0.85), -1).when((letters > 0.92) & (repeat < 0.2), 1).otherwise(0),
         "v_upper": F.when(upper > 0.4, -1).otherwise(0),
         "v_shouts": F.when(shouts > 0.3, -1).otherwise(0),
         "v_repeat": F.when(long & (repeat > 0.2), -1).otherwise(0),

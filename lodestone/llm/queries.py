@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, pii, quality_model, quality_rules
+from . import decontaminate, language, licenses, pieces, pii, quality_model, quality_rules, wrappers
 from .common import table
 
 
@@ -44,7 +44,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op4_pii, op5_quality_model, op6_licenses, op7_language)}
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.array_join("ids", " "), 256)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), digest.alias("ids_sha256"), "round_trip")
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op4_pii, op5_quality_model, op6_licenses, op7_language, op9_pieces, op10_main_text)}
 
 ORACLE: dict[str, str] = {
     "op2_decontaminate": r"""
