@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, pieces, pii, quality_model, quality_rules, wrappers
+from . import decontaminate, language, licenses, near_duplicates, pieces, pii, quality_model, quality_rules, substrings, wrappers
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.pseudonymise(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
@@ -44,6 +48,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.link(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pieces.encode(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.array_join("ids", " "), 256)
@@ -54,7 +62,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op4_pii, op5_quality_model, op6_licenses, op7_language, op9_pieces, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_substrings, op4_pii, op5_quality_model, op6_licenses, op7_language, op8_near_duplicates, op9_pieces, op10_main_text)}
 
 ORACLE: dict[str, str] = {
     "op2_decontaminate": r"""
