@@ -3,8 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from lodestone.llm import decontaminate, near_duplicates, pieces, pii, quality_model
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids``; a null id is an id like any other."""
+    ids = ids.select(F.col("doc_id").alias("__id"))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    rated = quality_model.score(docs, quality_model.train(docs), out_col="__score")
+    return rated.where("__score >= 0.5").select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return _only(docs, near_duplicates.link(docs).where("kept"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _only(docs, found.where(F.size("hits") == 0))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data."""
+    done = pii.pseudonymise(docs).select(*docs.columns)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with the scores of its best segmentations."""
+    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), "round_trip")
+
+
+STAGES = [("quality", quality), ("near_duplicates", distinct), ("decontamination", decontaminated), ("pii", pseudonyms), ("pieces", encoded)]
+#: EM, minimum hashes and the piece lattice have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
