@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, let, small
+from .common import alnum_words, cut, small
 
 WINDOW = 10
 #: Item words kept together; longer items are cut into segments that overlap by a window.
@@ -33,15 +33,12 @@ def leads(parts: DataFrame, counts: DataFrame) -> DataFrame:
     Returns (seg, item_id, width, words, windows array<struct<k, a, b>>). A
     window with a term that the corpus lacks cannot occur and is left out.
     """
-    terms = parts.select("seg", F.posexplode("words").alias("o", "term")).join(counts, "term")
-    freq = terms.groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("o", "n"))).alias("freq"))
-    have = parts.join(freq, "seg").where(F.size("freq") > 0)
-    by_offset = F.map_from_arrays(F.transform("freq", lambda x: x["o"]), F.transform("freq", lambda x: x["n"]))
-    have = have.select("seg", "item_id", "width", "words", F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.element_at(by_offset, i)).alias("n"))
-    ranked = lambda k: F.sort_array(F.transform(F.sequence(k, k + F.col("width") - 1), lambda o: F.struct(F.get("n", o).alias("n"), o.alias("o"))))
-    windows = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("width")), lambda k: let(ranked(k), lambda r: F.struct(k.alias("k"), F.get(r, 0)["n"].alias("least"), F.get(r, 0)["o"].alias("a"), F.coalesce(F.get(r, 1)["o"], F.get(r, 0)["o"]).alias("b"))))
-    have = have.withColumn("windows", F.filter(windows, lambda w: w["least"].isNotNull()))
-    return have.where(F.size("windows") > 0).select("seg", "item_id", "width", "words", "windows")
+    terms = parts.select("seg", "width", F.size("words").alias("len"), F.posexplode("words").alias("o", "term")).join(counts, "term")
+    over = F.sequence(F.greatest(F.lit(0), F.col("o") - F.col("width") + 1), F.least(F.col("o"), F.col("len") - F.col("width")))
+    each = terms.select("seg", "width", F.explode(over).alias("k"), F.struct("n", "o").alias("x"))
+    ranked = each.groupBy("seg", "width", "k").agg(F.sort_array(F.collect_list("x")).alias("x")).where(F.size("x") == F.col("width"))
+    heads = F.struct("k", F.get("x", 0)["o"].alias("a"), F.coalesce(F.get("x", 1)["o"], F.get("x", 0)["o"]).alias("b"))
+    return parts.join(ranked.groupBy("seg").agg(F.collect_list(heads).alias("windows")), "seg").select("seg", "item_id", "width", "words", "windows")
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
