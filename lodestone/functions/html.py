@@ -76,23 +76,29 @@ def _clean(parts: list[str]) -> str:
     return "\n".join(out).strip()
 
 
-@F.pandas_udf("string")
-def html_to_text(pages: pd.Series) -> pd.Series:
-    """Visible text of each page, a line a block; null counts as empty."""
+def _texts(pages: pd.Series) -> pd.Series:
     return pages.fillna("").map(lambda page: _clean(_Reader(page).parts))
 
 
+def html_to_text(page: Column) -> Column:
+    """Visible text of each page, a line a block; null counts as empty."""
+    return F.pandas_udf(_texts, "string")(page)
+
+
 def text_of(value: Column) -> Column:
     """Text of a value that may be markup: parsed only if it holds something like a tag."""
     return F.when(value.rlike(r"(?i)</?[a-z][^>]*>"), html_to_text(value)).otherwise(F.coalesce(value, F.lit("")))
 
 
-@F.pandas_udf("array<struct<pos:int,link:string,title:string>>")
-def listing_links(pages: pd.Series) -> pd.Series:
-    """Links of each page in order, with their texts."""
+def _links(pages: pd.Series) -> pd.Series:
     return pages.fillna("").map(lambda page: [{"pos": i, "link": a, "title": t} for i, (a, t) in enumerate(_Reader(page).links)])
 
 
+def listing_links(page: Column) -> Column:
+    """Links of each page in order, with their texts."""
+    return F.pandas_udf(_links, "array<struct<pos:int,link:string,title:string>>")(page)
+
+
 def _posting(node):
     """The first job posting of a JSON-LD value, through arrays and graphs."""
     if isinstance(node, list):
@@ -118,10 +124,15 @@ def _name(value) -> str | None:
     return str(value.get("name") or "") or None if isinstance(value, dict) else str(value) if value else None
 
 
-@F.pandas_udf("struct<title:string,description:string,company:string,location:string,work_mode:string,date_posted:string,valid_through:string,error:string>")
-def details(pages: pd.Series) -> pd.DataFrame:
+DETAILS = ("title", "description", "company", "location", "work_mode", "date_posted", "valid_through", "error")
+
+
+def details(page: Column) -> Column:
     """Fields of a detail page: its main element if that has 100 characters, else its job posting. Under 100 or over 25,000 characters: an error."""
+    return F.pandas_udf(_details, f"struct<{','.join(f'{k}:string' for k in DETAILS)}>")(page)
+
 
+def _details(pages: pd.Series) -> pd.DataFrame:
     def read(page: str) -> dict:
         found = _Reader(page)
         posting = _read_posting(found.scripts)
@@ -138,8 +149,7 @@ def details(pages: pd.Series) -> pd.DataFrame:
             "date_posted": posting.get("datePosted"), "valid_through": posting.get("validThrough"), "error": error,
         }
 
-    names = ["title", "description", "company", "location", "work_mode", "date_posted", "valid_through", "error"]
-    return pd.DataFrame([read(p) for p in pages.fillna("")], columns=names)
+    return pd.DataFrame([read(p) for p in pages.fillna("")], columns=list(DETAILS), dtype=object)
 
 
 # Closure notices.

@@ -126,7 +126,7 @@ def json_object(text: Column, kind: str = "map<string,string>") -> Column:
 
 def cell(text: Column) -> Column:
     """A Markdown table cell: bars escaped, line ends as spaces."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\|", r"\\\\|"), r"\r?\n", " ")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\|", r"\\|"), r"\r?\n", " ")
 
 
 def shown_date(at: Column, zone: str) -> Column:

@@ -102,6 +102,8 @@ def evaluate(df: DataFrame, local: str = "chisinau|moldova|кишинев|мол
     d = d.withColumn("_relevant", normalize(F.concat_ws("\n", "_sec.intro", "_sec.responsibilities", "_sec.requirements", "_sec.preferred")))
     d = d.withColumn("_req", F.concat(segments.records(F.col("_sec.requirements"), "Requirements"), segments.records(F.col("_sec.preferred"), "Preferred qualifications")))
     d = d.withColumn("_all", F.concat(segments.records(e("title"), "Job title"), segments.records(F.concat_ws("\n", "_sec.intro"), "Introduction"), segments.records(F.col("_sec.responsibilities"), "Responsibilities"), "_req", segments.records(F.col("_sec.benefits"), "Benefits")))
+    d = d.withColumn("_said", F.array_join(F.transform(F.filter("_all", lambda r: r["section"] != "Benefits"), lambda r: r["normalized"]), "\n"))
+    d = d.withColumn("_spoken", F.filter("_all", lambda r: (r["section"] != "Benefits") & has(r["normalized"], "|".join(LANGUAGES.values()))))
     title, full, relevant = F.col("_title"), F.col("_full"), F.col("_relevant")
     low = F.col("_exp.minimum")
 
@@ -121,25 +123,25 @@ def evaluate(df: DataFrame, local: str = "chisinau|moldova|кишинев|мол
         {
             "_prior": has(relevant, PRIOR), "_entry_title": has(title, ENTRY_TITLE) & ~intern, "_entry_body": has(full, ENTRY_BODY) & ~intern, "_senior": has(title, SENIOR), "_advanced": has(relevant, ADVANCED),
             "_paid": has(full, PAID), "_unpaid": has(full, UNPAID), "_later": has(full, LATER_PAID),
-            "_fee": F.exists("_all", lambda r: has(r["normalized"], FEE) & ~has(r["normalized"], WAIVED)) | has(title, COURSE_TITLE),
+            "_fee": has(full, FEE) & F.exists("_all", lambda r: has(r["normalized"], FEE) & ~has(r["normalized"], WAIVED)) | has(title, COURSE_TITLE),
             "_remote": has(F.when(F.length("_mode") > 0, F.col("_mode")).otherwise(full), REMOTE), "_hybrid": has(F.when(F.length("_mode") > 0, F.col("_mode")).otherwise(full), HYBRID),
             "_degree": F.exists("_req", lambda r: has(r["normalized"], DEGREE) & ~has(r["normalized"], OPTIONAL) & ~has(r["normalized"], NO_ALTERNATIVE)) & ~named["No Degree Required"],
         }
     )
     c = F.col
     d = d.withColumn("_student", has(full, STUDENT) & ~mentioned & ~c("_prior"))
-    optional = (F.size("_exp.preferred") > 0) | F.exists("_all", lambda r: has(r["normalized"], "experience|опыт") & has(r["normalized"], OPTIONAL))
+    optional = (F.size("_exp.preferred") > 0) | has(full, "experience|опыт") & F.exists("_all", lambda r: has(r["normalized"], "experience|опыт") & has(r["normalized"], OPTIONAL))
     unclear = c("_prior") & low.isNull() & ~optional & ~no_exp
 
     # Languages: required by the title or by a sentence on the level, preferred in an optional sentence; required wins.
     tags = [F.when(v, F.lit(k)) for k, v in named.items()]
     tags += [F.when(v, F.lit(k)) for k, v in (("Students / Graduates Welcome", c("_student")), ("Junior / Entry Level", c("_entry_title") | c("_entry_body")), ("Experience Preferred", optional), ("Paid Internship", c("_paid") & intern), ("Remote", c("_remote")), ("Hybrid", c("_hybrid")))]
     tags += [F.when(has(F.concat_ws("\n", "_sched", full), p), F.lit(k)) for k, p in SHIFTS.items()]
-    spoken = lambda p, soft: F.exists("_all", lambda r: (r["section"] != "Benefits") & has(r["normalized"], p) & ~has(r["normalized"], COURSE) & ((has(r["normalized"], OPTIONAL) | (r["section"] == "Preferred qualifications")) if soft else (has(r["normalized"], LEVEL) & ~has(r["normalized"], OPTIONAL) & (r["section"] != "Preferred qualifications"))))
+    spoken = lambda p, soft: F.exists("_spoken", lambda r: has(r["normalized"], p) & ~has(r["normalized"], COURSE) & ((has(r["normalized"], OPTIONAL) | (r["section"] == "Preferred qualifications")) if soft else (has(r["normalized"], LEVEL) & ~has(r["normalized"], OPTIONAL) & (r["section"] != "Preferred qualifications"))))
     for k, p in LANGUAGES.items():
         need = has(title, p) | spoken(p, False)
         tags += [F.when(need, F.lit(f"{k} Required")).when(spoken(p, True), F.lit(f"{k} Preferred"))]
-    tags += [F.when(F.exists("_all", lambda r, p=p: (r["section"] != "Benefits") & has(r["normalized"], p)), F.lit(k)) for k, p in SKILLS.items()]
+    tags += [F.when(has(c("_said"), p), F.lit(k)) for k, p in SKILLS.items()]
 
     there = F.length("_place") > 0
     outside = there & ~has(c("_place"), local) & ~c("_remote") | has(title, foreign)
@@ -162,12 +164,14 @@ def evaluate(df: DataFrame, local: str = "chisinau|moldova|кишинев|мол
     d = d.withColumn("entry_fit", F.when(F.col("exclusion_reason").isNotNull(), "excluded").when(flag("LOCATION_UNCONFIRMED") & c("_fit").isin("beginner", "stretch"), "review").otherwise(c("_fit")))
     more = F.array_compact(F.array(F.when(~complete, F.lit("DESCRIPTION_UNVERIFIED")), F.when(c("entry_fit") == "other", F.lit("BEGINNER_ELIGIBILITY_UNCONFIRMED")), F.when(reason == "Senior role", F.lit("SENIOR_ROLE")), F.when(reason == "Vacancy closed", F.lit("VACANCY_CLOSED")), F.when(c("_found").isNull(), F.lit("NOT_RELEVANT"))))
     quotes = {k: p for k, _, p in TAGS} | SKILLS
-    held = lambda k, p: F.struct(F.lit(k).alias("k"), segments.evidence(c("_all"), rf"(?<![\p{{L}}\p{{N}}])(?:{p})(?![\p{{L}}\p{{N}}])").alias("v"))
+    none = F.array().cast("array<struct<text:string,section:string>>")
+    quoted = lambda k, p: F.when(F.array_contains("_tags", k), segments.evidence(c("_all"), rf"(?<![\p{{L}}\p{{N}}])(?:{p})(?![\p{{L}}\p{{N}}])")).otherwise(none)
+    held = lambda k, p: F.struct(F.lit(k).alias("k"), quoted(k, p).alias("v"))
     out = d.withColumns(
         {
             "tags": c("_tags"),
             "quality_flags": F.concat("_flags", more),
-            "tag_evidence": F.map_from_entries(F.transform(F.filter(F.array(*[held(k, p) for k, p in quotes.items()]), lambda x: F.array_contains("_tags", x["k"]) & (F.size(x["v"]) > 0)), lambda x: F.struct(x["k"], x["v"]))),
+            "tag_evidence": F.map_from_entries(F.transform(F.filter(F.array(*[held(k, p) for k, p in quotes.items()]), lambda x: F.size(x["v"]) > 0), lambda x: F.struct(x["k"], x["v"]))),
             "experience_min": low,
             "payment_status": F.when(c("_fee"), "fee_required").when(c("_unpaid"), "unpaid").when(c("_paid"), "paid").otherwise("unknown"),
             "exposure_score": F.when(F.array_contains("_tags", "Customer Facing"), 5.0).otherwise(0.0),
