@@ -68,7 +68,7 @@ class _Reader(HTMLParser):
 
 
 def _clean(parts: list[str]) -> str:
-    lines = [" ".join(x.split()) for x in "".join(parts).replace(" ", " ").split("\n")]
+    lines = [" ".join(x.split()) for x in "".join(parts).split("\n")]
     out: list[str] = []
     for line in lines:
         if line or (out and out[-1]):

@@ -19,6 +19,8 @@ def _latin() -> tuple[str, str]:
 
 
 MARKED, PLAIN = _latin()
+# Curly quotes, long dashes and the no-break space, with what stands for them.
+QUOTED, UNQUOTED = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
 
 
 def let(value: Column, body) -> Column:
@@ -28,13 +30,16 @@ def let(value: Column, body) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case, Latin letters without marks (other scripts keep theirs), plain quotes, dashes and spaces. Null: empty."""
-    folded = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), MARKED, PLAIN), r"(\p{IsLatin})\p{M}+", "$1")
-    return F.translate(F.lower(folded), "‘’“”–— ", "''''-- ".replace("''''", "''\"\""))
+    value = F.coalesce(text, F.lit(""))
+    folded = F.translate(value, MARKED, PLAIN)
+    marked = F.when(folded.rlike(r"\p{M}"), F.regexp_replace(folded, r"(\p{IsLatin})\p{M}+", "$1")).otherwise(folded)
+    # most texts are plain: only others pay for the folding
+    return F.when(value.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(marked), QUOTED, UNQUOTED)).otherwise(F.lower(value))
 
 
 def clean(text: Column) -> Column:
     """One space between words, no spaces around line ends, at most one empty line in a row."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), " ", " "), r"[ \t]+", " ")
+    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), r"[ \t]+", " ")
     out = F.regexp_replace(F.regexp_replace(out, r" *\n *", "\n"), r"\n{3,}", "\n\n")
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 

@@ -16,7 +16,8 @@ def one(spark, value, **columns):
 
 
 def test_normalize_keeps_marks_of_other_scripts(spark):
-    assert one(spark, text.normalize(F.col("t")), t="ÉTÉ Ёй ‘a’ – b") == "ete ёй 'a' - b"
+    assert one(spark, text.normalize(F.col("t")), t="ÉTÉ Ёй \u2018a\u2019 \u2013\u00a0b") == "ete ёй 'a' - b"
+    assert one(spark, text.clean(F.col("t")), t=" a\u00a0 \tb \n\n\n\n c ") == "a b\n\nc"
     assert one(spark, text.normalize(F.col("t")), t=None) == ""
 
 
