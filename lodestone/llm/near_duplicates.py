@@ -18,7 +18,8 @@ MANTISSA = 10
 CHANCE = 0.17 / (1 << MANTISSA)
 #: An estimate so far under the threshold is over four standard errors off, so no true link is lost to it.
 MARGIN = 0.16
-BLOCK = 1024
+#: Rows and shingles of a bucket that are compared with as many others in one task.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(20240229)
@@ -181,20 +182,55 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def _across(least: float):
+def _undecided(least: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of different components between (or within) two blocks of one bucket."""
-        regs = np.array(rows["sig"].tolist(), np.int64).view(np.uint16)
+        """Rows of two blocks (or one) of a bucket that have a likely partner of another component, not met in an earlier band."""
+        sig = np.array(rows["sig"].tolist(), np.int64)
+        regs = sig.view(np.uint16)
         rep, comp, size, block = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["n_shingles"].to_numpy(), rows["block"].to_numpy()
-        low, high = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        # rows of the most frequent component are only compared with others, never among themselves
-        found = []
+        low, high, band, head = rows["lo"].iloc[0], rows["hi"].iloc[0], rows["band"].iloc[0], rows["head"].to_numpy()
+        left, right = np.flatnonzero((block == low) & (rep != head)), np.flatnonzero((block == high) & (rep != head))
+        wanted = np.zeros(len(rows), bool)
         for i in left:
             j = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high)) & (np.minimum(size[right], size[i]) >= least * np.maximum(size[right], size[i]))]
-            if len(j):
-                j = j[estimate(regs[j], regs[i]) >= least]
-                found += [(min(rep[i], x), max(rep[i], x)) for x in rep[j]]
+            j = j[~(sig[j, :band] == sig[i, :band]).any(axis=1)]
+            j = j[estimate(regs[j], regs[i]) >= least]
+            wanted[j] = True
+            wanted[i] |= len(j) > 0
+        return rows.loc[wanted, ["band", "key", "lo", "hi", "block", "rep", "comp"]]
+
+    return run
+
+
+def _sets(batches):
+    for batch in batches:
+        for first, end, data, offsets in byte_blocks(batch.column(1), 1 << 20, 512):
+            row, value = shingles(data, offsets)
+            at = np.searchsorted(row, np.arange(end - first + 1)) * 8
+            held = pa.Array.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(value)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), held.cast(pa.binary())], ["rep", "set"])
+
+
+def _bridges(percent: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of two blocks (or one) of a bucket whose whole sets are similar enough, as many as it takes to join their components."""
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        terms, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        rep, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
+        label = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]
+        right = block == rows["hi"].iloc[0]
+        seen, found = np.zeros(len(terms), bool), []
+        for i in np.flatnonzero(block == rows["lo"].iloc[0]):
+            mine = ids[start[i] : start[i] + size[i]]
+            seen[mine] = True
+            both = np.add.reduceat(seen[ids], start, dtype=np.int64)
+            seen[mine] = False
+            for j in np.flatnonzero(right & (label != label[i]) & (100 * both >= percent * (size + size[i] - both))):
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
@@ -216,9 +252,10 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     signed = cut(signatures(docs))
     kind = dict(docs.dtypes)["doc_id"]
     reps = cut(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    bands = reps.select("rep", F.posexplode("sig").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
-    members = cut(bands.join(shared, ["band", "key"]).select("band", "key", "n", "head", "rep"))
+    bands = reps.select("rep", "n_shingles", F.posexplode("sig").alias("band", "key"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    shared = bands.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count("*").alias("n"), blocks.alias("blocks")).where("n > 1")
+    members = cut(bands.join(shared, ["band", "key"]).select("band", "key", "blocks", "head", "rep"))
     stars = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     links = confirmed(stars, texts, reps, percent)
@@ -226,12 +263,14 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
 
     named = members.join(roots.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     open_ = named.groupBy("band", "key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("band", "key")
-    rest = named.join(open_, ["band", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(reps.select("rep", "n_shingles", "sig"), "rep")
-    met = rest.select("band", "key", "rep", "comp", "n_shingles", "sig", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "comp", "n_shingles", "sig", "block")
-    more = met.groupBy("band", "key", "lo", "hi").applyInPandas(_across(percent / 100 - MARGIN), f"a {kind}, b {kind}").distinct()
-    more = cut(more.join(stars, ["a", "b"], "left_anti"))
+    rest = named.join(open_, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = rest.join(reps.select("rep", "n_shingles", "sig"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = rest.select("band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "head", "rep", "comp", "n_shingles", "sig")
+    pair = ["band", "key", "lo", "hi"]
+    open_rows = cut(met.groupBy(*pair).applyInPandas(_undecided(percent / 100 - MARGIN), f"band int, key long, lo int, hi int, block int, rep {kind}, comp {kind}"))
+    wanted = texts.toDF("rep", "text").join(small(open_rows.select("rep").distinct(), BROADCAST_ROWS), "rep")
+    sets = wanted.mapInArrow(_sets, f"rep {kind}, set binary").where("length(set) > 0")
+    more = cut(open_rows.join(sets, "rep").groupBy(*pair).applyInPandas(_bridges(percent), f"a {kind}, b {kind}").distinct())
     if not more.isEmpty():
         roots = components(links.unionByName(confirmed(more, texts, reps, percent)))
 

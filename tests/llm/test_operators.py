@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -105,19 +106,39 @@ def test_repeated_bytes(docs, texts):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.deduplicate(docs).collect()} == want
 
 
-def test_near_duplicates(docs, texts):
+def components_by_hand(texts):
     sets = {}
     for key, t in texts.items():
         w = WORD.findall(low(t))
         sets[key] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    root = {k: k for k in sets}
-    for _ in range(3):
-        for a in sets:
-            for b in sets:
-                if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
+    near = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root, before = {k: k for k in sets}, None
+    while root != before:
+        before = dict(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    return {k: (len(sets[k]), root[k], root[k] == k) for k in sets}
+
+
+def test_near_duplicates(docs, texts):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.link(docs).collect()}
+    assert got == components_by_hand(texts)
+
+
+def test_family_of_edited_copies_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    draw = random.Random(5)
+    base, family = [f"w{i}" for i in range(120)], {}
+    for key in range(90):
+        edited = list(base) if key % 3 else [*family[key - 1].split()] if key else list(base)
+        for at in draw.sample(range(120), draw.randint(1, 5)):
+            edited[at] = f"x{key}y{at}"
+        family[key] = " ".join(edited)
+    want = components_by_hand(family)
+    assert 2 < len({c for _, c, _ in want.values()}) < 90
+    docs = spark.createDataFrame([(k, t, None) for k, t in family.items()], SCHEMA)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.link(docs).collect()}
-    assert got == {k: (len(sets[k]), root[k], root[k] == k) for k in sets}
+    assert got == want
 
 
 def test_language_on_held_out_documents(docs):
