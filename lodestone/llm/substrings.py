@@ -11,7 +11,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
 from .near_duplicates import _BASE, _INVERSE, mix, powers
 
 LENGTH = 100
@@ -116,22 +115,27 @@ def _scan(buckets: int):
             head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
             again = order[(~lead) & ((doc[order] != doc[order[head]]) | (low[order] != low[order[head]]))]
             if len(again):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int32()), pa.nulls(len(again), pa.binary()), pa.array(doc[again]), pa.array(low[again]), pa.array(low[again] + windows[again] + LENGTH - 1)], ["bucket", "blob", "doc_id", "start", "stop"])
+                dealt = (mix(doc[again].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.nulls(len(again), pa.binary()), pa.array(doc[again]), pa.array(low[again]), pa.array(low[again] + windows[again] + LENGTH - 1)], ["bucket", "blob", "doc_id", "start", "stop"])
             keep = order[lead]
             bucket = (mix(hashed[keep]) % np.uint64(buckets)).astype(np.int64)
             keep = keep[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             blobs = [_pack(keep[a:b], hashed, doc, low, windows, offset, first, data) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            none = pa.nulls(len(blobs), pa.int64())
+            none = pa.array(np.zeros(len(blobs), np.int64))  # not null, as pandas would turn all ids into floats
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), none, none, none], ["bucket", "blob", "doc_id", "start", "stop"])
 
     return run
 
 
 def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Repeated windows of one suffix bucket: a sort of its windows by rank, ties in document order, marks all but the first of each."""
-    parts = [_unpack(b) for b in rows["blob"]]
+    """Repeats that the scan found and those of one suffix bucket: a sort of its windows by rank, ties in document order, marks all but the first of each."""
+    known = rows["blob"].isna()
+    found = rows.loc[known, ["doc_id", "start", "stop"]]
+    parts = [_unpack(b) for b in rows.loc[~known, "blob"]]
+    if not parts:
+        return found
     hashed = np.concatenate([p[0] for p in parts])
     _, which, count = np.unique(hashed, return_inverse=True, return_counts=True)
     shared = count[which] > 1
@@ -145,9 +149,8 @@ def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             ends = np.cumsum(length)
             index = np.arange(int(length[mine].sum())) + np.repeat((ends - length)[mine] - (np.cumsum(length[mine]) - length[mine]), length[mine])
             chosen.append((*(x[mine] for x in p[:5]), p[5][index]))
-    empty = pd.DataFrame({"doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "stop": np.zeros(0, np.int64)})
     if not chosen:
-        return empty
+        return found
     hashed, doc, low, windows, _, data = (np.concatenate([c[i] for c in chosen]) for i in range(6))
     del parts, chosen
     windows = windows.astype(np.int64)
@@ -166,10 +169,10 @@ def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     repeat[order] = ~lead & ((doc[record[order]] != doc[record[head]]) | (place[order] != place[head]))
     marked = np.flatnonzero(repeat)
     if not len(marked):
-        return empty
+        return found
     new = np.concatenate([[True], (np.diff(marked) != 1) | (record[marked][1:] != record[marked][:-1])])
     last = np.concatenate([new[1:], [True]])
-    return pd.DataFrame({"doc_id": doc[record[marked[new]]], "start": place[marked[new]], "stop": place[marked[last]] + LENGTH})
+    return pd.concat([found, pd.DataFrame({"doc_id": doc[record[marked[new]]], "start": place[marked[new]], "stop": place[marked[last]] + LENGTH})])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -177,9 +180,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(total // BUCKET_BYTES, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
     spans = "doc_id long, start long, stop long"
-    scanned = cut(docs.mapInArrow(_scan(buckets), f"bucket int, blob binary, {spans}"))
-    sorted_ = scanned.where("bucket IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket, spans)
-    return sorted_.unionByName(scanned.where("bucket IS NULL").select("doc_id", "start", "stop"))
+    scanned = docs.mapInArrow(_scan(buckets), f"bucket int, blob binary, {spans}")
+    return scanned.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket, spans)
 
 
 def _remove(batches):
