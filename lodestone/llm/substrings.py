@@ -64,22 +64,26 @@ def cover(data: np.ndarray, doc: np.ndarray, base: np.ndarray, bounds: np.ndarra
     return prefix[anchor[new]], doc[rows], first - bounds[rows] + base[rows], windows, anchor[new] - first, first, sums, inverse
 
 
-def _pack(order: np.ndarray, hashed, doc, low, windows, offset, first, data) -> bytes:
+def _pack(order: np.ndarray, doc, low, windows, offset, first, data) -> bytes:
     length = windows[order] + LENGTH - 1
     ends = np.cumsum(length)
     index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[order] - (ends - length), length)
-    parts = (hashed[order], doc[order], low[order], windows[order].astype(np.uint8), offset[order].astype(np.uint8), data[index])
-    return zstandard.compress(np.int64(len(order)).tobytes() + b"".join(p.tobytes() for p in parts), 1)
+    parts = (doc[order], low[order], windows[order].astype(np.uint8), offset[order].astype(np.uint8), data[index])
+    return zstandard.compress(np.int64(len(order)).tobytes() + b"".join(p.tobytes() for p in parts), 6)
 
 
 def _unpack(blob: bytes):
     raw = zstandard.decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     at, out = 8, []
-    for kind in (np.uint64, np.int64, np.int64, np.uint8, np.uint8):
+    for kind in (np.int64, np.int64, np.uint8, np.uint8):
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    return (*out, np.frombuffer(raw, np.uint8, offset=at))
+    doc, low, windows, offset = out
+    data = np.frombuffer(raw, np.uint8, offset=at)
+    length = windows.astype(np.int64) + LENGTH - 1
+    hashed = _hashes(_sums(data), powers(_INVERSE, len(data) + 1), np.cumsum(length) - length + offset, PREFIX)
+    return hashed, doc, low, windows, offset, data
 
 
 def _parts(batches):
@@ -122,7 +126,7 @@ def _scan(buckets: int):
             keep = keep[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            blobs = [_pack(keep[a:b], hashed, doc, low, windows, offset, first, data) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            blobs = [_pack(keep[a:b], doc, low, windows, offset, first, data) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             none = pa.array(np.zeros(len(blobs), np.int64))  # not null, as pandas would turn all ids into floats
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), none, none, none], ["bucket", "blob", "doc_id", "start", "stop"])
 
