@@ -1,4 +1,4 @@
-"""Quality classifier: a label model over heuristic labellers, whose posteriors train a hashed linear scorer."""
+"""Quality classifier: label models over labellers of form and of wording, whose posteriors train a hashed linear scorer."""
 
 from __future__ import annotations
 
@@ -8,19 +8,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import quality_rules, weak
+from . import quality_rules, weak, wording
 from .blocks import bucket, byte_blocks, grams
 
-BITS = 12
+#: Buckets of byte grams, and of words beside them.
+BITS, WORD_BITS = 12, 11
+SIZE = (1 << BITS) + (1 << WORD_BITS)
 #: Documents in the fit of the scorer; the label model counts votes over all documents.
 MAX_TRAIN = 4000
 STEPS, RATE, DECAY = 200, np.float32(4), np.float32(1e-4)
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows x 2**BITS: square roots of the shares of byte 1- and 3-grams, hashed; the last eight mark how concentrated the 3-grams are."""
+    """Rows x SIZE: square roots of the shares of byte 1- and 3-grams and of words, hashed.
+
+    The last eight of the grams mark how concentrated the 3-grams are, the last
+    eight of the words how dense abuse is.
+    """
+    return _features(data, offsets)[0]
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """hashed(), and the counts of wording that it needs."""
     rows, size = len(offsets) - 1, (1 << BITS) - 8
-    out = np.zeros((rows, 1 << BITS), np.float32)
+    out = np.zeros((rows, SIZE), np.float32)
     for n in (1, 3):
         row, code = grams(data, offsets, n)
         counts = np.bincount(row * size + bucket(code, n, 32) % size, minlength=rows * size).reshape(rows, size)
@@ -28,13 +39,26 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, :size] += np.sqrt(share).astype(np.float32)
     level = np.clip(np.log2(1e-6 + (share**2).sum(axis=1)) + 9, 0, 7).astype(int)
     out[np.arange(rows), size + level] = 1
-    return out
+    row, code, _ = found = wording.words(data, offsets)
+    size = (1 << WORD_BITS) - 8
+    count = np.bincount(row * size + bucket(code, 0, 32) % size, minlength=rows * size).reshape(rows, size)
+    out[:, 1 << BITS : (1 << BITS) + size] = np.sqrt(count / np.maximum(count.sum(axis=1, keepdims=True), 1))
+    said = wording.counts(found, rows)
+    out[np.arange(rows), (1 << BITS) + size + wording.level(said)] = 1
+    return out, said
 
 
-def _vectors(batches):
-    for batch in batches:
-        for a, b, data, offsets in byte_blocks(batch.column(0), 1 << 18, 64):
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in hashed(data, offsets)], pa.binary())], ["p", "x"])
+def _vectors(weights: list[float]):
+    """A map of texts with the posterior of their form to vectors with that of form and wording."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in byte_blocks(batch.column(0), 1 << 18, 64):
+                x, said = _features(data, offsets)
+                clean = 1 / (1 + np.exp(-(wording.votes(said) @ np.array(weights))))
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column(1).slice(a, b - a).to_numpy() * clean), pa.array([v.tobytes() for v in x], pa.binary())], ["p", "x"])
+
+    return run
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -50,21 +74,26 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> np.ndarray:
-    """Weights of the scorer: votes of all documents are counted for EM; a hash of the id picks about max_train documents for the fit."""
+    """Weights of the scorer: votes of all documents are counted for EM; a hash of the id picks about max_train documents for the fit.
+
+    Form and wording have a label model each, as good form says nothing of the
+    wording and would outvote it; a document is good if it is so in both.
+    """
     labellers = quality_rules.rules()
     names = list(labellers)
     voted = lambda d: quality_rules.features(d, id_col, text_col).select("doc_id", *[v.alias(k) for k, v in labellers.items()])
     patterns = weak.pattern_counts(voted(docs), names)
     total = sum(n for _, n in patterns)
     if not total:
-        return np.zeros((1 << BITS) + 1)
+        return np.zeros(SIZE + 1)
     model = weak.fit(patterns, len(names))
+    clean = weak.fit(weak.pattern_counts(wording.voted(docs, text_col), list(wording.VOTES)), len(wording.VOTES))
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.lit(1 << 20)) / F.lit(1 << 20)
     picked = docs.where(chance < min(1.0, max_train / total)).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     labelled = quality_rules.features(picked.withColumn("doc_id", F.struct("doc_id", "text"))).select("doc_id", *[v.alias(k) for k, v in labellers.items()])
     rows = labelled.select("doc_id.text", weak.posterior(model, names).alias("p"))
-    found = rows.mapInArrow(_vectors, "p double, x binary").limit(2 * max_train).groupBy().applyInPandas(_fit, "w binary").collect()
-    return np.frombuffer(found[0][0]) if found else np.zeros((1 << BITS) + 1)
+    found = rows.mapInArrow(_vectors(clean["weights"]), "p double, x binary").limit(2 * max_train).groupBy().applyInPandas(_fit, "w binary").collect()
+    return np.frombuffer(found[0][0]) if found else np.zeros(SIZE + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
@@ -73,7 +102,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col:
     One pass without a shuffle. Columns stay, whatever their names; rows may
     repeat; an empty table gives an empty one.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS + 1 numbers
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE + 1 numbers
 
     def rate(batches):
         w = sent.value
