@@ -21,7 +21,7 @@ NAME = rf"\b(?:{MALE}|{FEMALE})\b\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
 SHAPES = {"email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "ip": IPV4, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 ANY = "|".join(SHAPES.values())
 #: No entity can stand in a text without one of these.
-HINT = rf"[0-9@]|[=:][ ]?[\"']?[A-Za-z0-9_\-+/]{{8,}}|\b(?:{MALE}|{FEMALE})\b\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z0-9]{{16}}|[=:][ ]?[\"']?[A-Za-z0-9_\-+/]{{8,}}|\b(?:{MALE}|{FEMALE})\b\.? \p{{Lu}}"
 
 # Surrogate names by gender and script.
 NAMES = {
@@ -30,6 +30,10 @@ NAMES = {
     ("m", "cyrillic"): ["Антон", "Борис", "Вадим", "Глеб", "Денис", "Егор", "Захар", "Игорь", "Кирилл", "Лев", "Марк", "Никита", "Олег", "Павел", "Роман", "Степан"],
     ("f", "cyrillic"): ["Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Ирина", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса"],
 }
+SYLLABLES = {
+    "latin": ["ba", "de", "fi", "go", "ku", "la", "me", "no", "pi", "ra", "se", "ti", "vo", "wa", "ze", "lu"],
+    "cyrillic": ["ба", "ве", "го", "ди", "жу", "за", "ки", "ло", "ма", "не", "по", "ру", "са", "те", "фи", "хо"],
+}
 MAX_TRIES = 8
 #: Most colliding entities whose replacements are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -43,10 +47,10 @@ def kind_of(entity: Column) -> Column:
 
 
 def identity(kind: Column, entity: Column) -> Column:
-    """What mentions of one entity have in common: case of addresses, punctuation of numbers and key names don't count."""
+    """What mentions of one entity have in common: case of addresses and names, punctuation of numbers and key names don't count."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(entity))
+        F.when(kind.isin("email", "family", "given_m", "given_f"), F.lower(entity))
         .when(kind.isin("card", "ssn", "phone"), digits)
         .when(kind == "secret", F.regexp_extract(entity, r"[=:][ ]?[\"']?([A-Za-z0-9_\-+/]{8,})", 1))
         .otherwise(entity)
@@ -91,22 +95,30 @@ def _card(entity: Column, digest: Column) -> Column:
     return let(valid, lambda v: F.when(_luhn(entity), v).otherwise(filled))
 
 
-def _name(entity: Column, digest: Column) -> Column:
-    """The title stays; the words after it become names of the title's gender and the same script."""
-    title = F.regexp_extract(entity, r"^[^ ]+ ", 0)
-    given = F.lit(None).cast("string")
-    for (gender, script), names in NAMES.items():
-        is_m = entity.rlike(rf"^(?:{MALE})\b")
-        is_c = F.regexp_extract(entity, r" (\p{Lu})", 1).rlike(r"\p{IsCyrillic}")
-        given = F.when((is_m if gender == "m" else ~is_m) & (is_c if script == "cyrillic" else ~is_c), F.get(F.array(*[F.lit(x) for x in names]), _draw(digest, F.lit(0), F.lit(len(names))))).otherwise(given)
-    syllables = lambda cyrillic: F.array(*[F.lit(x) for x in (["ба", "ве", "го", "ди", "жу", "за", "ки", "ло"] if cyrillic else ["ba", "de", "fi", "go", "ku", "la", "me", "no"])])
-    family = lambda cyrillic: F.initcap(F.concat(*[F.get(syllables(cyrillic), _draw(digest, F.lit(k), F.lit(8))) for k in range(1, 5)], F.lit("н" if cyrillic else "n")))
-    surname = F.when(F.regexp_extract(entity, r" (\p{Lu})", 1).rlike(r"\p{IsCyrillic}"), family(True)).otherwise(family(False))
-    return F.concat(title, F.when(F.regexp_replace(entity, r"[^ ]", "") == "  ", F.concat_ws(" ", given, surname)).otherwise(surname))
+def parts(kind: Column, entity: Column) -> Column:
+    """array<struct<kind, ident, sample>> of what is replaced in a mention: family and given name each, whatever the title; else the whole."""
+    part = lambda k, x: F.struct(k.alias("kind"), identity(k, x).alias("ident"), x.alias("sample"))
+    words = F.split(entity, " ")
+    family = part(F.lit("family"), F.element_at(words, -1))
+    given = part(F.when(entity.rlike(rf"^(?:{MALE})\b"), "given_m").otherwise("given_f"), F.get(words, 1))
+    return F.when(kind != "name", F.array(part(kind, entity))).when(F.size(words) > 2, F.array(family, given)).otherwise(F.array(family))
+
+
+def _named(word: Column, kind: Column, digest: Column, attempt: Column) -> Column:
+    """A family or given name in the script of the word, longer by two syllables with each attempt."""
+    cyrillic = word.rlike(r"^\p{IsCyrillic}")
+    one = lambda of, k: F.get(F.array(*[F.lit(x) for x in of]), _draw(digest, k, F.lit(len(of))))
+    more = lambda script, n: F.array_join(F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k > 0, one(SYLLABLES[script], k))), lambda x: x.isNotNull()), "")
+    made = F.lit(None).cast("string")
+    for script, here in (("latin", ~cyrillic), ("cyrillic", cyrillic)):
+        made = F.when(here & (kind == "family"), F.concat(F.initcap(more(script, 4 + 2 * attempt)), F.lit("н" if script == "cyrillic" else "n"))).otherwise(made)
+        for gender in "mf":
+            made = F.when(here & (kind == f"given_{gender}"), F.concat(one(NAMES[gender, script], F.lit(0)), more(script, 2 * attempt))).otherwise(made)
+    return made
 
 
 def surrogate(entity: Column, kind: Column, ident: Column, attempt: Column, key: str) -> Column:
-    """The replacement of one mention: the digest depends on the entity's identity alone, the layout on the mention."""
+    """The replacement of one part of a mention: the digest depends on the part's identity alone, the layout on the mention."""
 
     def made(d: Column) -> Column:
         octets = F.concat_ws(".", *[(_draw(d, F.lit(k), F.lit(223)) + 1).cast("string") for k in range(4)])
@@ -126,12 +138,18 @@ def surrogate(entity: Column, kind: Column, ident: Column, attempt: Column, key:
             .when(kind == "card", _card(entity, d))
             .when(kind == "phone", F.concat(country, F.substr(_refill(entity, d), F.length(country) + 1)))
             .when(kind == "ssn", _refill(entity, d))
-            .otherwise(_name(entity, d))
+            .otherwise(_named(entity, kind, d, attempt))
         )
 
     return let(_stream(key, kind, ident, attempt), made)
 
 
+def replaced(entity: Column, kind: Column, attempt_of, key: str) -> Column:
+    """The replacement of a mention, whose j-th part is drawn at ``attempt_of(j)``. The title of a name stays."""
+    new = F.transform(parts(kind, entity), lambda p, j: surrogate(p["sample"], p["kind"], p["ident"], attempt_of(j), key))
+    return F.when(kind == "name", F.concat(F.regexp_extract(entity, r"^[^ ]+ ", 0), F.array_join(F.reverse(new), " "))).otherwise(F.get(new, 0))
+
+
 def mentions(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """Rows of ``id_cols`` with the entities of each text in order."""
     text = F.col(text_col)
@@ -171,22 +189,25 @@ def pseudonymise(docs: DataFrame, key: str = "lodestone", text_col: str = "text"
     text = F.col(text_col)
     listed = mentions(docs, [], text_col).select(F.explode("found").alias("entity"))
     listed = listed.select("entity", kind_of(F.col("entity")).alias("kind"))
-    entities = cut(listed.select("kind", identity(F.col("kind"), F.col("entity")).alias("ident"), "entity").groupBy("kind", "ident").agg(F.min("entity").alias("sample")))
+    listed = listed.select(F.inline(parts(F.col("kind"), F.col("entity"))))
+    entities = cut(listed.groupBy("kind", "ident").agg(F.min("sample").alias("sample")))
     retry = cut(attempts(entities, key))
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
     rows = rows.withColumn("__kinds", F.transform("__found", lambda e: kind_of(e)))
+    none = F.array().cast("array<string>")
     if retry.isEmpty():
-        new = F.zip_with("__found", "__kinds", lambda e, k: surrogate(e, k, identity(k, e), F.lit(0), key))
-        rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(F.array().cast("array<string>")))
-    else:  # replacements of the few that collided are looked up by entity, never by document
-        rows = rows.withColumn("__row", F.monotonically_increasing_id())
-        rows = cut(rows)
-        each = rows.where(F.size("__found") > 0).select("__row", F.posexplode(F.arrays_zip("__found", "__kinds")).alias("i", "e")).select("__row", "i", F.col("e.__found").alias("entity"), F.col("e.__kinds").alias("kind"))
-        each = each.withColumn("ident", identity(F.col("kind"), F.col("entity"))).join(small(retry, BROADCAST_ROWS), ["kind", "ident"], "left")
-        each = each.select("__row", F.struct("i", surrogate(F.col("entity"), F.col("kind"), F.col("ident"), F.coalesce("attempt", F.lit(0)), key).alias("s")).alias("x"))
-        made = each.groupBy("__row").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]).alias("__new"))
-        rows = rows.join(made, "__row", "left").drop("__row").withColumn("__new", F.coalesce("__new", F.array().cast("array<string>")))
+        new = F.zip_with("__found", "__kinds", lambda e, k: replaced(e, k, lambda j: F.lit(0), key))
+        rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(none))
+    else:  # attempts of the parts that collided are looked up by part, never by document
+        rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+        each = rows.where(F.size("__found") > 0).select("__row", F.posexplode(F.zip_with("__found", "__kinds", lambda e, k: parts(k, e))).alias("i", "of"))
+        each = each.select("__row", "i", F.posexplode("of").alias("j", "part")).select("__row", (2 * F.col("i") + F.col("j")).alias("at"), "part.kind", "part.ident")
+        redo = each.join(small(retry, BROADCAST_ROWS), ["kind", "ident"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias("__redo"))
+        rows = rows.join(small(redo, BROADCAST_ROWS), "__row", "left").drop("__row")
+        tried = lambda i, j: F.coalesce(F.try_element_at(F.col("__redo"), 2 * i + j), F.lit(0))
+        new = F.transform("__found", lambda e, i: replaced(e, F.get("__kinds", i), lambda j: tried(i, j), key))
+        rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(none)).drop("__redo")
     pieces = F.split(text, ANY, -1)
     woven = let(pieces, lambda p: F.array_join(F.flatten(F.transform(p, lambda x, i: F.array(x, F.coalesce(F.get("__new", i), F.lit(""))))), ""))
     out = rows.withColumn(text_col, F.when(F.size("__found") > 0, woven).otherwise(text))
