@@ -34,7 +34,10 @@ SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ku", "la", "me", "no", "pi", "ra", "se", "ti", "vo", "wa", "ze", "lu"],
     "cyrillic": ["ба", "ве", "го", "ди", "жу", "за", "ки", "ло", "ма", "не", "по", "ру", "са", "те", "фи", "хо"],
 }
-MAX_TRIES = 8
+#: Rounds of drawing after which a format is taken to be used up. Names, addresses, phones and secrets grow by the round, so only fixed formats can come so far.
+MAX_ROUNDS = 64
+#: Rounds in which phones and secrets keep their length.
+SAME_LENGTH = 8
 #: Most colliding entities whose replacements are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -129,14 +132,15 @@ def surrogate(entity: Column, kind: Column, ident: Column, attempt: Column, key:
         value = F.substr(entity, F.length(lead) + 1)
         hexed = F.translate(F.substr(F.repeat(d, 8), F.lit(1), F.length(value)), "", "")
         code = F.when(F.regexp_replace(value, r"[\"']$", "").rlike("^[0-9a-f]+$"), F.concat(F.substr(hexed, F.lit(1), F.length(F.regexp_replace(value, r"[\"']$", ""))), F.regexp_extract(value, r"[\"']$", 0))).otherwise(_refill(value, d))
+        longer = lambda sign, n: _refill(F.repeat(F.lit(sign), F.greatest(n, F.lit(0))), F.sha2(d, 256))
         country = F.regexp_extract(entity, r"^\+?\d{1,3}(?=[ .-]?\()|^\+\d", 0)
         return (
-            F.when(kind == "email", F.concat(_refill(F.lower(local), d), F.lit("@"), _refill(F.lower(F.substr(at, F.lit(2), F.length(at) - 1 - F.length(tail))), F.reverse(d)), F.lower(tail)))
+            F.when(kind == "email", F.concat(_refill(F.lower(local), d), longer("x", attempt - 1), F.lit("@"), _refill(F.lower(F.substr(at, F.lit(2), F.length(at) - 1 - F.length(tail))), F.reverse(d)), F.lower(tail)))
             .when(kind == "access_key", F.concat(F.substr(entity, F.lit(1), F.lit(4)), _refill(F.substr(entity, F.lit(5)), d)))
-            .when(kind == "secret", F.concat(lead, code))
+            .when(kind == "secret", F.concat(lead, F.regexp_extract(code, r"^[^\"']*", 0), longer("x", attempt - SAME_LENGTH), F.regexp_extract(code, r"[\"']?$", 0)))
             .when(kind == "ip", octets)
             .when(kind == "card", _card(entity, d))
-            .when(kind == "phone", F.concat(country, F.substr(_refill(entity, d), F.length(country) + 1)))
+            .when(kind == "phone", F.concat(country, F.substr(_refill(entity, d), F.length(country) + 1), longer("0", attempt - SAME_LENGTH)))
             .when(kind == "ssn", _refill(entity, d))
             .otherwise(_named(entity, kind, d, attempt))
         )
@@ -160,11 +164,12 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, ident, attempt) of the entities whose first surrogate is another's surrogate or a real entity.
 
     All claims on one surrogate are ordered; the first keeps it, the others draw
-    again. Usually there are none. Distinctness is over the whole table.
+    again, until none is left. Distinctness is over the whole table. A fixed
+    format with more entities than it has values raises an error.
     """
     open_ = entities.select("kind", "ident", "sample", F.lit(0).alias("attempt"))
     real = entities.select("kind", F.col("ident").alias("new_ident"))
-    for _ in range(MAX_TRIES):
+    for _ in range(MAX_ROUNDS):
         made = open_.withColumn("new", surrogate(F.col("sample"), F.col("kind"), F.col("ident"), F.col("attempt"), key))
         made = made.withColumn("new_ident", identity(F.col("kind"), F.col("new")))
         first = made.groupBy("kind", "new_ident").agg(F.min("ident").alias("first"), F.count("*").alias("n"))
@@ -172,10 +177,11 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
         taken = made.join(real, ["kind", "new_ident"], "left_semi").select("kind", "ident")
         again = cut(losers.unionByName(taken).distinct())
         if again.isEmpty():
-            break
+            return open_.where(F.col("attempt") > 0).select("kind", "ident", "attempt")
         mark = small(again.withColumn("more", F.lit(1)), BROADCAST_ROWS)
         open_ = cut(open_.join(mark, ["kind", "ident"], "left").select("kind", "ident", "sample", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")))
-    return open_.where(F.col("attempt") > 0).select("kind", "ident", "attempt")
+    kinds = sorted(r[0] for r in again.select("kind").distinct().collect())
+    raise ValueError(f"no distinct surrogates left for {', '.join(kinds)}")
 
 
 def pseudonymise(docs: DataFrame, key: str = "lodestone", text_col: str = "text") -> DataFrame:

@@ -23,3 +23,13 @@ def test_a_surname_has_one_surrogate_under_any_title(spark):
     assert len({family[i] for i in (0, 1, 2, 3, 5)}) == 1 and family[0] != family[4] and family[6] == family[7] != "Иванов"
     assert got[2].split(" ")[1] == got[4].split(" ")[1] not in ("John", family[0])
     assert [t.split(" ")[0] for t in got[:4]] == ["Mr", "Mr.", "Mr", "Mrs"] and not re.search("Smith|John|Brown", " ".join(got))
+
+
+def test_distinct_where_the_format_has_few_values(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.org" for a in letters for b in letters]
+    names = [f"Mr {a.upper()}{b}x Smith" for a in letters for b in "aeiou"]
+    got = done(spark, [*mails, *names, "password=--------"])
+    new = got[:-1]
+    assert len(set(new)) == len(new) and not set(new) & {*mails, *names}
+    assert len({t.split(" ")[-1] for t in new[len(mails) :]}) == 1 and got[-1] != "password=--------"
