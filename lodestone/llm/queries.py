@@ -21,7 +21,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
