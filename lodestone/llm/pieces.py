@@ -1,27 +1,43 @@
-"""N-best segmentation over a piece lattice, and decoding."""
+"""N-best segmentation over a piece lattice by forward Viterbi and backward A-star, and decoding."""
 
 from __future__ import annotations
 
-import heapq
 import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: The mark that stands for a space in piece vocabularies.
 MARK = "▁"
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-#: Segments whose results a worker keeps; beyond it, it starts anew.
-CACHE = 150_000
+#: Bytes of text, and cells of a lattice, that are worked on at once.
+TEXT_BYTES, CELLS = 12 << 20, 2_000_000
+#: Longer segments are searched one by one.
+LONG = 40
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_NONE = -1e300
+
+
+def _width(raw: np.ndarray) -> np.ndarray:
+    """How many bytes a character has in UTF-8."""
+    return 1 + (raw >= 0x80) + (raw >= 0x800) + (raw >= 0x10000)
 
 
 class Lattice:
-    """Pieces and scores of a vocabulary file. Characters without a piece go to byte pieces at a fixed penalty."""
+    """Pieces and scores of a vocabulary file. Characters without a piece go to byte pieces at a fixed penalty.
+
+    A segmentation's score is the sum of its pieces' scores, as in a unigram
+    model. In a file of merges the scores are merge ranks, so its best
+    segmentation is the one of least total rank, which need not be the one that
+    merging finds. Texts are taken as they are: of the file's normalisation only
+    the leading mark is applied.
+    """
 
-    def __init__(self, path: str = MODEL):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -36,94 +52,225 @@ class Lattice:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
         self.penalty = min(scores, default=0.0) - 10
-        #: Every prefix of a piece; a whole piece has its score and ids.
-        self.trie: dict[str, tuple] = {t[:n]: () for t in self.ids for n in range(1, len(t))}
-        self.trie.update({t: (score, (i,)) for t, (i, score) in self.ids.items()})
+        self.longest = max(map(len, self.ids), default=1)
         straddling = any(re.search(rf"[^{MARK}]{MARK}", t) for t in self.ids)
         #: Pieces never run from a character on to a mark, so a text falls apart before each run of marks.
         self.segment = re.compile(r"(?s).+" if straddling else rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.known: dict[str, list] = {}
+        self.apart = not straddling
+        # the vocabulary for array look-ups: hashes in order with id and score, and a table that most other strings miss
+        texts = list(self.ids)
+        code = np.array([self._code(np.array([ord(c) for c in t], np.uint64)) for t in texts], np.uint64)
+        order = np.argsort(code)
+        self.codes = code[order]
+        self.code_ids = np.array([self.ids[t][0] for t in texts], np.int32)[order]
+        self.code_scores = np.array([self.ids[t][1] for t in texts], np.float64)[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.codes >> np.uint64(42)).astype(np.int64)] = True
+
+    @staticmethod
+    def _code(characters: np.ndarray) -> np.uint64:
+        code = np.zeros(1, np.uint64)
+        for c in characters:
+            code = (code + c + np.uint64(1)) * _BASE
+        return code[0]
 
     def n_best(self, text: str, n: int = N_BEST) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, best first; equal scores in the order of the search.
+        """The n best segmentations, best first.
 
         Forward Viterbi scores are the exact cost still to come of a partial
-        segmentation that was built from the end, so A-star pops complete ones
-        in order of score.
+        segmentation that was built from the end. So each partial segmentation
+        stands for a different whole one of exactly its estimate, only the n
+        best ones need be open, and ties cannot pile up.
         """
-        size, trie = len(text), self.trie
-        best, into = [-1e300] * (size + 1), [[] for _ in range(size + 1)]
+        size, pieces = len(text), self.ids
+        best, into = [_NONE] * (size + 1), [[] for _ in range(size + 1)]
         best[0] = 0.0
         for at in range(size):
-            here, end, single = best[at], at + 1, False
-            while end <= size and (hit := trie.get(text[at:end])) is not None:
-                if hit:
-                    single = single or end == at + 1
-                    into[end].append((at, *hit))
-                    if here + hit[0] > best[end]:
-                        best[end] = here + hit[0]
-                end += 1
-            if not single:
-                raw = tuple(self.bytes.get(b, self.unknown) for b in text[at].encode("utf-8", "surrogatepass"))
+            here = best[at]
+            for end in range(at + 1, min(at + self.longest, size) + 1):
+                if hit := pieces.get(text[at:end]):
+                    into[end].append((at, hit[1], (hit[0],)))
+                    best[end] = max(best[end], here + hit[1])
+            if text[at] not in pieces:
+                raw = self._raw(text[at])
                 into[at + 1].append((at, self.penalty * len(raw), raw))
                 best[at + 1] = max(best[at + 1], here + self.penalty * len(raw))
-        heap, out, turn = [(-best[size], 0, size, 0.0, None)], [], 0
-        while heap:
-            _, _, at, done, path = heapq.heappop(heap)
-            if at == 0:
-                ids: list[int] = []
-                while path:
-                    ids.extend(path[0])
-                    path = path[1]
-                out.append((done, tuple(ids)))
-                if len(out) == n:
-                    break
-                continue
-            for start, score, ids in into[at]:
-                turn += 1
-                heapq.heappush(heap, (-(done + score + best[start]), turn, start, done + score, (ids, path)))
+        open_ = [(best[size], size, 0.0, None)]
+        while (k := next((i for i, x in enumerate(open_) if x[1]), None)) is not None:
+            _, at, done, path = open_.pop(k)
+            more = [(done + score + best[start], start, done + score, (ids, path)) for start, score, ids in into[at]]
+            open_ = sorted(open_ + more, key=lambda x: -x[0])[:n]
+        out = []
+        for score, _, _, path in open_:
+            ids: list[int] = []
+            while path:
+                ids.extend(path[0])
+                path = path[1]
+            out.append((score, tuple(ids)))
         return out
 
-    def looked_up(self, segment: str, n: int) -> tuple[bytes, float, tuple[float, ...]]:
-        """(ids, score, losses of the next best) of a segment, remembered within bounds."""
-        if (hit := self.known.get(segment)) is None:
-            found = self.n_best(segment, n)
-            hit = (np.array(found[0][1], np.int32).tobytes(), found[0][0], tuple(found[0][0] - s for s, _ in found[1:]))
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            if len(segment) <= 64:
-                self.known[segment] = hit
-        return hit
-
-    def encode(self, text: str, n: int = N_BEST) -> tuple[np.ndarray, list[float]]:
-        """Ids of the best segmentation of a whole text, and the n best scores."""
-        if not text:
-            return np.zeros(0, np.int32), [0.0]
-        known = self.known
-        parts = [known.get(s) or self.looked_up(s, n) for s in self.segment.findall((MARK + text).replace(" ", MARK))]
-        # the next best of the whole text differ from the best in the segments of least loss
-        weakest = heapq.nsmallest(n - 1, [p[2] for p in parts if p[2]])
-        singles = heapq.nsmallest(n - 1, [(loss, i) for i, losses in enumerate(weakest) for loss in losses])
-        sums = [sum(x for x, _ in c) for k in range(1, n) for c in combinations(singles, k) if len({i for _, i in c}) == k]
-        best = sum([p[1] for p in parts])
-        return np.frombuffer(b"".join([p[0] for p in parts]), np.int32), [best, *(best - x for x in heapq.nsmallest(n - 1, sums))]
+    def _batch(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of many segments of one length: score of the best segmentation, what the second best loses against it, and the ids of the best.
+
+        ids has a column for each character: the id of the piece that starts
+        there, -1 for none, -2 - c for the bytes of character c. The second
+        best is the best one through any arc that the best leaves out, by
+        forward and backward scores.
+        """
+        rows, size = chars.shape
+        width = min(self.longest, size)
+        arc = np.full((rows, size + 1, width + 1), _NONE)  # by end and length
+        piece = np.full((rows, size + 1, width + 1), -1, np.int32)
+        code = np.zeros((rows, size), np.uint64)
+        for length in range(1, width + 1):
+            code = (code[:, : size - length + 1] + chars[:, length - 1 :] + np.uint64(1)) * _BASE
+            r, at = np.nonzero(self.maybe[(code >> np.uint64(42)).astype(np.int64)])
+            want = code[r, at]
+            hit = np.minimum(np.searchsorted(self.codes, want), len(self.codes) - 1)
+            same = self.codes[hit] == want
+            r, at, hit = r[same], at[same] + length, hit[same]
+            arc[r, at, length] = self.code_scores[hit]
+            piece[r, at, length] = self.code_ids[hit]
+        r, at = np.nonzero(piece[:, 1:, 1] < 0)
+        raw = chars[r, at].astype(np.int64)
+        arc[r, at + 1, 1], piece[r, at + 1, 1] = self.penalty * _width(raw), -2 - raw
+        best, rest = np.full((rows, size + 1), _NONE), np.full((rows, size + 1), _NONE)
+        best[:, 0] = rest[:, size] = 0
+        chosen = np.zeros((rows, size + 1), np.int64)
+        for end in range(1, size + 1):
+            k = min(width, end)
+            arc[:, end, 1 : k + 1] += best[:, end - k : end][:, ::-1]  # from here on: the best that ends with this arc
+            chosen[:, end] = arc[:, end, :].argmax(axis=1)
+            best[:, end] = arc[:, end, :].max(axis=1)
+        for end in range(size, 0, -1):
+            k = min(width, end)
+            arc[:, end, :] += rest[:, end, None]  # the best through this arc
+            tail = arc[:, end, 1 : k + 1] - best[:, end - k : end][:, ::-1]
+            rest[:, end - k : end] = np.maximum(rest[:, end - k : end], tail[:, ::-1])
+        ids = np.full((rows, size), -1, np.int32)
+        live, at = np.arange(rows), np.full(rows, size)
+        while len(live):
+            length = chosen[live, at]
+            arc[live, at, length] = _NONE
+            ids[live, at - length] = piece[live, at, length]
+            at = at - length
+            live, at = live[at > 0], at[at > 0]
+        return best[:, size], best[:, size] - arc.reshape(rows, -1).max(axis=1), ids
+
+    def solve(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of many segments: score of the best segmentation, loss of the second best, and the ids of the best of all in a row with their ends."""
+        score, loss, count = np.zeros(len(segments)), np.zeros(len(segments)), np.zeros(len(segments), np.int64)
+        size = np.array([len(s) for s in segments])
+        chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in np.unique(size[size <= LONG]):
+            which = np.flatnonzero(size == length)
+            step = max(1, CELLS // int((length + 1) * (min(self.longest, length) + 1)))
+            for a in range(0, len(which), step):
+                mine = which[a : a + step]
+                chars = np.array([segments[i] for i in mine], f"U{length}").view(np.uint32).reshape(len(mine), length).astype(np.uint64)
+                score[mine], loss[mine], ids = self._batch(chars)
+                wide = np.where(ids >= 0, 1, np.where(ids == -1, 0, _width(-2 - ids.astype(np.int64))))
+                count[mine] = wide.sum(axis=1)
+                chunks.append((mine, ids, wide))
+        slow = {i: self.n_best(segments[i], 2) for i in np.flatnonzero(size > LONG)}
+        for i, found in slow.items():
+            score[i], count[i] = found[0][0], len(found[0][1])
+            loss[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+        ends = np.cumsum(count)
+        flat = np.zeros(int(ends[-1]) if len(segments) else 0, np.int32)
+        for mine, ids, wide in chunks:
+            at = (ends[mine] - count[mine])[:, None] + np.cumsum(wide, axis=1) - wide
+            one = ids >= 0
+            flat[at[one]] = ids[one]
+            for r, c in zip(*np.nonzero(ids < -1), strict=True):
+                flat[at[r, c] : at[r, c] + wide[r, c]] = self._raw(chr(-2 - ids[r, c]))
+        for i, found in slow.items():
+            flat[ends[i] - count[i] : ends[i]] = found[0][1]
+        return score, np.where(loss > -_NONE / 2, np.inf, loss), flat, ends
+
+    def _raw(self, character: str) -> tuple[int, ...]:
+        return tuple(self.bytes.get(b, self.unknown) for b in character.encode("utf-8", "surrogatepass"))
+
+    def _segments(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(segment numbers of all texts in a row, the different segments, first segment of each text)."""
+        if self.apart and not pc.any(pc.match_substring_regex(texts, f"[\\x00{MARK}]")).as_py():
+            marked = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)), " ", "\x00 ")
+            while pc.any(pc.match_substring(marked, " \x00 ")).as_py():  # runs of spaces stay together
+                marked = pc.replace_substring(marked, " \x00 ", "  ")
+            parts = pc.split_pattern(marked, "\x00")
+            coded = parts.flatten().dictionary_encode()
+            number, first = coded.indices.to_numpy(), parts.offsets.to_numpy()
+            keep = np.ones(len(number), bool)
+            keep[first[:-1]] = False  # what stands before the first mark
+            return number[keep], [s.replace(" ", MARK) for s in coded.dictionary.to_pylist()], first - np.arange(len(first))
+        known: dict[str, int] = {}
+        number, first = [], [0]
+        for text in texts.to_pylist():
+            number += [known.setdefault(s, len(known)) for s in self.segment.findall((MARK + text).replace(" ", MARK))]
+            first.append(len(number))
+        return np.array(number, np.int64), list(known), np.array(first)
+
+    def encode(self, texts: list[str], n: int = N_BEST) -> list[tuple[list[np.ndarray], list[float]]]:
+        """The n best segmentations of each whole text, and their scores. An empty text has one, without pieces.
+
+        A text's next best differ from its best in the segments of least loss,
+        so only those are searched for more than their best.
+        """
+        number, names, first = self._segments(pa.array(texts, pa.large_string()))
+        used = np.unique(number)
+        place = np.zeros(len(names), np.int64)
+        place[used] = np.arange(len(used))
+        names = [names[i] for i in used]
+        score, loss, flat, ends = self.solve(names)
+        number = place[number]
+        begin, count = (ends - np.diff(ends, prepend=0))[number], np.diff(ends, prepend=0)[number]
+        stop = np.cumsum(count)
+        ids = flat[np.repeat(begin - (stop - count), count) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        near = loss[number]
+        others: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        out = []
+        for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+            if not text:
+                out.append(([np.zeros(0, np.int32)], [0.0]))
+                continue
+            weakest = range(b - a) if b - a < n else np.argpartition(near[a:b], n - 2)[: n - 1] if n > 1 else ()
+            singles = []
+            for w in weakest:
+                if (word := number[a + w]) not in others:
+                    mine = tuple(flat[begin[a + w] : begin[a + w] + count[a + w]].tolist())
+                    others[word] = [(score[word] - s, i) for s, i in self.n_best(names[word], n) if i != mine][: n - 1]
+                singles += [(float(x), int(a + w), k) for k, (x, _) in enumerate(others[word])]
+            singles = sorted(singles)[: n - 1]
+            ways = sorted((sum(x for x, _, _ in c), c) for k in range(1, n) for c in combinations(singles, k) if len({w for _, w, _ in c}) == k)[: n - 1]
+            best = ids[stop[a] - count[a] : stop[b - 1]]
+            found = [best]
+            for _, chosen in ways:
+                parts, at = [], 0
+                for _, w, k in sorted(chosen, key=lambda x: x[1]):
+                    here = stop[w] - count[w] - (stop[a] - count[a])
+                    parts += [best[at:here], np.array(others[number[w]][k][1], np.int32)]
+                    at = here + count[w]
+                found.append(np.concatenate([*parts, best[at:]]))
+            base = float(score[number[a:b]].sum())
+            out.append((found, [base, *(base - x for x, _ in ways)]))
+        return out
 
     def decode(self, ids) -> str:
         """The text of the ids: encode() and decode() restore any text without the mark itself."""
         byte_of = self.byte_of
         if byte_of.keys().isdisjoint(ids):
-            return "".join([self.texts[i] for i in ids]).replace(MARK, " ")[1:]
+            return "".join(map(self.texts.__getitem__, ids)).replace(MARK, " ")[1:]
         out, raw = [], bytearray()
         for i in ids:
             if i in byte_of:
                 raw.append(byte_of[i])
                 continue
             if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
+                out.append(raw.decode("utf-8", "replace"))
                 raw = bytearray()
             out.append(self.texts[i])
         if raw:
-            out.append(raw.decode("utf-8", "surrogatepass"))
+            out.append(raw.decode("utf-8", "replace"))
         return "".join(out).replace(MARK, " ")[1:]
 
 
@@ -136,23 +283,46 @@ def lattice(path: str) -> Lattice:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
-    """Per document: doc_id, ids (best segmentation), scores (n best), round_trip (whether decoding gives the text back).
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST) -> DataFrame:
+    """Per document: doc_id, segmentations (the ids of the n best, best first), scores, round_trip (whether decoding the best gives the text back).
 
-    Whole texts; a null text gives null ids. round_trip is false only where the
-    text holds the mark itself. Rows may repeat; an empty table gives an empty
-    one. ``model`` must exist on every worker.
+    Whole texts; a null text gives nulls; an empty one has one segmentation,
+    without pieces. Segmentations of equal score come in the order of the
+    search. round_trip is false only where the text holds the mark itself. Rows
+    may repeat; an empty table gives an empty one; other columns are ignored.
+    ``model`` must exist on every worker.
     """
+    kinds = (pa.list_(pa.list_(pa.int32())), pa.list_(pa.float64()), pa.bool_())
 
     def run(batches):
         pieces = lattice(model)
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                done = [None if t is None else pieces.encode(t, n) for t in part.column(1).to_pylist()]
-                same = [None if d is None else pieces.decode(d[0].tolist()) == t for d, t in zip(done, part.column(1).to_pylist(), strict=True)]
-                ids = pa.array([None if d is None else d[0] for d in done], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([None if d is None else d[1] for d in done], pa.list_(pa.float64())), pa.array(same, pa.bool_())], ["doc_id", "ids", "scores", "round_trip"])
+            texts = batch.column(1).to_pylist()
+            a = 0
+            while a < len(texts):
+                b, size = a, 0
+                while b < len(texts) and (b == a or size + len(texts[b] or "") <= TEXT_BYTES):
+                    size += len(texts[b] or "")
+                    b += 1
+                held = [t for t in texts[a:b] if t is not None]
+                done = dict(zip((i for i in range(a, b) if texts[i] is not None), pieces.encode(held, n), strict=True))
+                rows = [done.get(i) for i in range(a, b)]
+                columns = ([r and r[0] for r in rows], [r and r[1] for r in rows], [r and pieces.decode(r[0][0].tolist()) == t for r, t in zip(rows, texts[a:b], strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "segmentations", "scores", "round_trip"])
+                a = b
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>, scores array<double>, round_trip boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, segmentations array<array<int>>, scores array<double>, round_trip boolean")
+
+
+def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and text of rows of piece ids; null ids give a null text, ids outside the vocabulary an error."""
+
+    def run(batches):
+        pieces = lattice(model)
+        for batch in batches:
+            texts = [None if x is None else pieces.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    kind = dict(encoded.dtypes)[id_col]
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"doc_id {kind}, text string")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import decontaminate, language, licenses, near_duplicates, pieces, pii, quality_model, quality_rules, substrings, wrappers
 from .common import table
 
+#: Vocabulary of the queries on pieces.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -53,9 +56,9 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pieces.encode(table(spark, sf_dir, "documents"))
-    digest = F.sha2(F.array_join("ids", " "), 256)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), digest.alias("ids_sha256"), "round_trip")
+    done = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
+    digests = F.transform("segmentations", lambda ids: F.sha2(F.array_join(ids, " "), 256))
+    return done.select("doc_id", F.size(F.get("segmentations", 0)).cast("long").alias("n_pieces"), F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), digests.alias("ids_sha256"), "round_trip")
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

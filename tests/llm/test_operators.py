@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language, licenses, near_duplicates, pieces, pii, quality_model, quality_rules, substrings, wrappers
+from lodestone.llm.queries import PIECES
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,7 +37,7 @@ OPERATORS = {
     "licenses": lambda d: licenses.scan(d.select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string")).alias("path"), "text")),
     "language": lambda d: language.predict(d, language.train(d, "doc_id", "text", "lang")),
     "near_duplicates": lambda d: near_duplicates.link(d),
-    "pieces": lambda d: pieces.encode(d),
+    "pieces": lambda d: pieces.encode(d, PIECES),
     "wrappers": lambda d: wrappers.main_text(d.select(F.col("doc_id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.col("text").alias("html"))),
 }
 
