@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, near_duplicates, pieces, pii, quality_model
 from lodestone.llm.common import shared_dir
+from lodestone.llm.queries import PIECES
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with the scores of its best segmentations."""
-    return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), "round_trip")
+    done = pieces.encode(docs, PIECES).withColumn("ids", F.get("segmentations", 0))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), "round_trip")
 
 
 STAGES = [("quality", quality), ("near_duplicates", distinct), ("decontamination", decontaminated), ("pii", pseudonyms), ("pieces", encoded)]
