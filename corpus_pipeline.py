@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, near_duplicates, pieces, pii, quality_model
 from lodestone.llm.common import shared_dir
-from lodestone.llm.queries import PIECES
+from lodestone.llm.queries import PIECES, surrogate_key
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    done = pii.pseudonymise(docs).select(*docs.columns)
+    done = pii.pseudonymise(docs, surrogate_key(spark)).select(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 

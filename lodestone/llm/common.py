@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +31,14 @@ def alnum_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a temporary one where none is set."""
+    """The folder that driver and executors share. It is named by spark.checkpoint.dir; a local session without that setting takes its warehouse."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 
@@ -48,9 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcast if a count proves that it has at most ``rows`` rows, else unmarked."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int, size: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if a count proves that it has at most ``rows`` rows of ``size`` bytes as text in all, else unmarked."""
+    held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if held[0] <= rows and held[1] <= size else df
+
+
+def free(name: str, taken) -> str:
+    """``name``, with as many underscores after it as it takes to differ from every taken column name, whatever its case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

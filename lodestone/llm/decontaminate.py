@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, cut, small
+from .common import alnum_words, cut, let, small
 
 WINDOW = 10
 #: Item words kept together; longer items are cut into segments that overlap by a window.
 SEGMENT = 64
-#: Most rows of a table derived from the test set that may be broadcast (under 20 MB); beyond it, joins shuffle.
+#: Most rows of a table derived from the test set that may be broadcast, if their size is small too; beyond it, joins shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -78,12 +78,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     found = matches(docs, items, window)
     listed = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("item_id", "shift", "words", "width", "ks")).alias("near"))
-    both = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", alnum_words(F.col("text")).alias("words"), "near")
-    here = lambda c, k: F.forall(F.sequence(F.lit(0), c["width"] - 1), lambda j: F.get(c["words"], k + j) == F.coalesce(F.get("words", c["shift"] + k + j), F.lit("")))
-    exact = F.filter(F.transform(F.coalesce("near", F.array()), lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), c["width"].alias("width"), F.filter(c["ks"], lambda k: here(c, k)).alias("ks"))), lambda c: F.size(c["ks"]) > 0)
-    kept = both.select("doc_id", F.size("words").cast("long").alias("n_words"), exact.alias("exact"))
-    at = F.flatten(F.transform("exact", lambda c: F.flatten(F.transform(c["ks"], lambda k: F.sequence(c["shift"] + k, c["shift"] + k + c["width"] - 1)))))
-    return kept.select("doc_id", "n_words", F.array_sort(F.array_distinct(at)).alias("hits"), F.array_distinct(F.transform("exact", lambda c: c["item_id"])).alias("items"))
+    both = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", "near")
+
+    def rate(words):
+        here = lambda c, k: F.forall(F.sequence(F.lit(0), c["width"] - 1), lambda j: F.get(c["words"], k + j) == F.coalesce(F.get(words, c["shift"] + k + j), F.lit("")))
+        tried = F.transform("near", lambda c: F.struct(c["item_id"].alias("item_id"), c["shift"].alias("shift"), c["width"].alias("width"), F.filter(c["ks"], lambda k: here(c, k)).alias("ks")))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.filter(tried, lambda c: F.size(c["ks"]) > 0).alias("exact"))
+
+    # the words are bound once a row: a column of words would be split again for every word that is compared
+    rated = both.select("doc_id", let(alnum_words(F.col("text")), rate).alias("rated"))
+    exact = F.coalesce(F.col("rated.exact"), F.array())
+    at = F.flatten(F.transform(exact, lambda c: F.flatten(F.transform(c["ks"], lambda k: F.sequence(c["shift"] + k, c["shift"] + k + c["width"] - 1)))))
+    return rated.select("doc_id", F.col("rated.n_words").alias("n_words"), F.array_sort(F.array_distinct(at)).alias("hits"), F.array_distinct(F.transform(exact, lambda c: c["item_id"])).alias("items"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, slop: int = 3, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, small
+from .common import cut, free, let, small
 
 # The shapes of the entities that are looked for.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -61,8 +63,12 @@ def identity(kind: Column, entity: Column) -> Column:
 
 
 def _stream(key: str, kind: Column, ident: Column, attempt: Column) -> Column:
-    """A keyed digest as 64 hexadecimal digits."""
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, ident, attempt.cast("string")), 256)
+    """A keyed digest (HMAC of SHA-256) as 64 hexadecimal digits."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in secret)) for pad in (0x36, 0x5C))
+    message = F.encode(F.concat_ws("|", kind, ident, attempt.cast("string")), "UTF-8")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def _draw(digest: Column, i: Column, n) -> Column:
@@ -167,7 +173,8 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     again, until none is left. Distinctness is over the whole table. A fixed
     format with more entities than it has values raises an error.
     """
-    open_ = entities.select("kind", "ident", "sample", F.lit(0).alias("attempt"))
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = entities.select("kind", "ident", "sample", F.lit(0).alias("attempt")).repartition(tasks, "kind", "ident")
     real = entities.select("kind", F.col("ident").alias("new_ident"))
     for _ in range(MAX_ROUNDS):
         made = open_.withColumn("new", surrogate(F.col("sample"), F.col("kind"), F.col("ident"), F.col("attempt"), key))
@@ -184,37 +191,55 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no distinct surrogates left for {', '.join(kinds)}")
 
 
-def pseudonymise(docs: DataFrame, key: str = "lodestone", text_col: str = "text") -> DataFrame:
+def bare_names(text: Column, found: Column, kinds: Column, new: Column) -> Column:
+    """``text`` with the names of its titled mentions replaced where they stand without title: family alone, or given and family."""
+    edge = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), x, F.lit(r"\E(?![\p{L}\p{N}])"))
+    pairs = F.arrays_zip(found.alias("old"), new.alias("new"), kinds.alias("kind"))
+    names = F.transform(F.filter(pairs, lambda p: p["kind"] == "name"), lambda p: F.struct(F.regexp_replace(p["old"], r"^[^ ]+ ", "").alias("old"), F.regexp_replace(p["new"], r"^[^ ]+ ", "").alias("new")))
+    last = F.transform(names, lambda p: F.struct(F.element_at(F.split(p["old"], " "), -1).alias("old"), F.element_at(F.split(p["new"], " "), -1).alias("new")))
+    swap = lambda into, of: F.aggregate(F.array_distinct(of), into, lambda a, p: F.when(F.contains(a, p["old"]), F.regexp_replace(a, edge(p["old"]), p["new"])).otherwise(a))
+    return F.when(F.size(names) > 0, swap(swap(text, names), last)).otherwise(text)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with each detected entity in ``text_col`` replaced, plus n_entities and entity_kinds.
 
-    The same entity gets the same surrogate wherever it stands; different
-    entities get different ones, none of which is an entity of the input.
-    Texts without entities, nulls included, stay byte for byte. Rows may repeat;
-    an empty table gives an empty one; other columns pass through.
+    The same entity gets the same surrogate wherever it stands, and another one
+    under another ``key``; different entities get different ones, none of which
+    is an entity of the input. A name that a text gives with its title is
+    replaced in that text without title too, the family name alone or after the
+    given name; a given name alone stays, as many are words. n_entities counts
+    mentions that were detected by their shape. Texts without entities, nulls
+    and empty ones included, stay byte for byte. Rows may repeat; an empty
+    table gives an empty one; other columns pass through, and where one has a
+    name of ours, ours ends in an underscore.
     """
     text = F.col(text_col)
+    names = list(docs.columns)
+    n_col, kinds_col = free("n_entities", names), free("entity_kinds", names)
+    found_col, all_kinds, new_col, row_col, redo_col = (free(f"__{x}", names) for x in ("found", "kinds", "new", "row", "redo"))
     listed = mentions(docs, [], text_col).select(F.explode("found").alias("entity"))
     listed = listed.select("entity", kind_of(F.col("entity")).alias("kind"))
     listed = listed.select(F.inline(parts(F.col("kind"), F.col("entity"))))
     entities = cut(listed.groupBy("kind", "ident").agg(F.min("sample").alias("sample")))
     retry = cut(attempts(entities, key))
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
-    rows = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    rows = rows.withColumn("__kinds", F.transform("__found", lambda e: kind_of(e)))
     none = F.array().cast("array<string>")
+    rows = docs.withColumn(found_col, F.coalesce(found, none))
+    rows = rows.withColumn(all_kinds, F.transform(found_col, lambda e: kind_of(e)))
     if retry.isEmpty():
-        new = F.zip_with("__found", "__kinds", lambda e, k: replaced(e, k, lambda j: F.lit(0), key))
-        rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(none))
+        new = F.zip_with(found_col, all_kinds, lambda e, k: replaced(e, k, lambda j: F.lit(0), key))
+        rows = rows.withColumn(new_col, F.when(F.size(found_col) > 0, new).otherwise(none))
     else:  # attempts of the parts that collided are looked up by part, never by document
-        rows = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
-        each = rows.where(F.size("__found") > 0).select("__row", F.posexplode(F.zip_with("__found", "__kinds", lambda e, k: parts(k, e))).alias("i", "of"))
-        each = each.select("__row", "i", F.posexplode("of").alias("j", "part")).select("__row", (2 * F.col("i") + F.col("j")).alias("at"), "part.kind", "part.ident")
-        redo = each.join(small(retry, BROADCAST_ROWS), ["kind", "ident"]).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias("__redo"))
-        rows = rows.join(small(redo, BROADCAST_ROWS), "__row", "left").drop("__row")
-        tried = lambda i, j: F.coalesce(F.try_element_at(F.col("__redo"), 2 * i + j), F.lit(0))
-        new = F.transform("__found", lambda e, i: replaced(e, F.get("__kinds", i), lambda j: tried(i, j), key))
-        rows = rows.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(none)).drop("__redo")
-    pieces = F.split(text, ANY, -1)
-    woven = let(pieces, lambda p: F.array_join(F.flatten(F.transform(p, lambda x, i: F.array(x, F.coalesce(F.get("__new", i), F.lit(""))))), ""))
-    out = rows.withColumn(text_col, F.when(F.size("__found") > 0, woven).otherwise(text))
-    return out.withColumn("n_entities", F.size("__found").cast("long")).withColumn("entity_kinds", F.array_sort(F.array_distinct("__kinds"))).drop("__found", "__kinds", "__new")
+        rows = cut(rows.withColumn(row_col, F.monotonically_increasing_id()))
+        each = rows.where(F.size(found_col) > 0).select(F.col(row_col).alias("row"), F.posexplode(F.zip_with(found_col, all_kinds, lambda e, k: parts(k, e))).alias("i", "of"))
+        each = each.select("row", "i", F.posexplode("of").alias("j", "part")).select("row", (2 * F.col("i") + F.col("j")).alias("at"), "part.kind", "part.ident")
+        redo = each.join(small(retry, BROADCAST_ROWS), ["kind", "ident"]).groupBy(F.col("row").alias(row_col)).agg(F.map_from_entries(F.collect_list(F.struct("at", "attempt"))).alias(redo_col))
+        rows = rows.join(small(redo, BROADCAST_ROWS), row_col, "left").drop(row_col)
+        tried = lambda i, j: F.coalesce(F.try_element_at(F.col(redo_col), 2 * i + j), F.lit(0))
+        new = F.transform(found_col, lambda e, i: replaced(e, F.get(all_kinds, i), lambda j: tried(i, j), key))
+        rows = rows.withColumn(new_col, F.when(F.size(found_col) > 0, new).otherwise(none)).drop(redo_col)
+    woven = let(F.split(text, ANY, -1), lambda p: F.array_join(F.flatten(F.transform(p, lambda x, i: F.array(x, F.coalesce(F.get(new_col, i), F.lit(""))))), ""))
+    woven = let(woven, lambda t: bare_names(t, F.col(found_col), F.col(all_kinds), F.col(new_col)))
+    out = rows.withColumn(text_col, F.when(F.size(found_col) > 0, woven).otherwise(text))
+    return out.withColumn(n_col, F.size(found_col).cast("long")).withColumn(kinds_col, F.array_sort(F.array_distinct(all_kinds))).drop(found_col, all_kinds, new_col)

@@ -32,7 +32,7 @@ OPERATORS = {
     "quality_rules": lambda d: quality_rules.judge(d),
     "decontaminate": lambda d: decontaminate.contamination(d, d.select(F.col("doc_id").alias("item_id"), "text")),
     "substrings": lambda d: substrings.deduplicate(d),
-    "pii": lambda d: pii.pseudonymise(d),
+    "pii": lambda d: pii.pseudonymise(d, "k"),
     "quality_model": lambda d: quality_model.score(d, quality_model.train(d)),
     "licenses": lambda d: licenses.scan(d.select("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string")).alias("path"), "text")),
     "language": lambda d: language.predict(d, language.train(d, "doc_id", "text", "lang")),
@@ -150,6 +150,6 @@ def test_language_on_held_out_documents(docs):
 
 def test_surrogates_are_consistent_and_distinct(spark):
     rows = [(1, "mail a@b.org and c@d.org", "en"), (2, "mail a@b.org now", "en"), (3, "nothing here", "en")]
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, SCHEMA), "k").collect()}
     first, second = re.findall(r"\S+@\S+", got[1])
     assert first != second and "a@b.org" not in got[1] and re.findall(r"\S+@\S+", got[2]) == [first] and got[3] == "nothing here"

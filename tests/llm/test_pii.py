@@ -7,8 +7,8 @@ from lodestone.llm import pii
 SCHEMA = "doc_id long, text string"
 
 
-def done(spark, texts):
-    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+def done(spark, texts, key="k"):
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA), key).collect()
     return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
@@ -33,3 +33,41 @@ def test_distinct_where_the_format_has_few_values(spark):
     new = got[:-1]
     assert len(set(new)) == len(new) and not set(new) & {*mails, *names}
     assert len({t.split(" ")[-1] for t in new[len(mails) :]}) == 1 and got[-1] != "password=--------"
+
+
+def test_names_without_title_follow_their_titled_mention(spark):
+    got = done(spark, ["Mr John Smith came. John Smith left; Smith's hat stayed. Smithson and John did not.", "Smith of another text", "Frau Müller, Müller. Müllerin"])
+    given, family = re.match(r"Mr (\w+) (\w+) came", got[0]).groups()
+    assert got[0] == f"Mr {given} {family} came. {given} {family} left; {family}'s hat stayed. Smithson and John did not."
+    assert got[1] == "Smith of another text" and re.fullmatch(r"Frau (\w+), \1\. Müllerin", got[2])
+
+
+def test_gender_script_and_format_stay(spark):
+    texts = ["Mr John Smith", "Mrs Jane Brown", "господин Пётр Иванов", "госпожа Анна Белова", "card 4111 1111 1111 1111", "card 4111-1111-1111-1112", "ssn 123-45-6789", "call +49 30 1234567 now", "from 10.20.30.40", "mail Bob.Lee_9@mail.example.org", 'api_key = "deadbeefdeadbeef01"', "token: abcDEF123456"]
+    got = done(spark, texts)
+    male, female = pii.NAMES["m", "latin"], pii.NAMES["f", "latin"]
+    assert got[0].split(" ")[1] in male and got[1].split(" ")[1] in female
+    assert got[2].split(" ")[1] in pii.NAMES["m", "cyrillic"] and got[3].split(" ")[1] in pii.NAMES["f", "cyrillic"] and all(re.fullmatch(r"[а-яё]+ [А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+", got[i]) for i in (2, 3))
+    luhn = lambda t: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(re.sub(r"\D", "", t)))) % 10 == 0
+    assert re.fullmatch(r"card 4\d{3} \d{4} \d{4} \d{4}", got[4]) and luhn(got[4]) and re.fullmatch(r"card 4\d{3}-\d{4}-\d{4}-\d{4}", got[5])
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", got[6]) and re.fullmatch(r"call \+\d\d \d\d \d{7} now", got[7])
+    assert re.fullmatch(r"from \d+\.\d+\.\d+\.\d+", got[8]) and re.fullmatch(r"mail [a-z]{3}\.[a-z]{3}_\d@[a-z]{4}\.[a-z]{7}\.org", got[9])
+    assert re.fullmatch(r'api_key = "[0-9a-f]{18}"', got[10]) and re.fullmatch(r"token: [a-z]{3}[A-Z]{3}\d{6}", got[11])
+    assert not set(got) & set(texts)
+
+
+def test_the_key_decides(spark):
+    texts = ["mail a.person@b.org", "Mr John Smith"]
+    first, again, other = done(spark, texts), done(spark, texts), done(spark, texts, "another" * 20)
+    assert first == again and all(a != b for a, b in zip(first, other, strict=True))
+
+
+def test_odd_rows_and_columns_with_our_names(spark):
+    rows = [(None, None, 7, "x"), (1, "", 8, "x"), (2, "no one", 9, "x"), (3, "Mr Smith", 1, "x"), (3, "Mr Smith", 1, "x"), (4, "w " * 50_000 + "a@b.org", 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_entities int, __found string")
+    done_ = pii.pseudonymise(docs, "k")
+    assert done_.columns == ["doc_id", "text", "n_entities", "__found", "n_entities_", "entity_kinds"]
+    got = sorted((r["n_entities"], r["text"], r["n_entities_"], r["entity_kinds"]) for r in done_.collect() if r["text"] is not None)
+    assert [(a, c, d) for a, _, c, d in got] == [(1, 1, ["name"]), (1, 1, ["name"]), (2, 1, ["email"]), (8, 0, []), (9, 0, [])]
+    assert got[0][1] == got[1][1] != "Mr Smith" and got[2][1].startswith("w " * 50_000) and [x[1] for x in got[3:]] == ["", "no one"]
+    assert done_.where("text IS NULL").select("n_entities_").first()[0] == 0
