@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, small
+
 #: Pages of a host that its wrapper is inferred from, read whole: those with the smallest hash of url and page_id.
 SAMPLE = 12
 #: A text is template if it stands at one place in this share of the sampled pages, and in so many at least.
@@ -33,6 +35,7 @@ LINK_TEXTS, LINK_SHARE = 3, 0.8
 SALT = 64
 #: Bytes of wrappers that are broadcast; beyond it, the join shuffles.
 BROADCAST_BYTES = 8 << 20
+BROADCAST_ROWS = 100_000
 #: Lists of parts with a larger product of lengths are aligned first-fit.
 EXACT_CELLS = 250_000
 
@@ -462,7 +465,7 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "page_id").alias("h"), "html").where("host <> ''")
     chosen = keyed.select("host", "h").distinct().withColumn("turn", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("turn") <= sample).select("host", "h")
-    picked = keyed.join(chosen, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.max(F.coalesce("html", F.lit(""))).alias("html"))
+    picked = keyed.join(small(cut(chosen), BROADCAST_ROWS), ["host", "h"], "left_semi").groupBy("host", "h").agg(F.max(F.coalesce("html", F.lit(""))).alias("html"))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         texts = list(dict.fromkeys(rows.sort_values("h")["html"]))
@@ -479,8 +482,6 @@ def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     to be small, else in a join salted by page. Rows may repeat; other columns
     are ignored; an empty table gives an empty one.
     """
-    from .common import cut
-
     pages = pages.select("page_id", "url", "html")
     learnt = cut(wrappers(pages, sample))
     keyed = pages.withColumn("host", host_of(F.col("url")))
