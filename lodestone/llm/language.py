@@ -61,15 +61,16 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """Languages and their folded weights from rows with a label: a hash of the id picks at most about max_train rows, as many of each language."""
+    """Languages and their folded weights from rows with a label: a hash of id and text picks about max_train different rows, as many of each language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return [], np.zeros((1 << BITS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_train / len(counts) / n))])
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 20)) / F.lit(1 << 20)
-    picked = rows.where(chance < F.element_at(share, F.col(lang_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    model = picked.mapInArrow(_packed, "lang string, bits binary").limit(2 * max_train).groupBy().applyInPandas(_fit, "lang string, weights binary").collect()
+    drawn = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language"))
+    picked = rows.where(F.pmod(drawn, F.lit(1 << 20)) / F.lit(1 << 20) < F.element_at(share, F.col(lang_col)))
+    picked = picked.select(drawn.alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropDuplicates(["h"]).select("text", "lang")
+    model = picked.mapInArrow(_packed, "lang string, bits binary").groupBy().applyInPandas(_fit, "lang string, weights binary").collect()
     model.sort(key=lambda r: r[0])
     return [r[0] for r in model], np.stack([np.frombuffer(r[1], np.float32) for r in model], axis=1) if model else np.zeros((1 << BITS, 0), np.float32)
 

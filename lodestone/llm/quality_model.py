@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules, weak, wording
 from .blocks import bucket, byte_blocks, grams
+from .common import free
 
 #: Buckets of byte grams, and of words beside them.
 BITS, WORD_BITS = 12, 11
@@ -74,7 +75,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> np.ndarray:
-    """Weights of the scorer: votes of all documents are counted for EM; a hash of the id picks about max_train documents for the fit.
+    """Weights of the scorer: votes of all documents are counted for EM; a hash of id and text picks about max_train different ones for the fit.
 
     Form and wording have a label model each, as good form says nothing of the
     wording and would outvote it; a document is good if it is so in both.
@@ -88,20 +89,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_t
         return np.zeros(SIZE + 1)
     model = weak.fit(patterns, len(names))
     clean = weak.fit(weak.pattern_counts(wording.voted(docs, text_col), list(wording.VOTES)), len(wording.VOTES))
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.lit(1 << 20)) / F.lit(1 << 20)
-    picked = docs.where(chance < min(1.0, max_train / total)).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    drawn = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("quality"))
+    picked = docs.where(F.pmod(drawn, F.lit(1 << 20)) / F.lit(1 << 20) < min(1.0, max_train / total))
+    picked = picked.select(drawn.alias("h"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["h"]).drop("h")
     labelled = quality_rules.features(picked.withColumn("doc_id", F.struct("doc_id", "text"))).select("doc_id", *[v.alias(k) for k, v in labellers.items()])
     rows = labelled.select("doc_id.text", weak.posterior(model, names).alias("p"))
-    found = rows.mapInArrow(_vectors(clean["weights"]), "p double, x binary").limit(2 * max_train).groupBy().applyInPandas(_fit, "w binary").collect()
+    found = rows.mapInArrow(_vectors(clean["weights"]), "p double, x binary").groupBy().applyInPandas(_fit, "w binary").collect()
     return np.frombuffer(found[0][0]) if found else np.zeros(SIZE + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
     """``docs`` with the probability that each whole text is good; nulls count as empty texts.
 
-    One pass without a shuffle. Columns stay, whatever their names; rows may
-    repeat; an empty table gives an empty one.
+    One pass without a shuffle. Columns stay, whatever their names; where one is
+    called ``out_col``, ours ends in an underscore. Rows may repeat; an empty
+    table gives an empty one.
     """
+    out_col = free(out_col, docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE + 1 numbers
 
     def rate(batches):
