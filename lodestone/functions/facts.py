@@ -5,64 +5,105 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .segments import sentences
-from .text import let, normalize, number_words
-
-# Units, experience words, wording of options and of pay.
-UNIT = r"(years?|ani|an|год|года|лет|months?|luni|luna|месяц|месяца|месяцев)"
-ABOUT = r"experien|experient|стаж|опыт"
-OPTIONAL = r"preferred|nice to have|a plus|advantage|avantaj|желательно|плюс"
-STUDENTS = r"or (?:a )?students?|sau student|или студент"
-UPPER = r"(?:up to|maximum|pana la|до) ?$"
-NOT_OURS = r"on the market|company|founded|на рынке|pe piata|training|course|driving|mentor"
-AMOUNT = r"\d[\d .,]*\d ?(?:lei|mdl|eur|euro|usd|€|\$)"
-PAY = r"salary|salariu|зарплата|pay"
-LATER = r"after (?:the )?internship|dupa stagiu|после стажировки"
-
-
-def experience(text: Column) -> Column:
-    """struct<required, preferred, alternatives array<struct<years, evidence>>, minimum double>.
-
-    Each sentence on experience is read once: the first number of a range
-    counts, months are twelfths, and an upper bound asks for none. Company age,
-    training, mentors and driving do not count. The minimum is the largest
-    required number, or null; 0 differs from null.
+from ..operators.lexicon import OPTIONAL
+from .segments import records, trimmed
+from .text import clean, let, normalize, number_words
+
+# Mentions of years, what makes them an applicant's experience, and what does not.
+YEARS = r"(?<![\p{L}\p{N}])(\d{1,2})(?:\s*(?:-|to|до)\s*(\d{1,2}))?\s*(?:\+|-х|-го)?\s*(years?|yrs?|ani|an|лет|года?|luni|months?|месяц[а-я]*)(?!\p{L})"
+MONTHS = r"luni|months?|месяц"
+ABOUT = r"experien[a-z]*|опыт[а-я]*"
+MINIMUM = r"minimum|minim|at least|cel putin|не менее|от \d"
+COMPANY = r"(?:company|compania|компания|работаем).{0,80}(?:years?|ani|лет)"
+MENTOR = r"mana dreapta a unui|mentored by|under (?:the )?(?:guidance|supervision) of|под руководством.{0,40}(?:наставника|коллеги)"
+DRIVING = r"стаж[а-я]* вождения|driving experience|experienta (?:de |in )?conducere"
+TRAINING, TRAINED = r"training|instruire|обучение", r"(?:years?|ani|лет).{0,20}(?:of )?experience|experienta.{0,40}\d|опыт.{0,40}\d"
+UPPER = r"up to|pana la|до\s*$"
+STUDENTS = r"(?:or|sau)\s+student|или\s+студент"
+# Amounts of money, labels of pay, and pay that comes later.
+NUMBER = r"\d+(?:[ .,\u00a0]\d{3})*(?:[.,]\d{1,2})?"
+CURRENCY = r"(?:MDL|USD|EUR|lei|euro|dolari|доллар[а-я]*|ле[йя]|\$|€)"
+RANGE = r"(?:-|–|—|to|până la|pana la|до)"
+AMOUNT = rf"(?<![\p{{L}}\p{{N}}])(?:{CURRENCY}\s*{NUMBER}(?:\s*{RANGE}\s*(?:{CURRENCY}\s*)?{NUMBER})?|{NUMBER}(?:\s*{RANGE}\s*{NUMBER})?\s*{CURRENCY})(?!\p{{L}})"
+FROM = r"(?:from|de la|începând de la|incepand de la|от)\s*"
+BARE = rf"(?iu)^(?:(?:from|de la|от)\s*)?{NUMBER}(?:\s*{RANGE}\s*{NUMBER})?$"
+AMOUNT_LINE = rf"(?iu)^(?:(?:from|de la|от)\s*)?{AMOUNT}(?:\s*(?:per month|monthly|pe lun[aă]|/month|/lun[aă]|в месяц))?[;.!]?$"
+ROLE = r"(?iu)^(?:intern(?:ship)?|trainee|junior|stagiar|specialist junior|стажер|стажёр|младший специалист)\s*:\s*"
+PAY = r"salary|salari[au]|remunerare|зарплат[а-я]*|заработн[а-я]* плат[а-я]*|compensation|pay:"
+LATER = r"after.{0,30}(?:internship|training)|dupa.{0,25}(?:stagiu|instruire)|после.{0,25}стажировк"
+LABEL = r"(?iu)^(?:salary|salari[au]l?|зарплата|compensation|remunerare)\s*:$"
+
+
+def experience(text: Column, requirements: Column | None = None, preferred: Column | None = None) -> Column:
+    """struct<required, preferred, alternatives array<struct<years, mentioned, evidence>>, minimum double>.
+
+    Every mention of years or months counts that stands near a word for
+    experience, or in a sentence of ``requirements`` that names a minimum. The
+    first number of a range counts, months are twelfths, and an upper bound asks
+    for none; ``mentioned`` is the larger number. Company age, training, mentors
+    and driving do not count. A student alternative comes first, then options
+    (worded so, or in ``preferred``). The minimum is the largest required
+    number, or null; 0 differs from null.
     """
-    number = rf"(\d+(?:[.,]\d+)?)(?: ?[-–+] ?(?:\d+(?:[.,]\d+)?)?)? ?\+? ?{UNIT}"
+    asked = F.transform(records(F.lit("") if requirements is None else requirements, ""), lambda r: r["normalized"])
+    optional = F.lit("") if preferred is None else normalize(preferred)
+    tail, head = (lambda s, n: F.substring(s, F.greatest(F.length(s) - n + 1, F.lit(1)), F.lit(n))), (lambda s, n: F.substring(s, F.lit(1), F.lit(n)))
+
+    def mention(said: Column, n: Column, implied: Column, wished: Column, pieces: Column, m: Column, i: Column) -> Column:
+        before, after = F.array_join(F.slice(pieces, 1, 2 * i + 1), ""), F.array_join(F.slice(pieces, 2 * i + 3, F.size(pieces)), "")
+        low, high, unit = (F.nullif(F.regexp_extract(m, YEARS, k), F.lit("")) for k in (1, 2, 3))
+        years = lambda x: F.when(unit.rlike(MONTHS), x.cast("double") / 12).otherwise(x.cast("double"))
+        near = F.concat(tail(before, 100), m, head(after, 100))
+        counted = (near.rlike(ABOUT) | implied) & ~(near.rlike(TRAINING) & ~near.rlike(TRAINED))
+        # an option in brackets that hold no mention does not make the mention optional
+        judged = F.when(before.rlike(r"\([^)]*$"), n).otherwise(F.regexp_replace(n, r"\([^)]*\)", ""))
+        kind = F.when(n.rlike(STUDENTS), "alternatives").when(judged.rlike(OPTIONAL) | wished, "preferred").otherwise("required")
+        value = F.when(tail(before, 20).rlike(UPPER), F.lit(0.0)).otherwise(years(low))
+        return F.struct(value.alias("years"), years(F.coalesce(high, low)).alias("mentioned"), said.alias("evidence"), kind.alias("kind"), counted.alias("counted"))
+
+    def read(r: Column) -> Column:
+        def numbered(n: Column) -> Column:
+            implied = F.array_contains(asked, r["normalized"]) & n.rlike(MINIMUM)
+            wished = (F.length(optional) > 0) & F.contains(optional, r["normalized"])
+            ours = (n.rlike(ABOUT) | implied) & ~n.rlike(COMPANY) & ~n.rlike(f"{MENTOR}|{DRIVING}")
+            found = F.regexp_extract_all(n, F.lit(YEARS), F.lit(0))
+            pieces = F.flatten(F.zip_with(F.split(n, YEARS, -1), found, lambda x, y: F.array(x, F.coalesce(y, F.lit("")))))
+            listed = let(pieces, lambda p: F.transform(found, lambda m, i: mention(r["text"], n, implied, wished, p, m, i)))
+            return F.when(ours, F.filter(listed, lambda x: x["counted"]))
 
-    def read(s: Column, n: Column) -> Column:
-        amount = F.regexp_replace(F.regexp_extract(n, number, 1), ",", ".").try_cast("double")
-        unit = F.regexp_extract(n, number, 2)
-        years = F.when(n.rlike(rf"(?:up to|maximum|pana la|до) {number}"), 0.0).when(unit.rlike("^(?:month|lun|месяц)"), amount / 12).otherwise(amount)
-        kind = F.when(n.rlike(STUDENTS), "alternatives").when(n.rlike(OPTIONAL), "preferred").otherwise("required")
-        return F.struct(years.alias("years"), s.alias("evidence"), kind.alias("kind"), (n.rlike(ABOUT) & ~n.rlike(NOT_OURS)).alias("about"))
+        return let(number_words(r["normalized"]), numbered)
 
     def buckets(found: Column) -> Column:
-        of = lambda k: F.transform(F.filter(found, lambda r: r["kind"] == k), lambda r: F.struct(r["years"].alias("years"), r["evidence"].alias("evidence")))
-        required = of("required")
-        return F.struct(required.alias("required"), of("preferred").alias("preferred"), of("alternatives").alias("alternatives"), F.array_max(F.transform(required, lambda r: r["years"])).alias("minimum"))
+        of = lambda k: F.transform(F.filter(found, lambda x: x["kind"] == k), lambda x: F.struct(x["years"].alias("years"), x["mentioned"].alias("mentioned"), x["evidence"].alias("evidence")))
+        return F.struct(of("required").alias("required"), of("preferred").alias("preferred"), of("alternatives").alias("alternatives"), F.array_max(F.transform(of("required"), lambda x: x["years"])).alias("minimum"))
 
-    return let(F.filter(F.transform(sentences(text), lambda s: let(number_words(s), lambda n: read(s, n))), lambda r: r["years"].isNotNull() & r["about"]), buckets)
+    timed = F.filter(records(text, ""), lambda r: r["normalized"].rlike(r"years?|yrs?|\ban\b|ani|лет|год|luni|month|месяц"))
+    return let(F.flatten(F.array_compact(F.transform(timed, read))), buckets)
 
 
 def salary(field: Column, title: Column, text: Column, unclear: Column | None = None) -> Column:
-    """The stated pay, or empty: the field (an amount or a bare number), else the title, else lines about pay.
+    """The stated pay, or empty: the field (with an amount or a bare number), else the title's amount, else lines about pay.
 
-    Lines on pay after an internship do not count; up to three lines of amounts
-    that follow a label are joined. ``unclear`` suppresses all.
+    An amount is a number or range with a currency on either side. Lines on pay
+    after an internship do not count; a label alone in its line takes up to
+    three lines of amounts; else the first amount of the line, or of the line of
+    amounts after it, with a word for "from". ``unclear`` suppresses all.
     """
-    value = lambda c: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), rf"(?i)((?:from |up to |de la |от |до )?{AMOUNT}(?: ?- ?{AMOUNT})?)", 1), F.lit(""))
-    bare = F.when(F.trim(field).rlike(r"^\d[\d .,-]*$"), F.trim(field))
-    amount = lambda c: F.coalesce(normalize(c).rlike(f"^[-• ]*{AMOUNT}"), F.lit(False))
+    found = lambda c: F.regexp_extract(c, rf"(?iu)({AMOUNT})", 1)
+    stated = F.regexp_replace(clean(field), r"\s+", " ")
+    is_amount = lambda c: F.coalesce(F.regexp_replace(c, ROLE, "").rlike(AMOUNT_LINE), F.lit(False))
 
-    def stated(lines: Column, line: Column, i: Column) -> Column:
+    def line_pay(lines: Column, line: Column, i: Column) -> Column:
         more = [F.get(lines, i + k) for k in (1, 2, 3)]
-        held = [amount(more[0]), amount(more[0]) & amount(more[1]), amount(more[0]) & amount(more[1]) & amount(more[2])]
-        joined = F.concat_ws("; ", *[F.when(h, m) for h, m in zip(held, more, strict=True)])
+        held = [is_amount(more[0]), is_amount(more[0]) & is_amount(more[1]), is_amount(more[0]) & is_amount(more[1]) & is_amount(more[2])]
+        joined = F.concat_ws("; ", *[F.when(h, F.regexp_replace(m, r"[;.!]$", "")) for h, m in zip(held, more, strict=True)])
+        here = F.concat_ws(" ", line, F.when(F.coalesce(more[0].rlike(AMOUNT_LINE), F.lit(False)), more[0]))
+        single = F.regexp_extract(here, rf"(?iu)((?:{FROM})?{AMOUNT})", 1)
+        single = F.coalesce(F.nullif(single, F.lit("")), F.nullif(found(here), F.lit("")))
         n = normalize(line)
-        return F.when(n.rlike(PAY) & ~n.rlike(LATER), F.coalesce(value(line), F.when(n.rlike(r":\s*$"), F.nullif(joined, F.lit("")))))
+        return F.when(n.rlike(PAY) & ~n.rlike(LATER), F.coalesce(F.when(line.rlike(LABEL), F.nullif(joined, F.lit(""))), single))
 
-    first = lambda lines: F.get(F.filter(F.transform(lines, lambda line, i: stated(lines, line, i)), lambda x: x.isNotNull()), F.lit(0))
-    listed = let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), first)
-    out = F.coalesce(value(field), bare, value(title), listed, F.lit(""))
+    first = lambda lines: F.get(F.filter(F.transform(lines, lambda line, i: line_pay(lines, line, i)), lambda x: x.isNotNull()), F.lit(0))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), clean)
+    out = F.coalesce(F.when(stated.rlike(rf"(?iu){AMOUNT}") | stated.rlike(BARE), stated), F.nullif(trimmed(found(F.coalesce(title, F.lit("")))), F.lit("")), let(lines, first), F.lit(""))
     return out if unclear is None else F.when(F.coalesce(unclear, F.lit(False)), "").otherwise(out)

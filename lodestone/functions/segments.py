@@ -5,50 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, normalize
+from .text import MARKED, PLAIN, let, normalize
 
 #: Stands between pieces; it occurs in no text that passed clean().
 MARK = "\u0001"
-# Section headers by kind.
+# Section headers by kind, without accents.
 HEADERS = {
-    "responsibilities": "responsibilities|duties|what you will do|responsabilitati|atributii|обязанности|задачи",
-    "requirements": "requirements|qualifications|what we expect|cerinte|требования",
-    "benefits": "benefits|we offer|what we offer|beneficii|oferim|условия|мы предлагаем",
-    "preferred": "nice to have|preferred|would be a plus|constituie avantaj|будет плюсом",
+    "responsibilities": r"responsabilitat(?:i|ile)(?: tale| candidatului)?|atributii|ce ai de facut|cum arata munca|what you['’]?ll do|what you will (?:do|be doing)|(?:your )?duties(?: and responsibilities)?|(?:key |job )?responsibilities|(?:your )?role|чем вы будете заниматься|(?:(?:ключевые|должностные) )?обязанности(?: кандидата)?|задачи",
+    "requirements": r"cerinte(?:le)?(?: obligatorii| de calificare| fata de candidat)?|ce asteptam de la tine|ce trebuie sa ai|vom aprecia sa ai|(?:job )?requireme?n?ts|this is what we expect from you|what we['’]?re looking for|what we (?:look|are looking) for|(?:your skills, experience, and )?qualifications(?: required)?|your (?:profile|skills)|что мы ожидаем от кандидата|(?:обязательные )?требования(?: к кандидат[а-я]*)?",
+    "benefits": r"oferta(?: companiei)?|beneficii|ce (?:iti )?oferim|oferim|ce primiti|what (?:do )?we offer|why join us|(?:these are your |extra )?benefits(?: we offer)?|условия(?: работы)?|(?:что )?мы предлагаем|компания предлагает",
+    "preferred": r"(?:constituie|vor fi|va fi).{0,15}avantaj|nice to have|good to have|preferred qualifications|would be a plus|(?:будет|является) (?:плюсом|преимуществом)|желательно",
 }
+TITLES = {"intro": "Introduction", "responsibilities": "Responsibilities", "requirements": "Requirements", "preferred": "Preferred qualifications", "benefits": "Benefits"}
+_FIELD = "\u0002"
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def sentences(text: Column) -> Column:
-    """array<string>: pieces between line ends, ``;``, ``!``, ``?`` and periods before a space and a letter; e.g. and i.e. do not end one."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\n;!?]+|(?<!\b(?:e\.g|i\.e))\.\s+(?=\p{L})", MARK)
-    return F.filter(F.transform(F.split(cut, MARK), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+    """array<string>: unchanged pieces of the text with their ends, which are line ends, ``;``, ``!``, ``?`` and periods before a space and a letter; e.g., i.e. and their like do not end one."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\n;!?])", f"$1{MARK}")
+    cut = F.regexp_replace(cut, r"(?iu)(?<!т\.\s?[дп])(?<![ei]\.\s?[ge])\.(?=\s+\p{L})", f".{MARK}")
+    return F.filter(F.transform(F.split(cut, MARK), trimmed), lambda s: F.length(s) > 0)
 
 
 def records(text: Column, section: str) -> Column:
     """array<struct<text, section, normalized>> of the sentences."""
-    plain = lambda s: F.regexp_replace(normalize(s), r"[.,:\s]+$", "")
+    plain = lambda s: trimmed(F.regexp_replace(normalize(s), r"[;.!?]+$", ""))
     return F.transform(sentences(text), lambda s: F.struct(s.alias("text"), F.lit(section).alias("section"), plain(s).alias("normalized")))
 
 
+def accented(pattern: str) -> str:
+    """``pattern`` with each plain Latin letter standing for its marked forms too, so that it can run on unchanged text."""
+    marks: dict[str, str] = {}
+    for marked, base in zip(MARKED, PLAIN, strict=True):
+        marks[base] = marks.get(base, "") + marked
+    out, inside, escaped = [], False, False
+    for c in pattern:
+        inside = (c == "[") or (inside and c != "]")
+        out.append(f"[{c}{marks[c]}]" if c in marks and not inside and not escaped else c)
+        escaped = c == "\\"
+    return "".join(out)
+
+
 def sections(text: Column, headers: dict[str, str] | None = None) -> Column:
     """struct of intro, one field a section kind, and full_text.
 
-    A header stands at the start of a line and ends with a colon or the line.
-    Repeated headers add to their section. Without a header all text counts as
-    the first kind.
+    A header stands at the start, within two characters after a line end or a
+    mark that ends a sentence, or before a colon. Repeated headers add to their
+    section. Without a header all text counts as the first kind.
     """
     headers = headers or HEADERS
     body, kinds = F.coalesce(text, F.lit("")), list(headers)
-    marked = body
-    for i, pattern in enumerate(headers.values()):
-        marked = F.regexp_replace(marked, rf"(?im)^[ \t]*(?:{pattern})[ \t]*(?::|$)", f"{MARK}{i}")
+    groups = "|".join(f"({accented(p)})" for p in headers.values())
+    header = rf"(?isu)(?<=\A|[\n.!?:]|[\n.!?:].)(?:{groups})|(?:{groups})(?=\s{{0,4}}:)"
+    n = len(kinds)
+    marked = F.regexp_replace(body, header, MARK + "".join(f"${i + 1}${i + 1 + n}{_FIELD}" for i in range(n)))
 
     def parted(parts: Column) -> Column:
-        rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))
-        of = lambda i: F.trim(F.array_join(F.transform(F.filter(rest, lambda p: F.startswith(p, F.lit(str(i)))), lambda p: F.trim(F.substring(p, F.lit(2), F.length(p)), F.lit(" \n"))), "\n"))
+        split = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.split(p, _FIELD, n + 1))
+
+        def of(i: int) -> Column:
+            mine = F.filter(split, lambda f: F.length(F.get(f, i)) > 0)
+            return trimmed(F.array_join(F.transform(mine, lambda f: trimmed(F.regexp_replace(F.get(f, n), r"^\s*[:\-]\s*", ""))), "\n"))
+
         some = F.size(parts) > 1
-        fields = [F.when(some, F.trim(parts[0], F.lit(" \n"))).otherwise("").alias("intro")]
-        fields += [F.when(some, of(i)).otherwise(F.trim(parts[0]) if i == 0 else F.lit("")).alias(k) for i, k in enumerate(kinds)]
+        fields = [trimmed(F.when(some, parts[0]).otherwise("")).alias("intro")]
+        fields += [F.when(some, of(i)).otherwise(trimmed(parts[0]) if i == 0 else F.lit("")).alias(k) for i, k in enumerate(kinds)]
         return F.struct(*fields, body.alias("full_text"))
 
     return let(F.split(marked, MARK), parted)

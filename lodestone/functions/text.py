@@ -21,6 +21,9 @@ def _latin() -> tuple[str, str]:
 MARKED, PLAIN = _latin()
 # Curly quotes, long dashes and the no-break space, with what stands for them.
 QUOTED, UNQUOTED = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
+#: Lower-case letters with marks and the signs above: what one pass over lower-cased text replaces.
+_SMALL = "".join(m for m in MARKED if m == m.lower())
+_FOLDED, _FOLDS = _SMALL + QUOTED, "".join(dict(zip(MARKED, PLAIN, strict=True))[m] for m in _SMALL) + UNQUOTED
 
 
 def let(value: Column, body) -> Column:
@@ -30,11 +33,10 @@ def let(value: Column, body) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case, Latin letters without marks (other scripts keep theirs), plain quotes, dashes and spaces. Null: empty."""
-    value = F.coalesce(text, F.lit(""))
-    folded = F.translate(value, MARKED, PLAIN)
-    marked = F.when(folded.rlike(r"\p{M}"), F.regexp_replace(folded, r"(\p{IsLatin})\p{M}+", "$1")).otherwise(folded)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    folded = F.translate(low, _FOLDED, _FOLDS)
     # most texts are plain: only others pay for the folding
-    return F.when(value.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(marked), QUOTED, UNQUOTED)).otherwise(F.lower(value))
+    return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(folded.rlike(r"\p{M}"), F.regexp_replace(folded, r"(\p{IsLatin})\p{M}+", "$1")).otherwise(folded)
 
 
 def clean(text: Column) -> Column:
@@ -93,16 +95,20 @@ def dice(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(0.0))
 
 
-# Number words before a word for years.
-NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "un": 1, "doi": 2, "trei": 3, "patru": 4, "cinci": 5, "один": 1, "два": 2, "три": 3, "четыре": 4, "пять": 5}
+# Number words before a word for years, in the cases that they take there.
+NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "ten": 10, "un": 1, "doi": 2, "doua": 2, "trei": 3, "patru": 4, "cinci": 5, "один": 1, "одного": 1, "два": 2, "двух": 2, "три": 3, "трех": 3, "четыре": 4, "пять": 5, "пяти": 5}
 
 
 def number_words(text: Column, unit: str = "years?|ani?|год|года|лет") -> Column:
     """Number words as digits where a unit follows."""
-    out = normalize(text)
-    for word, n in NUMBERS.items():
-        out = F.regexp_replace(out, rf"(^|[^\p{{L}}\p{{N}}]){word} (?=(?:{unit})(?:$|[^\p{{L}}\p{{N}}]))", f"$1{n} ")
-    return out
+    after = rf" (?=(?:{unit})(?:$|[^\p{{L}}\p{{N}}]))"
+
+    def replaced(out: Column) -> Column:
+        for word, n in NUMBERS.items():
+            out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}]){word}{after}", f"{n} ")
+        return out
+
+    return let(normalize(text), lambda t: F.when(t.rlike(rf"(?:{'|'.join(NUMBERS)}){after}"), replaced(t)).otherwise(t))
 
 
 def safe_link(link: Column, hosts: list[str] | None = None, path: str = "/.*", schemes: str = "https") -> Column:

@@ -9,60 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions import segments
 from ..functions.facts import experience
-from ..functions.text import normalize
+from ..functions.text import normalize, shown_number
+from . import lexicon as lex
 
 VERSION = 9
-# Fixed values: (category, title words, body words) in the order of matching.
-CATEGORIES = [
-    ("Data Entry & Operations", r"data entry|back ?office|operator date|оператор данных", r"data entry|enter data"),
-    ("QA & Testing", r"qa|testers?|test engineer|тестировщик", r"test cases|manual testing|bug reports"),
-    ("Design & UX", r"(?:graphic|ui|ux|ui/ux|web) ?designer|designer|дизайнер", r"figma|photoshop"),
-    ("Product & Project Assistance", r"(?:project|product) (?:assistant|coordinator|manager|owner)", r"project documentation|backlog"),
-    ("Cybersecurity & Monitoring", r"soc|cyber ?security|security analyst|noc", r"siem|incident monitoring"),
-    ("IT Support & Helpdesk", r"help ?desk|(?:it|technical|tech) support|suport tehnic|техподдержк\w*", r"helpdesk|troubleshoot\w*|remote assistance"),
-    ("Systems & Networks", r"system administrator|sys ?admin|network (?:engineer|administrator)|devops|системный администратор|сисадмин", r"active directory|routers|network equipment"),
-    ("Data & Analytics", r"data (?:analyst|scientist|engineer)|bi analyst|аналитик данных", r"power bi|dashboards|data analysis"),
-    ("Web Content & E-commerce", r"content (?:manager|editor)|e-?commerce|контент[- ]менеджер", r"product cards|online shop content"),
-    ("Marketing & Web Tech", r"seo|smm|ppc|digital marketing", r"google ads|seo"),
-    ("Software Development", r"developer|programmer|software engineer|front-?end|back-?end|программист|разработчик", r"write code|rest api|software development"),
-    ("IT Internships", r"it (?:intern|internship|trainee)", r"it internship"),
-    ("General IT", r"it (?:specialist|assistant|technician)", r"information technology"),
-]
-DEVELOPER = r"developer|programmer|software engineer|программист|разработчик"
-NON_TECH = r"recruiter|account manager|office manager|accountant|finance\w*|sales|lawyer|driver|hr"
-# Fixed values: (tag, where it is looked for, words).
-TAGS = [
-    ("No Experience Required", "full", r"no (?:prior )?experience (?:is )?(?:required|needed|necessary)|without experience|fara experienta|без опыта"),
-    ("Internship / Trainee", "any", r"internship|intern|trainee|stagiu|стаж[её]р|стажировк\w*"),
-    ("Employer Training", "full", r"(?:we )?(?:provide|offer) (?:free |paid )?training|training is provided|oferim instruire|обучаем"),
-    ("Driver's License", "full", r"driving licen[cs]e|driver'?s licen[cs]e|permis de conducere|водительск\w+ прав\w*"),
-    ("No Degree Required", "full", r"no degree (?:is )?(?:required|needed)|degree is not required|fara studii superioare"),
-    ("Portfolio", "relevant", r"portfolio|portofoliu|портфолио"),
-    ("Customer Facing", "full", r"(?:support|assist|help)\w* (?:our )?(?:customers|clients)"),
-]
-STUDENT = r"students?(?: and graduates?)? (?:are )?welcome|for students|studenti|студент\w*"
-ENTRY_TITLE, ENTRY_BODY, SENIOR = r"junior|entry[- ]level|beginner|джуниор|младший", r"entry[- ]level|junior|first job|incepator", r"senior|lead|middle|head|principal|старший"
-SKILLS = {
-    "JavaScript / Node": r"javascript|node\.?js|typescript|react(?! to)", "Python": "python", "Java": "java", "C# / .NET": r"c#|\.net", "C++": r"c\+\+", "PHP": "php", "SQL / DB": r"sql|mysql|postgres\w*|databases?",
-    "Linux": "linux", "Git": r"git|github|gitlab", "Excel / Sheets": r"excel|google sheets", "WordPress / CMS": r"wordpress|cms", "Figma": "figma", "Manual Testing": r"manual test\w*", "Test Automation": r"test automation|selenium|cypress",
-}
-LANGUAGES = {"English": r"english|engleza|английск\w*", "Romanian": r"romanian|romana|румынск\w*", "Russian": r"russian|rusa|русск\w*", "Italian": r"italian\w*|итальянск\w*", "German": r"german|germana|немецк\w*", "French": r"french|franceza|французск\w*"}
-OPTIONAL = r"preferred|nice to have|a plus|an advantage|avantaj|желательно|плюс\w*"
-LEVEL = r"fluent|level|knowledge|good|required|b1|b2|c1|cunoasterea|знание|уровень"
-COURSE = r"courses?|lessons|cursuri|курсы"
-PRIOR = r"(?:previous|prior|work|commercial|proven) experience|experience (?:in|with) (?:a )?similar|опыт работы|experienta in domeniu"
-ADVANCED = r"(?:advanced|expert|deep) (?:knowledge|skills|level)|in-depth knowledge"
-DEGREE, NO_ALTERNATIVE = r"(?:bachelor|university|higher) (?:degree|education)|degree in|studii superioare|высшее образование", r"or student|or equivalent|student"
-FEE, WAIVED, COURSE_TITLE = r"(?:training|course|registration) fee|paid course|taxa de|платное обучение", r"no (?:training |course )?fee|free|without fee", r"courses?|curs|курсы"
-UNPAID, PAID, LATER_PAID = r"unpaid|no salary|neplatit|неоплачиваем\w*", r"paid internship|internship is paid|stagiu platit|оплачиваемая стажировка", r"paid after|salary after (?:the )?internship|зарплата после"
-RELOCATE, REMOTE, HYBRID = r"relocation (?:is )?required|must relocate|relocare", r"remote|work from home|de la distanta|удал[её]нн\w*", r"hybrid|hibrid|гибридн\w*"
-SHIFTS = {"Part Time": r"part[- ]time|jumatate de norma|неполный", "Flexible Schedule": r"flexible (?:schedule|hours)|program flexibil|гибкий график", "Rotational Shifts": r"(?:rotating|rotational|night) shifts?|ture|сменный"}
-WEIGHTS = {"base": 35, "no_experience": 35, "entry_title": 20, "entry_body": 20, "student": 15, "training": 5}
+
+
+def phrase(words: str) -> str:
+    """A pattern for words that stand between characters that are no letters or digits."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
 
 
 def has(text: Column, words: str) -> Column:
     """Whether words stand in an already normalized text; never null."""
-    return F.coalesce(text.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"), F.lit(False))
+    return said(text, phrase(words))
+
+
+def said(text: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; never null."""
+    return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
 def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -76,110 +41,198 @@ def last_reason(reasons: list[tuple[str, Column]]) -> Column:
 
 
 def score(no_experience: Column, entry_title: Column, entry_body: Column, student: Column, training: Column) -> Column:
-    w = WEIGHTS
+    w = lex.WEIGHTS
     add = lambda c, n: F.when(c, n).otherwise(0)
     return F.lit(w["base"]) + add(no_experience, w["no_experience"]) + F.when(entry_title, w["entry_title"]).when(entry_body, w["entry_body"]).otherwise(0) + add(student, w["student"]) + add(training, w["training"])
 
 
 def capped(points: Column, fit: Column) -> Column:
     """The score under the limit of its fit."""
-    most = F.when(fit == "excluded", 0).when(fit == "review", 49).when(fit == "other", 30).when(fit == "stretch", 65).otherwise(100)
+    most = reduce(lambda out, k: F.when(fit == k, lex.CAPS[k]).otherwise(out), lex.CAPS, F.lit(100))
     return F.least(points, most)
 
 
-def evaluate(df: DataFrame, local: str = "chisinau|moldova|кишинев|молдова", foreign: str = "romania|bucharest|germany|poland") -> DataFrame:
-    """``df`` (title, text, location, work_mode, schedule, description_quality, availability) with the engine's columns.
-
-    category, tags, quality_flags, tag_evidence, experience_min,
-    payment_status, entry_fit, fit_score, exposure_score, exclusion_reason,
-    reasons, status, analysis_version. Null fields count as empty. Stages are
-    plain projections: one narrow map without a shuffle, whatever the size.
+def categorised(d: DataFrame) -> DataFrame:
+    """``d`` (_title, _relevant) with category, _titled (found by the title) and _unrelated (why it is no such role, or null)."""
+    title, relevant = F.col("_title"), F.col("_relevant")
+    listed = F.when(has(title, lex.DEVELOPER) & ~said(title, lex.NOT_DEVELOPER), "Software Development").otherwise(first_match(title, [(k, t) for k, t, _ in lex.CATEGORIES]))
+    odd = has(title, lex.NON_TECH)
+    d = d.withColumn("_titled", listed).withColumn("_odd", odd)
+    named = F.coalesce("_titled", F.when(~F.col("_odd"), first_match(relevant, [(k, b) for k, _, b in lex.CATEGORIES])))
+    # a general name gives way to what the duties say
+    closer = first_match(relevant, [(k, b) for k, _, b in lex.CATEGORIES if k not in ("General IT", "IT Internships")])
+    d = d.withColumn("_named", named).withColumn("_named", F.when(F.col("_named") == "General IT", F.coalesce(closer, F.lit("General IT"))).otherwise(F.col("_named")))
+    planner = said(title, lex.PLANNED) & said(relevant, lex.PLANNING) & ~said(relevant, lex.CODING)
+    d = d.withColumn("_unrelated", F.when(planner, lex.EXCLUDED["production"]).when(F.col("_named").isNull() | F.col("_odd"), lex.EXCLUDED["unrelated"]))
+    return d.withColumn("category", F.when(F.col("_unrelated").isNotNull(), "General IT").otherwise(F.col("_named")))
+
+
+def evaluate(df: DataFrame) -> DataFrame:
+    """``df`` (title, text, location, work_mode, schedule, description_quality, availability, and salary if there is one) with the engine's columns.
+
+    category, tags, quality_flags, tag_evidence, flag_evidence,
+    category_evidence, experience_min, payment_status, entry_fit, fit_score,
+    exposure_score, exclusion_reason, reasons, status, analysis_version. Null
+    fields count as empty. Stages are plain projections: one narrow map without
+    a shuffle, whatever the size. Quotes are unchanged parts of their source,
+    three at most.
     """
+    c, e = F.col, lambda k: F.coalesce(F.col(k), F.lit(""))
     kept = df.columns
-    e = lambda c: F.coalesce(F.col(c), F.lit(""))
-    d = df.withColumn("_sec", segments.sections(F.col("text")))
-    d = d.withColumns({"_title": normalize(F.col("title")), "_full": normalize(F.col("text")), "_mode": normalize(F.col("work_mode")), "_sched": normalize(F.col("schedule")), "_place": normalize(F.col("location")), "_exp": experience(F.col("text"))})
-    d = d.withColumn("_relevant", normalize(F.concat_ws("\n", "_sec.intro", "_sec.responsibilities", "_sec.requirements", "_sec.preferred")))
-    d = d.withColumn("_req", F.concat(segments.records(F.col("_sec.requirements"), "Requirements"), segments.records(F.col("_sec.preferred"), "Preferred qualifications")))
-    d = d.withColumn("_all", F.concat(segments.records(e("title"), "Job title"), segments.records(F.concat_ws("\n", "_sec.intro"), "Introduction"), segments.records(F.col("_sec.responsibilities"), "Responsibilities"), "_req", segments.records(F.col("_sec.benefits"), "Benefits")))
-    d = d.withColumn("_said", F.array_join(F.transform(F.filter("_all", lambda r: r["section"] != "Benefits"), lambda r: r["normalized"]), "\n"))
-    d = d.withColumn("_spoken", F.filter("_all", lambda r: (r["section"] != "Benefits") & has(r["normalized"], "|".join(LANGUAGES.values()))))
-    title, full, relevant = F.col("_title"), F.col("_full"), F.col("_relevant")
-    low = F.col("_exp.minimum")
-
-    # Category: a developer title, else the first title rule, else the first body rule unless the title is not technical.
-    by_title = F.when(has(title, DEVELOPER), "Software Development").otherwise(first_match(title, [(k, t) for k, t, _ in CATEGORIES]))
-    odd = has(title, NON_TECH) & by_title.isNull()
-    by_body = F.when(~odd, first_match(full, [(k, b) for k, _, b in CATEGORIES]))
-    d = d.withColumn("_found", F.coalesce(by_title, by_body)).withColumn("category", F.coalesce("_found", F.lit("General IT")))
-
-    # Signals that several labels share.
-    where = {"full": full, "any": F.concat_ws("\n", title, full), "relevant": relevant}
-    d = d.withColumns({f"_t{i}": has(where[at], p) for i, (_, at, p) in enumerate(TAGS)})
-    named = {k: F.col(f"_t{i}") for i, (k, _, _) in enumerate(TAGS)}
-    no_exp, intern = named["No Experience Required"], named["Internship / Trainee"]
-    mentioned = F.exists(F.concat("_exp.required", "_exp.preferred"), lambda x: x["years"] > 0)
+    d = df.withColumn("_sec", segments.sections(c("text")))
+    d = d.withColumns({"_title": normalize(c("title")), "_full": segments.trimmed(normalize(c("text"))), "_mode": normalize(c("work_mode")), "_sched": normalize(c("schedule")), "_place": normalize(c("location")), "_pay": normalize(c("salary") if "salary" in kept else F.lit(""))})
+    joined = lambda *parts: F.array_join(F.filter(F.array(*[c(f"_sec.{p}") for p in parts]), lambda x: F.length(x) > 0), "\n")
+    or_all = lambda x: F.when(F.length(x) > 0, x).otherwise(c("_sec.full_text"))
+    d = d.withColumn("_relevant", normalize(or_all(joined("intro", "responsibilities", "requirements"))))
+    d = d.withColumn("_exp", experience(c("text"), c("_sec.requirements"), c("_sec.preferred")))
+    parts = {k: segments.records(c(f"_sec.{k}"), v) for k, v in segments.TITLES.items()}
+    d = d.withColumns({"_whole": segments.records(c("text"), "Vacancy text"), "_requirements": parts["requirements"], "_preferred": parts["preferred"], "_by": F.concat(*[parts[k] for k in segments.TITLES])})
+    d = d.withColumn("_said", F.array_join(F.transform(F.filter("_by", lambda r: r["section"] != "Benefits"), lambda r: r["normalized"]), "\n"))
+    d = categorised(d)
+    title, full, relevant, low = c("_title"), c("_full"), c("_relevant"), c("_exp.minimum")
+    both = F.concat_ws("\n", title, full)
+    wished = lambda n: said(n, lex.OPTIONAL) | ((F.length("_sec.preferred") > 0) & F.contains(normalize(c("_sec.preferred")), n))
+
+    # Signals of applicants.
+    prior = lambda n: said(n, lex.PRIOR) & ~said(n, lex.NO_EXPERIENCE) & (~said(n, lex.TOOL_USE) | said(n, lex.EMPLOYED))
+    mentioned = F.exists(F.concat("_exp.required", "_exp.preferred", "_exp.alternatives"), lambda x: x["mentioned"] > 0)
+    speech = F.filter(segments.records(or_all(joined("requirements", "preferred", "intro", "responsibilities")), ""), lambda r: has(r["normalized"], "|".join(lex.LANGUAGES.values())))
+    d = d.withColumns(
+        {
+            "_noexp": said(full, lex.NO_EXPERIENCE), "_etitle": has(title, lex.ENTRY_TITLE), "_ebody": said(full, lex.ENTRY_BODY), "_friendly": said(full, lex.STUDENTS), "_intern": has(both, lex.INTERNSHIP), "_senior": has(title, lex.SENIOR), "_advanced": said(relevant, lex.ADVANCED), "_mentioned": mentioned,
+            "_vague": F.exists("_requirements", lambda r: prior(r["normalized"]) & ~said(r["normalized"], lex.OPTIONAL) & ~said(r["normalized"], r"\d|students?|studenti")),
+            "_worked": F.exists(F.concat("_requirements", "_preferred"), lambda r: prior(r["normalized"])),
+            "_optional": F.exists("_by", lambda r: said(r["normalized"], "experience|experienta|опыт") & (said(r["normalized"], lex.OPTIONAL) | (r["section"] == "Preferred qualifications")) & ~said(r["normalized"], r"(?:company|compania|компания).{0,50}(?:years?|ani|лет)")),
+            "_nodegree": said(full, lex.NO_DEGREE), "_degree": F.exists("_requirements", lambda r: said(r["normalized"], lex.DEGREE) & ~said(r["normalized"], lex.OPTIONAL) & ~said(r["normalized"], lex.DEGREE_OR)),
+            "_speech": F.transform(speech, lambda r: F.struct(r["text"].alias("text"), r["normalized"].alias("normalized"), (said(r["normalized"], lex.LANGUAGE_COURSE) & ~said(r["normalized"], lex.LANGUAGE_KNOWN)).alias("course"), wished(r["normalized"]).alias("soft"), (~said(r["normalized"], lex.LANGUAGE_FREE) & said(r["normalized"], lex.LANGUAGE_LEVEL)).alias("hard"))),
+        }
+    )
+    # Signals of training, pay and place.
     d = d.withColumns(
         {
-            "_prior": has(relevant, PRIOR), "_entry_title": has(title, ENTRY_TITLE) & ~intern, "_entry_body": has(full, ENTRY_BODY) & ~intern, "_senior": has(title, SENIOR), "_advanced": has(relevant, ADVANCED),
-            "_paid": has(full, PAID), "_unpaid": has(full, UNPAID), "_later": has(full, LATER_PAID),
-            "_fee": has(full, FEE) & F.exists("_all", lambda r: has(r["normalized"], FEE) & ~has(r["normalized"], WAIVED)) | has(title, COURSE_TITLE),
-            "_remote": has(F.when(F.length("_mode") > 0, F.col("_mode")).otherwise(full), REMOTE), "_hybrid": has(F.when(F.length("_mode") > 0, F.col("_mode")).otherwise(full), HYBRID),
-            "_degree": F.exists("_req", lambda r: has(r["normalized"], DEGREE) & ~has(r["normalized"], OPTIONAL) & ~has(r["normalized"], NO_ALTERNATIVE)) & ~named["No Degree Required"],
+            "_course": said(title, lex.COURSE_TITLE) & ~said(title, lex.TEACHER), "_fee": said(full, lex.FEE) & F.exists("_whole", lambda r: said(r["normalized"], lex.FEE) & ~said(r["normalized"], lex.NO_FEE)),
+            "_unpaid": said(full, lex.UNPAID), "_training": said(both, lex.TRAINING), "_ipaid": said(full, lex.PAID_INTERNSHIP), "_later": c("_intern") & said(full, lex.LATER_JOB), "_anypay": said(F.concat_ws("\n", "_pay", full), lex.PAID),
+            "_abroad": said(both, lex.RELOCATION) | (said(title, lex.ABROAD_TITLE) & reduce(lambda a, b: a & b, [said(full, p) for p in lex.ABROAD])),
+            "_there": F.length("_place") > 0, "_local": said(c("_place"), lex.LOCAL), "_remote": said(c("_mode"), lex.REMOTE_MODE) | said(full, lex.REMOTE_TEXT), "_hybrid": said(F.when(F.length("_mode") > 0, c("_mode")).otherwise(full), lex.HYBRID),
         }
     )
-    c = F.col
-    d = d.withColumn("_student", has(full, STUDENT) & ~mentioned & ~c("_prior"))
-    optional = (F.size("_exp.preferred") > 0) | has(full, "experience|опыт") & F.exists("_all", lambda r: has(r["normalized"], "experience|опыт") & has(r["normalized"], OPTIONAL))
-    unclear = c("_prior") & low.isNull() & ~optional & ~no_exp
-
-    # Languages: required by the title or by a sentence on the level, preferred in an optional sentence; required wins.
-    tags = [F.when(v, F.lit(k)) for k, v in named.items()]
-    tags += [F.when(v, F.lit(k)) for k, v in (("Students / Graduates Welcome", c("_student")), ("Junior / Entry Level", c("_entry_title") | c("_entry_body")), ("Experience Preferred", optional), ("Paid Internship", c("_paid") & intern), ("Remote", c("_remote")), ("Hybrid", c("_hybrid")))]
-    tags += [F.when(has(F.concat_ws("\n", "_sched", full), p), F.lit(k)) for k, p in SHIFTS.items()]
-    spoken = lambda p, soft: F.exists("_spoken", lambda r: has(r["normalized"], p) & ~has(r["normalized"], COURSE) & ((has(r["normalized"], OPTIONAL) | (r["section"] == "Preferred qualifications")) if soft else (has(r["normalized"], LEVEL) & ~has(r["normalized"], OPTIONAL) & (r["section"] != "Preferred qualifications"))))
-    for k, p in LANGUAGES.items():
-        need = has(title, p) | spoken(p, False)
-        tags += [F.when(need, F.lit(f"{k} Required")).when(spoken(p, True), F.lit(f"{k} Preferred"))]
-    tags += [F.when(has(c("_said"), p), F.lit(k)) for k, p in SKILLS.items()]
-
-    there = F.length("_place") > 0
-    outside = there & ~has(c("_place"), local) & ~c("_remote") | has(title, foreign)
+    entry = c("_etitle") | c("_ebody")
+    mixed, unclear = c("_senior") & c("_etitle"), c("_vague") & low.isNull()
+    some = F.coalesce(low > 0, F.lit(False))
+    degree, conflict, later = c("_degree") & ~c("_nodegree"), c("_noexp") & some, c("_later") & ~c("_ipaid")
+    badge = c("_friendly") & ~c("_mentioned")
+    alternatives = F.size("_exp.alternatives") > 0
+    paid = c("_ipaid") | (~c("_later") & c("_anypay"))
+    payment = F.when(c("_fee"), "fee_required").when(c("_unpaid"), "unpaid").when(paid, "paid").otherwise("unknown")
+    outside = c("_there") & ~c("_local") & ~(c("_remote") & said(c("_place"), lex.ANYWHERE))
+
+    spoken = lambda p, kind: F.exists("_speech", _speaks(p, kind))
+    js = lex.SKILLS["JavaScript / Node"]
+    scripts = F.exists("_by", lambda r: (r["section"] != "Benefits") & has(r["normalized"], js) & ~(said(r["normalized"], lex.REACT_TO) & ~said(r["text"], lex.REACT)))
+    tags = [
+        ("No Experience Required", c("_noexp")), ("Students / Graduates Welcome", badge & ~c("_worked")), ("Junior / Entry Level", entry & ~c("_intern")), ("Internship / Trainee", c("_intern")), ("Experience Preferred", (F.size("_exp.preferred") > 0) | c("_optional")),
+        ("Employer Training", c("_training")), ("Paid Internship", c("_ipaid") & c("_intern")), ("Remote", c("_remote")), ("Hybrid", c("_hybrid")), ("Part Time", said(F.concat_ws("\n", "_sched", full), lex.PART_TIME)), ("Flexible Schedule", said(full, lex.FLEXIBLE)), ("Rotational Shifts", said(full, lex.SHIFTS)),
+        ("Driver's License", said(full, lex.DRIVER)), ("No Degree Required", c("_nodegree")), ("Portfolio", said(relevant, lex.PORTFOLIO)), ("Customer Facing", said(relevant, lex.CUSTOMERS)),
+        *[(k, (has(title, p) | has(c("_said"), p)) & (has(title, p) | scripts if p == js else F.lit(True))) for k, p in lex.SKILLS.items()],
+    ]
+    labels = [F.when(v, F.lit(k)) for k, v in tags]
+    labels += [F.when(has(title, p) | spoken(p, "Required"), F.lit(f"{k} Required")).when(spoken(p, "Preferred"), F.lit(f"{k} Preferred")) for k, p in lex.LANGUAGES.items()]
     flags = [
-        ("EXPERIENCE_INFLATION_2PLUS_YEARS", low >= 2), ("EXPERIENCE_REQUIREMENT_1YEAR", (low >= 1) & (low < 2)), ("SOME_EXPERIENCE_REQUIRED", (low > 0) & (low < 1)), ("EXPERIENCE_OR_STUDENTS", F.size("_exp.alternatives") > 0),
-        ("CONFLICTING_EXPERIENCE", no_exp & (low > 0)), ("MIXED_SENIORITY", c("_senior") & c("_entry_title")), ("ADVANCED_SKILLS_REQUESTED", c("_advanced")), ("EXPERIENCE_UNCLEAR", unclear), ("INTERNSHIP_PAY_UNCLEAR", c("_later") & ~c("_paid")),
-        ("TRAINING_FEE_OR_COURSE", c("_fee")), ("UNPAID", c("_unpaid")), ("PAY_NOT_STATED", ~(c("_fee") | c("_unpaid") | c("_paid"))), ("RELOCATION_REQUIRED", has(full, RELOCATE)), ("OUTSIDE_CHISINAU", outside), ("LOCATION_UNCONFIRMED", ~there & ~c("_remote")), ("DEGREE_REQUIRED", c("_degree")),
+        ("EXPERIENCE_INFLATION_2PLUS_YEARS", low >= 2), ("EXPERIENCE_REQUIREMENT_1YEAR", (low >= 1) & (low < 2)), ("SOME_EXPERIENCE_REQUIRED", (low > 0) & (low < 1)), ("EXPERIENCE_OR_STUDENTS", alternatives), ("CONFLICTING_EXPERIENCE", conflict), ("MIXED_SENIORITY", mixed), ("ADVANCED_SKILLS_REQUESTED", c("_advanced")),
+        ("EXPERIENCE_UNCLEAR", unclear), ("INTERNSHIP_PAY_UNCLEAR", later), ("TRAINING_FEE_OR_COURSE", c("_fee") | c("_course")), ("UNPAID", c("_unpaid")), ("PAY_NOT_STATED", payment == "unknown"), ("RELOCATION_REQUIRED", c("_abroad")), ("OUTSIDE_CHISINAU", outside), ("LOCATION_UNCONFIRMED", ~c("_there")),
+        ("DEGREE_REQUIRED", degree), ("NOT_RELEVANT", c("_unrelated").isNotNull()),
     ]
-    yes = {k: F.coalesce(v, F.lit(False)) for k, v in flags}
-    d = d.withColumns({"_tags": F.array_sort(F.array_distinct(F.array_compact(F.array(*tags)))), "_flags": F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in yes.items()]))})
-    flag = lambda k: F.array_contains("_flags", k)
-
     complete = (F.length("_full") >= 100) & ~F.coalesce(c("description_quality"), F.lit("unverified")).isin("missing", "contaminated")
+    d = d.withColumns({"_tags": F.array_sort(F.array_compact(F.array(*labels))), "_flags": F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in flags])), "_complete": complete, "_payment": payment})
+
+    flag = lambda k: F.array_contains("_flags", k)
+    signal = c("_noexp") | entry | c("_friendly")
     barrier = reduce(lambda a, b: a | b, [flag(k) for k in ("MIXED_SENIORITY", "DEGREE_REQUIRED", "ADVANCED_SKILLS_REQUESTED", "EXPERIENCE_OR_STUDENTS", "CONFLICTING_EXPERIENCE", "INTERNSHIP_PAY_UNCLEAR")])
-    some = F.coalesce(low > 0, F.lit(False))
-    entry = no_exp | c("_entry_title") | c("_entry_body") | c("_student") | intern
-    fit = F.when(complete & entry & ~barrier & ~flag("EXPERIENCE_UNCLEAR"), F.when(some, "stretch").otherwise("beginner")).when(complete & some & (low < 2) & ~barrier, "stretch").when(complete & ~entry & ~barrier, "other").otherwise("review")
-    reason = last_reason([("Not an IT role", c("_found").isNull()), ("Training fee or course", flag("TRAINING_FEE_OR_COURSE")), ("Unpaid", flag("UNPAID")), ("Relocation required", flag("RELOCATION_REQUIRED")), ("Outside the city", flag("OUTSIDE_CHISINAU")), ("Two or more years required", flag("EXPERIENCE_INFLATION_2PLUS_YEARS") & ~flag("CONFLICTING_EXPERIENCE")), ("Senior role", c("_senior") & ~c("_entry_title")), ("Vacancy closed", c("availability") == "closed")])
-    d = d.withColumn("exclusion_reason", reason).withColumn("_fit", fit)
-    d = d.withColumn("entry_fit", F.when(F.col("exclusion_reason").isNotNull(), "excluded").when(flag("LOCATION_UNCONFIRMED") & c("_fit").isin("beginner", "stretch"), "review").otherwise(c("_fit")))
-    more = F.array_compact(F.array(F.when(~complete, F.lit("DESCRIPTION_UNVERIFIED")), F.when(c("entry_fit") == "other", F.lit("BEGINNER_ELIGIBILITY_UNCONFIRMED")), F.when(reason == "Senior role", F.lit("SENIOR_ROLE")), F.when(reason == "Vacancy closed", F.lit("VACANCY_CLOSED")), F.when(c("_found").isNull(), F.lit("NOT_RELEVANT"))))
-    quotes = {k: p for k, _, p in TAGS} | SKILLS
-    none = F.array().cast("array<struct<text:string,section:string>>")
-    quoted = lambda k, p: F.when(F.array_contains("_tags", k), segments.evidence(c("_all"), rf"(?<![\p{{L}}\p{{N}}])(?:{p})(?![\p{{L}}\p{{N}}])")).otherwise(none)
-    held = lambda k, p: F.struct(F.lit(k).alias("k"), quoted(k, p).alias("v"))
+    open_ = c("_complete") & ~barrier
+    fit = F.when(open_ & some & (low < 2), "stretch").when(open_ & signal & ~flag("EXPERIENCE_UNCLEAR"), F.when(some, "stretch").otherwise("beginner")).when(signal, "review").otherwise("other")
+    x = lex.EXCLUDED
+    senior = c("_senior") & ~flag("MIXED_SENIORITY")
+    late = last_reason([(x["fee"], flag("TRAINING_FEE_OR_COURSE")), (x["unpaid"], flag("UNPAID")), (x["relocation"], flag("RELOCATION_REQUIRED")), (x["outside"], flag("OUTSIDE_CHISINAU")), (x["experience"], flag("EXPERIENCE_INFLATION_2PLUS_YEARS") & ~flag("CONFLICTING_EXPERIENCE")), (x["senior"], senior), (x["closed"], c("availability") == "closed")])
+    d = d.withColumns({"_fit": fit, "exclusion_reason": F.coalesce(late, c("_unrelated"))})
+    placeless = flag("LOCATION_UNCONFIRMED") & c("_fit").isin("beginner", "stretch") & c("exclusion_reason").isNull()
+    more = [("DESCRIPTION_UNVERIFIED", ~c("_complete")), ("BEGINNER_ELIGIBILITY_UNCONFIRMED", c("_fit") == "other"), ("SENIOR_ROLE", senior), ("VACANCY_CLOSED", c("availability") == "closed")]
+    d = d.withColumns({"entry_fit": F.when(c("exclusion_reason").isNotNull(), "excluded").when(placeless, "review").otherwise(c("_fit")), "_flags": F.concat("_flags", F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in more])))})
+    why = lex.REASONS
+    reasons = [
+        (c("exclusion_reason"), c("exclusion_reason").isNotNull()), (why["no_experience"], c("_noexp")), (why["entry_title"], c("_etitle")), (why["entry_body"], c("_ebody") & ~c("_etitle")), (why["student"], badge & ~c("_worked")), (why["student_prior"], c("_friendly") & ~(badge & ~c("_worked"))), (why["training"], c("_training")),
+        (F.format_string(why["years"], shown_number(low)), low.isNotNull()), (why["alternative"], alternatives), (why["incomplete"], ~c("_complete")), (why["no_signal"], ~signal), (why["degree"], flag("DEGREE_REQUIRED")), (why["advanced"], c("_advanced")), (why["later_pay"], flag("INTERNSHIP_PAY_UNCLEAR")), (why["unclear"], flag("EXPERIENCE_UNCLEAR")), (why["no_place"], placeless),
+    ]
     out = d.withColumns(
         {
-            "tags": c("_tags"),
-            "quality_flags": F.concat("_flags", more),
-            "tag_evidence": F.map_from_entries(F.transform(F.filter(F.array(*[held(k, p) for k, p in quotes.items()]), lambda x: F.size(x["v"]) > 0), lambda x: F.struct(x["k"], x["v"]))),
-            "experience_min": low,
-            "payment_status": F.when(c("_fee"), "fee_required").when(c("_unpaid"), "unpaid").when(c("_paid"), "paid").otherwise("unknown"),
-            "exposure_score": F.when(F.array_contains("_tags", "Customer Facing"), 5.0).otherwise(0.0),
-            "fit_score": capped(score(no_exp, c("_entry_title"), c("_entry_body"), c("_student"), named["Employer Training"]), c("entry_fit")),
-            "reasons": F.array_compact(F.array(c("exclusion_reason"), F.when(no_exp, F.lit("No experience required")), F.when(c("_entry_title") | c("_entry_body"), F.lit("Entry level")), F.when(c("_student"), F.lit("Students welcome")), F.when(named["Employer Training"], F.lit("Training provided")), F.when(some, F.concat(F.lit("Experience required: years "), low.cast("string"))))),
-            "status": F.when(F.col("exclusion_reason").isNotNull(), "excluded").otherwise("active"),
-            "analysis_version": F.lit(VERSION),
+            "tags": c("_tags"), "quality_flags": c("_flags"), "tag_evidence": _tag_quotes(), "flag_evidence": _flag_quotes(),
+            "category_evidence": F.when(c("_titled").isNotNull() & (c("_titled") == c("category")), _sourced("title", "Job title")).otherwise(_quotes(reduce(lambda o, r: F.when(c("category") == r[0], phrase(r[2])).otherwise(o), lex.CATEGORIES, F.lit(r"(?!)")))),
+            "experience_min": low, "payment_status": c("_payment"), "exposure_score": F.when(F.array_contains("_tags", "Customer Facing"), 5.0).otherwise(0.0),
+            "fit_score": capped(score(c("_noexp"), c("_etitle"), c("_ebody"), badge & ~c("_worked"), c("_training")), c("entry_fit")),
+            "reasons": F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k) if isinstance(k, str) else k) for k, v in reasons])),
+            "status": F.when(c("exclusion_reason").isNotNull(), "excluded").otherwise("active"), "analysis_version": F.lit(VERSION),
         }
-    )
-    new = ["category", "tags", "quality_flags", "tag_evidence", "experience_min", "payment_status", "entry_fit", "fit_score", "exposure_score", "exclusion_reason", "reasons", "status", "analysis_version"]
+    )
+    new = ["category", "tags", "quality_flags", "tag_evidence", "flag_evidence", "category_evidence", "experience_min", "payment_status", "entry_fit", "fit_score", "exposure_score", "exclusion_reason", "reasons", "status", "analysis_version"]
     return out.select(*[k for k in kept if k not in new], *new)
+
+
+def _speaks(language: str, kind: str):
+    """Whether a sentence asks for a language: as Required, or as Preferred."""
+    return lambda r: has(r["normalized"], language) & ~r["course"] & (r["soft"] if kind == "Preferred" else ~r["soft"] & r["hard"])
+
+
+def _cited(found: Column) -> Column:
+    """The first three records as (text, section), under the section that holds the same sentence."""
+    section = lambda r: F.coalesce(F.get(F.filter("_by", lambda x: x["text"] == r["text"]), 0)["section"], F.lit("Vacancy text"))
+    return F.slice(F.array_distinct(F.transform(F.slice(found, 1, 3), lambda r: F.struct(r["text"].alias("text"), section(r).alias("section")))), 1, 3)
+
+
+def _quotes(pattern: Column) -> Column:
+    return _cited(F.filter("_whole", lambda r: F.rlike(r["normalized"], pattern)))
+
+
+def _sourced(column: str, section: str) -> Column:
+    return F.array(F.struct(F.col(column).alias("text"), F.lit(section).alias("section")))
+
+
+def _quoted(held: str, rules: list[tuple[str, str, bool]], fields: list[tuple[str, str, str, str]], special: list[tuple[str, Column]]) -> Column:
+    """A map of the labels in ``held`` to their quotes: of the field or the title where the pattern stands there, else of the text.
+
+    ``rules`` are (label, pattern, whether the title may show it), ``fields``
+    (label, column, normalized column, section). The patterns are data, so that
+    one expression serves all labels.
+    """
+    listed = F.array(*[F.struct(F.lit(k).alias("label"), F.lit(p).alias("pattern"), F.lit(t).alias("titled")) for k, p, t in rules])
+
+    def one(x: Column) -> Column:
+        quotes = F.when(x["titled"] & F.rlike(F.col("_title"), x["pattern"]), _sourced("title", "Job title")).otherwise(_quotes(x["pattern"]))
+        for label, column, normal, section in fields:
+            quotes = F.when((x["label"] == label) & (F.length(column) > 0) & F.rlike(F.col(normal), x["pattern"]), _sourced(column, section)).otherwise(quotes)
+        return F.struct(x["label"].alias("k"), quotes.alias("v"))
+
+    found = F.transform(F.filter(listed, lambda x: F.array_contains(held, x["label"])), one)
+    own = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in special]), lambda x: F.array_contains(held, x["k"]))
+    return F.map_from_entries(F.filter(F.concat(found, own), lambda x: F.size(x["v"]) > 0))
+
+
+def _tag_quotes() -> Column:
+    rules = [
+        ("No Experience Required", lex.NO_EXPERIENCE, False), ("Students / Graduates Welcome", lex.STUDENTS, False), ("Junior / Entry Level", f"{phrase(lex.ENTRY_TITLE)}|{lex.ENTRY_BODY}", True), ("Internship / Trainee", phrase(lex.INTERNSHIP), True), ("Employer Training", lex.TRAINING, True), ("Paid Internship", lex.PAID_INTERNSHIP, False),
+        ("Remote", f"{lex.REMOTE_MODE}|{lex.REMOTE_TEXT}", False), ("Hybrid", lex.HYBRID, False), ("Part Time", lex.PART_TIME, False), ("Flexible Schedule", lex.FLEXIBLE, False), ("Rotational Shifts", lex.SHIFTS, False), ("Driver's License", lex.DRIVER, False), ("No Degree Required", lex.NO_DEGREE, False), ("Portfolio", lex.PORTFOLIO, False), ("Customer Facing", lex.CUSTOMERS, False),
+        *[(k, phrase(p), True) for k, p in lex.SKILLS.items()],
+    ]
+    fields = [("Remote", "work_mode", "_mode", "Work arrangement on source"), ("Hybrid", "work_mode", "_mode", "Work arrangement on source"), ("Part Time", "schedule", "_sched", "Schedule on source")]
+    special = [("Experience Preferred", _cited(F.filter("_whole", lambda r: F.exists("_exp.preferred", lambda x: x["evidence"] == r["text"]) | (said(r["normalized"], "experience|experienta|опыт") & (said(r["normalized"], lex.OPTIONAL) | F.exists("_preferred", lambda x: x["text"] == r["text"]))))))]
+    for k, p in lex.LANGUAGES.items():
+        for kind in ("Required", "Preferred"):
+            mine = F.filter("_speech", _speaks(p, kind))
+            special.append((f"{k} {kind}", F.when(has(F.col("_title"), p), _sourced("title", "Job title")).otherwise(_cited(mine)) if kind == "Required" else _cited(mine)))
+    return _quoted("_tags", rules, fields, special)
+
+
+def _flag_quotes() -> Column:
+    of = lambda kind: _cited(F.filter("_whole", lambda r: F.exists(f"_exp.{kind}", lambda x: x["evidence"] == r["text"])))
+    rules = [("MIXED_SENIORITY", phrase(lex.SENIOR), True), ("SENIOR_ROLE", phrase(lex.SENIOR), True), ("ADVANCED_SKILLS_REQUESTED", lex.ADVANCED, False), ("EXPERIENCE_UNCLEAR", lex.PRIOR, False), ("INTERNSHIP_PAY_UNCLEAR", lex.LATER_JOB, False), ("TRAINING_FEE_OR_COURSE", f"{lex.COURSE_TITLE}|{lex.FEE}", True), ("UNPAID", lex.UNPAID, False), ("RELOCATION_REQUIRED", lex.ABROAD_SAID, True), ("DEGREE_REQUIRED", lex.DEGREE, False)]
+    special = [(k, of("required")) for k in ("EXPERIENCE_INFLATION_2PLUS_YEARS", "EXPERIENCE_REQUIREMENT_1YEAR", "SOME_EXPERIENCE_REQUIRED", "CONFLICTING_EXPERIENCE")]
+    special += [("EXPERIENCE_OR_STUDENTS", of("alternatives")), ("OUTSIDE_CHISINAU", _sourced("location", "Location on source"))]
+    return _quoted("_flags", rules, [], special)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,18 @@ MAX_TAGS, MAX_TEXT = 30, 250
 
 
 def tagged(text: Column, rules: dict[str, str]) -> Column:
-    """array<string>: names of the rules whose pattern stands as a word in the text, in rule order."""
-    found = lambda plain: F.array_compact(F.array(*[F.when(plain.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{p})(?![\p{{L}}\p{{N}}])"), F.lit(k)) for k, p in rules.items()]))
+    """array<string>: names of the rules whose pattern stands as a word in the text, in rule order.
+
+    Patterns that are words are looked up in the set of the text's words, which
+    takes one pass for all of them; the others are searched for one by one.
+    """
+    plain_words = [p for p in rules.values() if re.fullmatch(r"[^\W_]+", p)]
+
+    def found(plain: Column) -> Column:
+        words = F.array_intersect(F.array(*map(F.lit, plain_words)).cast("array<string>"), F.split(plain, r"[^\p{L}\p{N}]+"))
+        stands = lambda p, held: F.array_contains(held, p) if p in plain_words else plain.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{p})(?![\p{{L}}\p{{N}}])")
+        return let(words, lambda held: F.array_compact(F.array(*[F.when(stands(p, held), F.lit(k)) for k, p in rules.items()])))
+
     return let(normalize(text), found)
 
 
@@ -47,7 +59,9 @@ def search(cards: DataFrame, fit: str = "all", category: str = "", tags: list[st
     if review:
         out = out.where(F.array_contains("review_reasons", review))
     if text:
-        out = out.where(F.contains(normalize(F.concat_ws(" ", *over, F.array_join("tags", " "))), normalize(F.lit(text[:MAX_TEXT]))))
+        needle = normalize(F.lit(text[:MAX_TEXT]))
+        # tags are looked at only where the fields do not decide
+        out = out.where(F.when(F.contains(normalize(F.concat_ws(" ", *over)), needle), True).otherwise(F.contains(normalize(F.concat_ws(" ", *[F.right(c, F.lit(MAX_TEXT)) for c in over], F.array_join("tags", " "))), needle)))
     return out
 
 

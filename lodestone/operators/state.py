@@ -19,9 +19,10 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, seen: str, compared: s
     column; the version falls to 0 only if the compared column changed. One
     full outer join on the key; null keys stay apart.
     """
-    t, b = target.alias("t"), batch.alias("b")
+    # presence is told by a column of its own, as a key may be null
+    t, b = target.withColumn("__old", F.lit(True)).alias("t"), batch.withColumn("__new", F.lit(True)).alias("b")
     both = t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full_outer")
-    old, new = F.col(f"t.{key}").isNotNull(), F.col(f"b.{key}").isNotNull()
+    old, new = F.col("t.__old").isNotNull(), F.col("b.__new").isNotNull()
     out = []
     for c in target.columns:
         has = c in batch.columns

@@ -63,7 +63,9 @@ active AS (SELECT *, list_filter([CASE WHEN list_contains(flags, 'SHORT') THEN '
 
 @register(CARDS + "SELECT doc_id, fit, category, n_chars, array_to_string(tags, ',') AS tags, array_to_string(review_reasons, ',') AS review_reasons FROM active ORDER BY n_chars DESC, doc_id")
 def active_listing(spark, sf_dir):
-    return active(spark, sf_dir).select("doc_id", "fit", "category", "n_chars", joined("tags"), joined("review_reasons")).orderBy(F.desc("n_chars"), "doc_id")
+    # the sort samples its input; a narrow exchange before it keeps the texts from being read twice
+    rows = active(spark, sf_dir).select("doc_id", "fit", "category", "n_chars", joined("tags"), joined("review_reasons"))
+    return rows.repartition("doc_id").orderBy(F.desc("n_chars"), "doc_id")
 
 
 @register(CARDS + "SELECT doc_id, n_chars FROM active WHERE fit = 'en' AND category = 'src1' AND list_has_all(tags, ['the', 'and'])")
@@ -597,8 +599,8 @@ def alias_overlap_join(spark, sf_dir):
     return state.overlaps(entries, load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card_id"), F.array("o_orderkey", "o_custkey").alias("links")))
 
 
-@register("SELECT e.event_id, coalesce(d.source, 'snapshot') AS source, d.doc_id IS NULL AS saved_snapshot FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id AND d.doc_id % 2 = 0 WHERE e.event_type = 'view'")
+@register("SELECT e.event_id, coalesce(d.source, 'snapshot') AS source, d.doc_id IS NULL AS saved_snapshot FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id AND d.lang = 'en' WHERE e.event_type = 'view'")
 def snapshot_coalesce_join(spark, sf_dir):
-    live = load(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("user_id"), "source")
+    live = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("user_id"), "source")
     saved = load(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "user_id").join(live, "user_id", "left")
     return saved.select("event_id", F.coalesce("source", F.lit("snapshot")).alias("source"), F.col("source").isNull().alias("saved_snapshot"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import facts, html, segments, text
-from lodestone.operators import clusters, engine, search, state, status
+from lodestone.operators import clusters, engine, lexicon, search, state, status
 from lodestone.streaming import ingest
 
 
@@ -38,9 +38,17 @@ def test_sections_repeat_and_keep_the_intro(spark):
     got = one(spark, segments.sections(F.lit("Hello\nRequirements:\nSQL\nBenefits: tea\nRequirements\nGit")))
     assert (got["intro"], got["requirements"], got["benefits"], got["responsibilities"]) == ("Hello", "SQL\nGit", "tea", "")
     assert one(spark, segments.sections(F.lit("only text")))["responsibilities"] == "only text"
+    got = one(spark, segments.sections(F.lit("Cerințe:\nSQL\nResponsabilități:\nWrite code\nRequirements:\nEnglish\nМы предлагаем: чай")))
+    assert (got["requirements"], got["responsibilities"], got["benefits"]) == ("SQL\nEnglish", "Write code", "чай")
 
 
-@pytest.mark.parametrize(("said", "low"), [("3+ years of experience", 3.0), ("6 months experience", 0.5), ("experience up to 1 year", 0.0), ("two years of experience", 2.0), ("опыт от 2 лет", 2.0), ("2 years experience preferred", None), ("company with 20 years of experience", None), ("", None)])
+def test_sentences_are_unchanged_parts(spark):
+    said = "Cunoașterea limbii engleze constituie un avantaj;\nОпыт работы с Nagios и т.д. является преимуществом.\nNo experience required! Use e.g. Linux. Done"
+    got = one(spark, segments.sentences(F.lit(said)))
+    assert got == ["Cunoașterea limbii engleze constituie un avantaj;", "Опыт работы с Nagios и т.д. является преимуществом.", "No experience required!", "Use e.g. Linux.", "Done"]
+
+
+@pytest.mark.parametrize(("said", "low"), [("3+ years of experience", 3.0), ("6 months experience", 0.5), ("experience up to 1 year", 0.0), ("two years of experience", 2.0), ("опыт от 2 лет", 2.0), ("2 years experience preferred", None), ("company with 20 years of experience", None), ("", None), ("Minimum 3 yrs experience", 3.0), ("опыт не менее двух лет", 2.0), ("at least two years, or 5 years of experience", 5.0), ("mentored by people with 9 years of experience", None), ("1 year of experience (2 years preferred)", 1.0)])
 def test_experience(spark, said, low):
     assert one(spark, facts.experience(F.lit(said))["minimum"]) == low
 
@@ -48,6 +56,8 @@ def test_experience(spark, said, low):
 def test_salary(spark):
     pay = lambda field, body: one(spark, facts.salary(F.lit(field), F.lit("t"), F.lit(body)))
     assert pay("500", "") == "500" and pay(None, "Salary: 900 EUR net") == "900 EUR" and pay(None, "salary after internship 900 EUR") == ""
+    assert pay(None, "Salary: EUR 500") == "EUR 500" and pay(None, "Remunerare: 9000 lei") == "9000 lei" and pay(None, "Salary: 500 - 700 EUR") == "500 - 700 EUR"
+    assert pay(None, "Payment terms: invoices over 900 EUR") == "" and pay(None, "Salariu de la 9 000 lei") == "de la 9 000 lei" and pay(None, "Salary:\nJunior: 300 EUR\n500 EUR;\nbonus") == "Junior: 300 EUR; 500 EUR"
 
 
 def case(spark, **given):
@@ -60,10 +70,10 @@ def test_rule_engine_decides(spark):
     assert (got["category"], got["entry_fit"], got["status"], got["fit_score"]) == ("QA & Testing", "beginner", "active", 90)
     assert "No Experience Required" in got["tags"] and "No Experience Required" in got["tag_evidence"]
     assert all(q["text"] in "No experience required." for q in got["tag_evidence"]["No Experience Required"])
-    assert case(spark, title="Office manager", text="Papers and calls. " * 9)["exclusion_reason"] == "Not an IT role"
+    assert case(spark, title="Office manager", text="Papers and calls. " * 9)["exclusion_reason"] == lexicon.EXCLUDED["unrelated"]
     assert case(spark, location=None)["entry_fit"] == "review"
-    assert case(spark, availability="closed")["exclusion_reason"] == "Vacancy closed"
-    assert case(spark, text="We need 3 years of experience with tests. " * 4)["exclusion_reason"] == "Two or more years required"
+    assert case(spark, availability="closed")["exclusion_reason"] == lexicon.EXCLUDED["closed"]
+    assert case(spark, text="We need 3 years of experience with tests. " * 4)["exclusion_reason"] == lexicon.EXCLUDED["experience"]
     assert case(spark, text=None, title=None)["status"] == "excluded"
 
 
@@ -95,6 +105,24 @@ def test_upsert_twice_changes_nothing(spark):
     assert sorted(map(tuple, state.upsert(first, b, "k", "seen", "title", "v").collect())) == sorted(map(tuple, first.collect()))
 
 
+def test_upsert_keeps_rows_without_key(spark):
+    t = spark.createDataFrame([(None, "a", 9, 0), (1, "b", 9, 0)], "k int, title string, v int, seen int")
+    b = spark.createDataFrame([(None, "c", 1), (1, "b", 1)], "k int, title string, seen int")
+    assert sorted(map(str, map(tuple, state.upsert(t, b, "k", "seen", "title", "v").collect()))) == ["(1, 'b', 9, 1)", "(None, 'a', 9, 0)", "(None, 'c', 0, 1)"]
+
+
+def test_tags_by_words_and_by_patterns(spark):
+    rules = {"a": "the", "b": "c#", "c": "sp(?:ark|oon)", "d": "thé"}
+    assert one(spark, search.tagged(F.col("t"), rules), t="The C# Spoon.") == ["a", "b", "c"]
+    assert one(spark, search.tagged(F.col("t"), rules), t="there spooner xthe") == [] and one(spark, search.tagged(F.col("t"), rules), t=None) == []
+
+
+def test_search_across_fields_and_tags(spark):
+    cards = spark.createDataFrame([(1, "Big Bés", "bes town", ["red", "low"]), (2, "x", "y", ["red"])], "id int, title string, text string, tags array<string>")
+    found = lambda t: [r["id"] for r in search.search(cards, text=t, over=("title", "text")).collect()]
+    assert found("BES bes t") == [1] and found("town red") == [1] and found("red low") == [1] and found("y red") == [2] and found("low red") == []
+
+
 def test_personal_state_resets(spark):
     at = lambda d: dt.datetime(2024, 1, d)
     e = spark.createDataFrame([(1, at(1), "applied"), (1, at(2), ""), (1, at(3), "applied"), (1, at(4), "offer"), (2, at(1), "applied"), (2, at(2), None)], "u int, ts timestamp, s string")
