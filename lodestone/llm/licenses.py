@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, let, small
+from .common import alnum_words, cut, let, small
 
 # Short forms by which headers name a licence, the notices that licences ask for, titles, and whole texts of the short licences.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
@@ -61,44 +62,60 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str =
     return counts.pop("", 0), counts
 
 
-def leading(weights: dict[str, float], threshold: float) -> list[str]:
-    """The heaviest terms of a vector without which no other vector reaches the threshold: the rest is too short, whatever stands beside it."""
+def leading(weights: dict[str, float], counts: dict[str, int], threshold: float) -> list[str]:
+    """The rarest terms of a vector without which no other vector reaches the threshold: the rest is too short, whatever stands beside it."""
     left = total = sum(v * v for v in weights.values())
     out = []
-    for w, v in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
+    for w in sorted(weights, key=lambda w: (counts.get(w, 0), -weights[w], w)):
         if left < threshold * threshold * total:
             break
         out.append(w)
-        left -= v * v
+        left -= weights[w] * weights[w]
     return out
 
 
+def fewest(weights: dict[str, float], threshold: float) -> int:
+    """How many different terms of a vector another one must hold at least to reach the threshold."""
+    need, held = threshold * threshold * sum(v * v for v in weights.values()), 0.0
+    for k, v in enumerate(sorted(weights.values(), reverse=True), 1):
+        held += v * v
+        if held >= need:
+            return k
+    return len(weights)
+
+
 def rated_windows(text: Column, templates: dict[str, list[str]], n_docs: int, counts: dict[str, int], threshold: float) -> Column:
     """struct<n, found>: the number of words, and the windows as similar to a template as the threshold asks.
 
     found is array<struct<similarity, license, start, width>>. A window is as
     long as the template (with an eighth of slack for long ones) and lies where
     one of the template's leading terms would have it; no other can be similar
-    enough. Words outside the templates weigh as much as a word of no document.
+    enough. Windows with too few different terms of the template are passed
+    over before the cosine. Words outside the templates weigh as much as a word
+    of no document.
     """
     idf = lambda w: math.log((1 + n_docs) / (1 + counts.get(w, 0))) + 1
     listed = forms(templates)
     unknown = math.log(1 + n_docs) + 1
     anchors: dict[str, list[tuple[int, int]]] = {}
-    vectors, steps = [], []
+    vectors, steps, least = [], [], []
     for k, (_, words) in enumerate(listed):
         weights = {w: words.count(w) * idf(w) for w in words}
         norm = math.sqrt(sum(v * v for v in weights.values()))
         vectors.append({w: v / norm for w, v in weights.items()})
         steps.append(max(1, len(words) // 8))
-        for w in leading(weights, threshold):
+        least.append(fewest(weights, threshold))
+        for w in leading(weights, counts, threshold):
             anchors.setdefault(w, []).extend((k, o) for o, x in enumerate(words) if x == w)
-    literal = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-    weight_of = literal(sorted((w, idf(w)) for w in {w for _, f in listed for w in f}))
-    vector_of = F.array(*[literal(sorted(v.items())) for v in vectors])
-    name_of, width_of, step_of = (F.array(*[F.lit(x) for x in xs]) for xs in ([n for n, _ in listed], [len(f) for _, f in listed], steps))
+    # tables as one literal each, which the optimizer folds
+    literal = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    weight_of = literal({w: idf(w) for w in sorted({w for _, f in listed for w in f})}, "map<string,double>")
+    vector_of = literal([dict(sorted(v.items())) for v in vectors], "array<map<string,double>>")
+    name_of = literal([n for n, _ in listed], "array<string>")
+    width_of, step_of, least_of = (literal(x, "array<int>") for x in ([len(f) for _, f in listed], steps, least))
+    terms_of, anchor_words = literal([sorted(v) for v in vectors], "array<array<string>>"), literal(sorted(anchors), "array<string>")
     # a form and an offset as one number, so that duplicates are found by hash
-    places = F.create_map(*[x for w, at in sorted(anchors.items()) for x in (F.lit(w), F.array(*[F.lit((k << 32) + o) for k, o in at]))])
+    places = literal({w: [(k << 32) + o for k, o in at] for w, at in sorted(anchors.items())}, "map<string,array<bigint>>")
     hint = rf"(?i)(?<![a-zA-Z0-9])(?:{'|'.join(sorted(anchors))})(?![a-zA-Z0-9])"
 
     def rate(words: Column) -> Column:
@@ -108,13 +125,20 @@ def rated_windows(text: Column, templates: dict[str, list[str]], n_docs: int, co
             start = F.greatest(F.lit(0), i - offset)
             return F.shiftleft(form, 32) + (start - start % step)
 
-        at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.try_element_at(places, w).alias("codes"))), lambda x: x["codes"].isNotNull())
-        cells = F.array_distinct(F.flatten(F.transform(at, lambda x: F.transform(x["codes"], lambda c: cell(c, x["i"])))))
+        here = F.array_intersect(words, anchor_words)
+        at = lambda held: F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.when(F.array_contains(held, w), w).alias("w"))), lambda x: x["w"].isNotNull())
+        cells = F.array_distinct(F.flatten(F.transform(let(here, at), lambda x: F.transform(F.try_element_at(places, x["w"]), lambda c: cell(c, x["i"])))))
+
+        form_of = lambda code: F.shiftright(code, 32).cast("int")
+        start_of = lambda code: code.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        size_of = lambda form: F.get(width_of, form) + F.get(step_of, form) - 1
+
+        def promising(code: Column) -> Column:
+            form = form_of(code)
+            return F.size(F.array_intersect(F.slice(words, start_of(code) + 1, size_of(form)), F.get(terms_of, form))) >= F.get(least_of, form)
 
         def window(code: Column) -> Column:
-            form = F.shiftright(code, 32).cast("int")
-            start = code.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-            width = F.get(width_of, form) + F.get(step_of, form) - 1
+            form, start, width = form_of(code), start_of(code), size_of(form_of(code))
 
             def cosine(part: Column) -> Column:
                 count = lambda w: F.size(F.filter(part, lambda x: x == w))
@@ -128,7 +152,7 @@ def rated_windows(text: Column, templates: dict[str, list[str]], n_docs: int, co
 
             return F.struct(let(F.slice(words, start + 1, width), cosine).alias("similarity"), F.get(name_of, form).alias("license"), start.alias("start"), F.least(width, F.size(words) - start).alias("width"))
 
-        return F.struct(F.size(words).alias("n"), F.filter(F.transform(cells, window), lambda x: x["similarity"] >= threshold).alias("found"))
+        return F.struct(F.size(words).alias("n"), F.filter(F.transform(F.filter(cells, promising), window), lambda x: x["similarity"] >= threshold).alias("found"))
 
     return F.when(text.rlike(hint), let(alnum_words(text), rate))
 
@@ -147,13 +171,18 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     templates = templates or TEMPLATES
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
     n_docs, counts = document_frequencies(rows, sorted({w for _, f in forms(templates) for w in f}))
-    rated = rows.select("doc_id", "path", rated_windows(F.col("text"), templates, n_docs, counts, threshold).alias("rated"))
-    found = F.col("rated.found")
-    best = F.array_max(F.transform(found, lambda x: F.struct(x["similarity"].alias("similarity"), x["license"].alias("license"))))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["start"], x["start"] + x["width"] - 1)))))
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    is_file = (F.size(found) > 0) & ((covered >= FILE_SHARE * F.col("rated.n")) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)))
-    own = rated.select("doc_id", "path", folder.alias("folder"), F.greatest(F.size(F.coalesce(found, F.array())), F.lit(0)).cast("long").alias("n_windows"), best.alias("best"), F.coalesce(is_file, F.lit(False)).alias("is_file"))
+
+    def verdict(rated: Column) -> Column:
+        found = F.coalesce(rated["found"], F.array())
+        best = F.array_max(F.transform(found, lambda x: F.struct(x["similarity"].alias("similarity"), x["license"].alias("license"))))
+        covered = F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.sequence(x["start"], x["start"] + x["width"] - 1)))))
+        is_file = (F.size(found) > 0) & ((covered >= FILE_SHARE * rated["n"]) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False)))
+        return F.struct(F.size(found).cast("long").alias("n_windows"), best.alias("best"), F.coalesce(is_file, F.lit(False)).alias("is_file"))
+
+    judged = let(rated_windows(F.col("text"), templates, n_docs, counts, threshold), verdict)
+    # narrow rows, kept: the texts are judged once
+    own = cut(rows.select("doc_id", "path", folder.alias("folder"), judged.alias("own")).select("doc_id", "path", "folder", "own.*"))
     owners = own.where("is_file AND path IS NOT NULL").groupBy("folder").agg(F.max("best").alias("of"))
     # nearest owner of each different folder, then of each file
     parts = F.split("folder", "/")

@@ -66,9 +66,12 @@ def test_windows_against_all_windows(spark):
 
 def test_leading_terms_lose_nothing():
     weights = {"a": 5.0, "b": 4.0, "c": 3.0, "d": 1.0}
-    got = licenses.leading(weights, 0.6)
-    rest = sum(v * v for w, v in weights.items() if w not in got)
-    assert got == ["a", "b"] and math.sqrt(rest / sum(v * v for v in weights.values())) < 0.6
+    for counts in ({}, {"a": 9, "b": 5, "c": 1, "d": 1}):
+        got = licenses.leading(weights, counts, 0.6)
+        rest = sum(v * v for w, v in weights.items() if w not in got)
+        assert math.sqrt(rest / sum(v * v for v in weights.values())) < 0.6
+    assert licenses.leading(weights, {}, 0.6) == ["a", "b"] and got == ["c", "d", "b", "a"][: len(got)]
+    assert [licenses.fewest(weights, t) for t in (0.6, 0.75, 0.95, 1.0)] == [1, 2, 3, 4]
 
 
 def test_very_long_and_empty_tables(spark):
