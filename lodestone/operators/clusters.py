@@ -11,18 +11,31 @@ from ..functions.text import dice
 MIN_SHINGLES, SAME_TEXT, SAME_TITLE = 25, 0.88, 0.7
 
 
-def equivalent(a: str, b: str, min_shingles: int = MIN_SHINGLES) -> Column:
-    """Same title, or similar titles and nearly the same text. Both sides carry title, tokens and shingles."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    long = F.least(F.size(c(a, "shingles")), F.size(c(b, "shingles"))) >= min_shingles
-    return (c(a, "title") == c(b, "title")) | (dice(c(a, "tokens"), c(b, "tokens")) >= SAME_TITLE) & long & (dice(c(a, "shingles"), c(b, "shingles")) >= SAME_TEXT)
+def candidates(cards: DataFrame, keys: list[str], same_text: float = SAME_TEXT) -> DataFrame:
+    """(a, b, same, titles, shortest, dice): pairs a < b of one block with one title, or with a Dice of shingles of ``same_text`` at least.
+
+    ``same`` is whether the titles are equal, ``titles`` the Dice of their
+    words, ``shortest`` the smaller number of shingles. Cards meet by title or
+    by a shingle: so similar sets share one among their first by hash, as the
+    others alone are too few. Nulls in keys equal nulls.
+    """
+    side = cards.select("id", F.xxhash64(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).alias("block"), "title", "tokens", "shingles")
+    hashed = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
+    # Dice d asks for d / (2 - d) of the union, so that a set may miss all but the rest of its own
+    first = F.size("shingles") - F.ceil(same_text / (2 - same_text) * F.size("shingles")).cast("int") + 1
+    met = side.select("id", "block", F.explode(F.concat(F.array(F.xxhash64(F.lit("title"), "title")), F.when(F.size("shingles") > 0, F.slice(hashed, F.lit(1), first)).otherwise(F.array().cast("array<bigint>")))).alias("at"))
+    both = met.alias("x").join(met.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.id") < F.col("y.id")))
+    both = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    of = lambda k: side.select(F.col("id").alias(k), F.struct("title", "tokens", "shingles").alias(f"c{k}"))
+    c = lambda k, name: F.col(f"c{k}.{name}")
+    rated = both.join(of("a"), "a").join(of("b"), "b").select("a", "b", (c("a", "title") == c("b", "title")).alias("same"), dice(c("a", "tokens"), c("b", "tokens")).alias("titles"), F.least(F.size(c("a", "shingles")), F.size(c("b", "shingles"))).alias("shortest"), dice(c("a", "shingles"), c("b", "shingles")).alias("dice"))
+    return rated.where(F.col("same") | (F.col("dice") >= same_text))
 
 
 def pairs(cards: DataFrame, keys: list[str], min_shingles: int = MIN_SHINGLES) -> DataFrame:
-    """(a, b): equivalent cards of one block, a < b. Nulls in keys equal nulls, so blocks join on one struct."""
-    side = cards.withColumn("__block", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    met = side.alias("a").join(side.alias("b"), (F.col("a.__block") == F.col("b.__block")) & (F.col("a.id") < F.col("b.id")))
-    return met.where(equivalent("a", "b", min_shingles)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    """(a, b): equivalent cards of one block, a < b: one title, or similar titles and nearly the same text."""
+    similar = (F.col("titles") >= SAME_TITLE) & (F.col("shortest") >= min_shingles)
+    return candidates(cards, keys).where(F.col("same") | similar).select("a", "b")
 
 
 def clusters(cards: DataFrame, keys: list[str], order: list[str], min_shingles: int = MIN_SHINGLES) -> DataFrame:

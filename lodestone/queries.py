@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import facts, html, segments, text
-from .operators import clusters, engine, search, state, status
+from .operators import clusters, engine, lexicon, search, state, status
 from .plans import analysis
 
 QUERIES: dict = {}
@@ -383,36 +383,73 @@ def text_repair_quality(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.repaired(F.col("text"), quality, " the ", ".", "###", 3000)["quality"].alias("quality"))
 
 
-@register(r"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\n;!?]+|\.\s+(\p{L})', chr(1) || '\1', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 0)) AS BIGINT) AS n FROM documents")
+# Sentences keep their ends; in SQL an abbreviation is hidden while the text is cut.
+SAID = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)([ei]\.\s?[ge])\.', '\1' || chr(2), 'g'), '([\n;!?])', '\1' || chr(1), 'g'), '\.(\s+\p{L})', '.' || chr(1) || '\1', 'g'), chr(1)), lambda s: replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), chr(2), '.')), lambda s: length(s) > 0)"
+
+
+@register(f"WITH s AS (SELECT doc_id, {SAID} AS s FROM documents) SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS said FROM s")
 def sentence_split(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(segments.sentences(F.col("text"))).cast("long").alias("n"))
+    found = load(spark, sf_dir, "documents").select("doc_id", segments.sentences(F.col("text")).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("said"))
 
 
-@register("SELECT n_nationkey, 'Intro ' || n_name AS intro, 'do ' || n_name || chr(10) || 'and more' AS responsibilities, 'know SQL' AS requirements FROM nation")
+@register("SELECT n_nationkey, 'Intro ' || n_name AS intro, 'do ' || n_name || chr(10) || 'and more' AS responsibilities, 'know SQL. No header here: requirement' || chr(10) || 'знать ' || n_name AS requirements, 'tea' || chr(10) || '- ceai' AS benefits, 'Git' AS preferred FROM nation")
 def section_split(spark, sf_dir):
-    body = F.concat(F.lit("Intro "), F.col("n_name"), F.lit("\nDuties:\ndo "), F.col("n_name"), F.lit("\nRequirements: know SQL\nResponsibilities\nand more"))
-    return load(spark, sf_dir, "nation").select("n_nationkey", segments.sections(body).alias("s")).select("n_nationkey", "s.intro", "s.responsibilities", "s.requirements")
+    parts = ["Intro ", F.col("n_name"), "\nDuties:\ndo ", F.col("n_name"), "\nRequirements: know SQL. No header here: requirement\nWHAT WE OFFER\ntea\nResponsabilități\nand more\nТребования:\nзнать ", F.col("n_name"), "\nBeneficii: - ceai\nNice to have:\nGit"]
+    body = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return load(spark, sf_dir, "nation").select("n_nationkey", segments.sections(body).alias("s")).select("n_nationkey", "s.intro", "s.responsibilities", "s.requirements", "s.benefits", "s.preferred")
 
 
-@register(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\n;!?]+|\.\s+(\p{L})', chr(1) || '\1', 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 0 AND regexp_matches(lower(strip_accents(s)), '\bthe\b')) AS s FROM documents)
-SELECT doc_id, CAST(least(3, len(list_distinct(s))) AS BIGINT) AS n FROM s""")
+@register(rf"""WITH s AS (SELECT doc_id, list_filter({SAID}, lambda s: regexp_matches(lower(strip_accents(s)), '\bthe\b')) AS s FROM documents), u AS (SELECT doc_id, list_filter(s, lambda x, i: list_position(s, x) = i)[1:3] AS s FROM s)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS quotes FROM u""")
 def evidence_top3(spark, sf_dir):
     quotes = segments.evidence(segments.records(F.col("text"), "Vacancy text"), r"(?<![a-z0-9_])the(?![a-z0-9_])")
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(quotes).cast("long").alias("n"))
+    found = load(spark, sf_dir, "documents").select("doc_id", F.transform(quotes, lambda q: q["text"]).alias("q"))
+    return found.select("doc_id", F.size("q").cast("long").alias("n"), F.md5(F.array_join("q", "|")).alias("quotes"))
+
+
+# What is said of experience, by order, and the years that it asks for (n: a number from 2 to 9).
+SAID_YEARS = [("{n}+ years of experience. Also 9 years preferred experience", "n"), ("experience of 6 months", "0.5"), ("experience up to 1 year", "0"), ("the company has 20 years of experience", None), ("Опыт работы не менее {n}-х лет", "n"), ("Experiență de minim {n} ani", "n"), ("at least two years, or {n} years of experience", "n"), ("{n} years of experience or students", None), ("Minimum {n} yrs experience; driving experience of 9 years", "n"), ("{n} months of experience", "n / 12")]
 
 
-@register("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 9 + 1.0 WHEN 1 THEN 0.5 WHEN 2 THEN 0.0 END::DOUBLE AS minimum FROM orders")
+@register(f"WITH o AS (SELECT o_orderkey, o_orderkey % 8 + 2.0 AS n FROM orders) SELECT o_orderkey, CASE o_orderkey % {len(SAID_YEARS)} {' '.join(f'WHEN {i} THEN {v}' for i, (_, v) in enumerate(SAID_YEARS) if v)} END::DOUBLE AS minimum FROM o")
 def experience_extract(spark, sf_dir):
     k = F.col("o_orderkey")
-    said = F.when(k % 4 == 0, F.concat((k % 9 + 1).cast("string"), F.lit("+ years of experience. Also 9 years preferred experience"))).when(k % 4 == 1, "experience of 6 months").when(k % 4 == 2, "experience up to 1 year").otherwise("the company has 20 years of experience")
+    said = F.get(F.array(*[F.regexp_replace(F.lit(t), r"\{n\}", (k % 8 + 2).cast("string")) for t, _ in SAID_YEARS]), (k % len(SAID_YEARS)).cast("int"))
     return load(spark, sf_dir, "orders").select("o_orderkey", facts.experience(said)["minimum"].alias("minimum"))
 
 
-@register("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) || '00' WHEN 1 THEN p_size || '00 EUR' WHEN 2 THEN '- ' || p_size || '00 lei; - 900 lei' ELSE '' END AS salary FROM part")
+# What is said of pay, by part, and what counts of it (n: hundreds).
+SAID_PAY = [("Salary {n} EUR", "{n} EUR"), ("Salary:\n{n} lei\n900 lei;\nother", "{n} lei; 900 lei"), ("Salary after internship {n} EUR", ""), ("Salary: EUR {n}", "EUR {n}"), ("Remunerare: de la {n} lei net", "de la {n} lei"), ("Compensation: {n} - 99 000 USD a month", "{n} - 99 000 USD"), ("Payment terms: invoices over {n} EUR", ""), ("Зарплата: от {n} до 99 000 лей", "от {n} до 99 000 лей"), ("Salary\n{n} MDL per month", "{n} MDL"), ("Premium of {n} EUR", "")]
+
+
+@register(f"WITH p AS (SELECT p_partkey, p_size || '00' AS n FROM part) SELECT p_partkey, CASE WHEN p_partkey % 11 = 10 THEN n ELSE replace(['{"', '".join(v for _, v in SAID_PAY)}'][p_partkey % 11 + 1], '{{n}}', n) END AS salary FROM p".replace("\n", "' || chr(10) || '"))
 def salary_extract(spark, sf_dir):
-    k, n = F.col("p_partkey") % 4, F.concat(F.col("p_size").cast("string"), F.lit("00"))
-    body = F.when(k == 1, F.concat(F.lit("Salary "), n, F.lit(" EUR"))).when(k == 2, F.concat(F.lit("Salary:\n- "), n, F.lit(" lei\n- 900 lei\nother"))).when(k == 3, F.concat(F.lit("Salary after internship "), n, F.lit(" EUR")))
-    return load(spark, sf_dir, "part").select("p_partkey", facts.salary(F.when(k == 0, n), F.col("p_name"), body).alias("salary"))
+    k, n = (F.col("p_partkey") % 11).cast("int"), F.concat(F.col("p_size").cast("string"), F.lit("00"))
+    body = F.get(F.array(*[F.regexp_replace(F.lit(t), r"\{n\}", n) for t, _ in SAID_PAY]), k)
+    return load(spark, sf_dir, "part").select("p_partkey", facts.salary(F.when(k == 10, n), F.col("p_name"), body).alias("salary"))
+
+
+# Titles and duties that are paired by order key; each rule is one search in SQL, in the same order.
+TITLED = ["Junior QA tester", "Data Scientist - Python Developer", "Office manager", "Специалист ИТ-поддержки", "Linux developer", "Helper", "Specialist IT", "WordPress Developer", "Account manager for SEO", "Suport tehnic", "Internship IT", "Графический дизайнер", "Programator 1C"]
+DUTIES = ["plain duties", "reset of passwords and technical issues", "seo and google ads", "bug reports", "information technology", "we write clean code", "анализ данных"]
+_EDGE = r"(^|[^\p{{L}}\p{{N}}])(?:{0})($|[^\p{{L}}\p{{N}}])"
+
+
+def _first(column: str, rules: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{_EDGE.format(p)}') THEN '{k}'" for k, p in rules) + " END"
+
+
+@register(
+    f"""WITH o AS (SELECT o_orderkey, lower(['{"', '".join(TITLED)}'][o_orderkey % {len(TITLED)} + 1]) AS t, lower(['{"', '".join(DUTIES)}'][o_orderkey % {len(DUTIES)} + 1]) AS d FROM orders),
+r AS (SELECT *, regexp_matches(t, '{_EDGE.format(lexicon.NON_TECH)}') AS odd, CASE WHEN regexp_matches(t, '{_EDGE.format(lexicon.DEVELOPER)}') AND NOT regexp_matches(t, '{lexicon.NOT_DEVELOPER}') THEN 'Software Development' ELSE {_first("t", [(k, p) for k, p, _ in lexicon.CATEGORIES])} END AS titled, {_first("d", [(k, p) for k, _, p in lexicon.CATEGORIES])} AS duty, {_first("d", [(k, p) for k, _, p in lexicon.CATEGORIES if k not in ("General IT", "IT Internships")])} AS closer FROM o),
+n AS (SELECT *, coalesce(titled, CASE WHEN NOT odd THEN duty END) AS named FROM r)
+SELECT o_orderkey, CASE WHEN odd OR named IS NULL THEN 'General IT' WHEN named = 'General IT' THEN coalesce(closer, named) ELSE named END AS category, odd OR named IS NULL AS unrelated FROM n"""
+)
+def title_category(spark, sf_dir):
+    pick = lambda of: F.get(F.array(*map(F.lit, of)), (F.col("o_orderkey") % len(of)).cast("int"))
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", text.normalize(pick(TITLED)).alias("_title"), text.normalize(pick(DUTIES)).alias("_relevant"))
+    return engine.categorised(rows).select("o_orderkey", "category", F.col("_unrelated").isNotNull().alias("unrelated"))
 
 
 FIT = "CASE l_linenumber % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'other' WHEN 2 THEN 'stretch' ELSE 'beginner' END"
@@ -492,10 +529,10 @@ def date_format_tz(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", text.shown_date(F.col("ts").cast("timestamp"), "Europe/Chisinau").alias("shown"))
 
 
-# Near-duplicate cards: blocks of one language and one first line.
+# Near-duplicate cards: blocks of one language and one source.
 BLOCKS = rf"""WITH d AS (SELECT doc_id AS id, lang, source, n_chars, trim(regexp_replace(lower(strip_accents(split_part(coalesce(text, ''), chr(10), 1))), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS title, string_split({WORDS_SQL}, ' ') AS w FROM documents),
-s AS (SELECT *, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
-p AS (SELECT a.id AS a, b.id AS b, a.source AS sa, b.source AS sb, coalesce(2.0 * len(list_intersect(a.g, b.g)) / nullif(len(a.g) + len(b.g), 0), 0.0) AS dice FROM s a JOIN s b ON a.lang = b.lang AND a.title = b.title AND a.id < b.id)
+s AS (SELECT *, list_distinct(string_split(title, ' ')) AS t, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
+p AS (SELECT a.id AS a, b.id AS b, a.title = b.title AS same, 2.0 * len(list_intersect(a.t, b.t)) / nullif(len(a.t) + len(b.t), 0) AS titles, least(len(a.g), len(b.g)) AS shortest, coalesce(2.0 * len(list_intersect(a.g, b.g)) / nullif(len(a.g) + len(b.g), 0), 0.0) AS dice FROM s a JOIN s b ON a.lang = b.lang AND a.source = b.source AND a.id < b.id)
 """
 
 
@@ -505,16 +542,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), "lang", "source", "n_chars", text.words(line).alias("title"), text.shingles(F.col("text")).alias("shingles")).withColumn("tokens", F.array_distinct(F.split("title", " ")))
 
 
-@register(BLOCKS + "SELECT a, b FROM p")
+@register(BLOCKS + "SELECT a, b FROM p WHERE same OR (titles >= 0.7 AND shortest >= 25 AND dice >= 0.88)")
 def dedup_pairs(spark, sf_dir):
-    return clusters.pairs(blocks(spark, sf_dir), ["lang", "title"])
+    return clusters.pairs(blocks(spark, sf_dir), ["lang", "source"])
 
 
-@register(BLOCKS + "SELECT a, b, round(dice, 9) AS dice FROM p")
+@register(BLOCKS + "SELECT a, b, round(dice, 9) AS dice FROM p WHERE same OR dice >= 0.88")
 def dedup_dice(spark, sf_dir):
-    b = blocks(spark, sf_dir).select("id", "lang", "title", "shingles")
-    met = b.alias("a").join(b.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.title") == F.col("b.title")) & (F.col("a.id") < F.col("b.id")))
-    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(text.dice(F.col("a.shingles"), F.col("b.shingles")), 9).alias("dice"))
+    return clusters.candidates(blocks(spark, sf_dir), ["lang", "source"]).select("a", "b", F.round("dice", 9).alias("dice"))
 
 
 @register(BLOCKS + "SELECT lang, title, arg_max(id, (n_chars, -id)) AS primary_id FROM d GROUP BY lang, title")
@@ -533,7 +568,7 @@ def dedup_cluster_sources(spark, sf_dir):
 
 @register()
 def dedup_clusters(spark, sf_dir):
-    return clusters.clusters(blocks(spark, sf_dir), ["lang", "title"], ["id"])
+    return clusters.clusters(blocks(spark, sf_dir), ["lang", "source"], ["id"])
 
 
 # Coverage and audits.
