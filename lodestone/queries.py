@@ -486,13 +486,28 @@ def url_id_extract(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", text.trailing_id(F.col("url")).alias("id"))
 
 
-@register()
+def _without(page: str, *tags: str) -> str:
+    for tag in tags:
+        page = f"regexp_replace({page}, '(?s)<{tag}>.*?</{tag}>', '', 'g')"
+    return page
+
+
+def _visible(page: str) -> str:
+    """SQL for the text of a regular page: blocks end lines, other tags go, references are read, spaces are single."""
+    page = f"regexp_replace(regexp_replace(regexp_replace({page}, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '<br>|</(p|div|li|ul|ol|h[1-6]|tr|section|article|header|main|table)>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        page = f"replace({page}, '&{name};', '{sign}')"
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({page}, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@register(f"SELECT page_id, {_visible(_without("coalesce(html, '')", 'title', 'style', 'script', 'nav', 'footer'))} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     body = html.html_to_text("html")
     return load(spark, sf_dir, "pages").select("page_id", body.alias("text"))
 
 
-@register()
+@register(f"""WITH p AS (SELECT page_id, {_visible("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, CAST(length({_visible("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}) AS BIGINT) AS n_chars FROM pages)
+SELECT page_id, nullif(title, '') AS title, n_chars, CASE WHEN n_chars < 100 THEN 'description too short' WHEN n_chars > 25000 THEN 'description too long' END AS error FROM p""")
 def html_main_text(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", html.details("html").alias("d")).select("page_id", "d.title", F.length("d.description").cast("long").alias("n_chars"), "d.error")
 
@@ -503,9 +518,17 @@ def html_listing_links(spark, sf_dir):
     return found.select("page_id", "x.link")
 
 
-@register()
+# Pages with one of several notices around them, so that some are closed: by a status element, by a date, or not (hidden, or said beside the advert).
+NOTICES = ["<div class='alert'>This vacancy is no longer available</div>{0}", "<h1>Вакансия закрыта</h1>{0}", "<p>This job is closed</p><div class='vacancy-content'>{0}</div>", "<div class='alert' hidden>This job has expired</div><div class='vacancy-content'>{0}</div>", "<script type='application/ld+json'>{{\"@type\":\"JobPosting\",\"title\":\"x\",\"description\":\"y\",\"validThrough\":\"2000-05-01\"}}</script>{0}", "<script type='application/ld+json'>{{\"@type\":\"JobPosting\",\"title\":\"x\",\"description\":\"y\",\"validThrough\":\"2002-05-01\"}}</script>{0}"]
+
+
+@register("SELECT page_id, page_id % 6 IN (0, 1, 4) AS closed, CASE page_id % 6 WHEN 0 THEN 'This vacancy is no longer available' WHEN 1 THEN 'Вакансия закрыта' WHEN 4 THEN 'posting expired' END AS reason FROM pages")
 def closed_detect(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", html.closed(F.col("html"), F.expr(AS_OF)).alias("c")).select("page_id", "c.closed", "c.reason")
+    around = [n.format("\u0001").split("\u0001") for n in NOTICES]
+    part = lambda i: F.get(F.array(*[F.lit(a[i]) for a in around]), (F.col("page_id") % len(NOTICES)).cast("int"))
+    page = F.concat(part(0), F.coalesce("html", F.lit("")), part(1))
+    found = load(spark, sf_dir, "pages").select("page_id", html.details(page).alias("d"))
+    return found.select("page_id", html.closed(F.col("d"), F.expr(AS_OF)).alias("c")).select("page_id", "c.closed", "c.reason")
 
 
 @register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(props->>'k' AS INT) END AS k FROM events")

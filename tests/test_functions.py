@@ -86,11 +86,31 @@ def test_pages(spark):
     assert (got["title"], got["company"], got["error"]) == ("QA", "Alfa", None)
     assert one(spark, html.html_to_text(F.col("p")), p=page).startswith("word word")
     assert one(spark, html.details(F.col("p")), p="<p>x")["error"] == "description too short"
-    shut = one(spark, html.closed(F.col("p"), F.expr("TIMESTAMP '2021-01-01'")), p=page)
+    shut = one(spark, html.closed(html.details(F.col("p")), F.expr("TIMESTAMP '2021-01-01'")), p=page)
     assert shut["closed"] and shut["reason"] == "posting expired"
     assert one(spark, html.html_to_text(F.col("p")), p=None) == ""
 
 
+def test_fields_and_notices_of_pages(spark):
+    advert = "<div class='vacancy-content'>" + "duties of the role " * 10 + "</div>"
+    labelled = "<div><span class='text-muted3'>Oraș:</span><b>Bălți</b></div><div><span class='text-muted3'>Salariu:</span> <b>900 EUR</b></div>" + advert
+    got = one(spark, html.details(F.col("p")), p=labelled)
+    assert (got["location"], got["salary"], got["error"], got["notice"]) == ("Bălți", "900 EUR", None, None)
+    listed = "".join(f"<li class='vacancy-summary-item-mobile'>{x}</li>" for x in ("Chișinău", "no", "day", "any", "office")) + "<p class='vacancy-salary'>5 lei</p>" + advert
+    got = one(spark, html.details(F.col("p")), p=listed)
+    assert [got[k] for k in ("location", "experience", "schedule", "education", "work_mode", "salary")] == ["Chișinău", "no", "day", "any", "office", "5 lei"]
+    notice = lambda p: one(spark, html.details(F.col("p")), p=p)["notice"]
+    assert notice("<div role='alert'>Acest anunț a expirat</div>" + advert) == "Acest anunț a expirat"
+    assert notice("<main>Vacancy not found</main>") == "Vacancy not found"
+    assert notice("<p>This job is closed</p>" + advert) is None and notice("<aside><h2>This job is closed</h2></aside>" + advert) is None
+    assert notice("<div style='display: none'><h1>Вакансия закрыта</h1></div>" + advert) is None
+
+
+def test_plain_values_are_not_parsed(spark):
+    assert one(spark, html.text_of(F.col("t")), t="a < b & c") == "a < b & c" and one(spark, html.text_of(F.col("t")), t="<b>a</b> &amp; c") == "a & c"
+    assert one(spark, html.text_of(F.col("t")), t=None) == ""
+
+
 def test_search_rejects_unknown_values(spark):
     with pytest.raises(ValueError):
         search.search(spark.range(1).toDF("fit"), fit="nobody")
