@@ -94,3 +94,9 @@ def candidate(title: Column, senior: str, junior: str, wanted: str) -> Column:
 def hidden_out(cards: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     """Cards without an entry in ``entries``."""
     return cards.join(entries.select(key).distinct(), key, "left_anti")
+
+
+def personal_view(entries: DataFrame, cards: DataFrame, key: str, fit: str = "all", fits: tuple[str, ...] = FITS, **wanted) -> DataFrame:
+    """The cards of a person's entries that meet the conditions of search(), best score first; equal ones in the order of their keys."""
+    mine = cards.join(entries.select(key).distinct(), key, "left_semi")
+    return search(mine, fit=fit, fits=fits, **wanted).orderBy(F.desc("fit_score"), key)

@@ -27,10 +27,10 @@ def run_status(df: DataFrame, by: str, status: str, fatal: Column | None = None)
 
 def refresh(sources: DataFrame, runs: DataFrame, cards: DataFrame, source: str, run: str, finished: str, stale: Column, failed: Column) -> DataFrame:
     """One row a source: last run, last success, and counts over its cards; defaults for sources that never ran."""
-    last = latest(runs.select(source, run, "status", finished), source, run).select(source, F.col("status").alias("last_status"), F.col(finished).alias("last_finished"))
-    good = runs.where("status = 'success'").groupBy(source).agg(F.max_by(finished, run).alias("last_success"))
+    ran = runs.groupBy(source).agg(F.max_by(F.struct("status", finished), run).alias("__last"), F.max_by(finished, F.when(F.col("status") == "success", F.col(run))).alias("last_success"))
+    ran = ran.select(source, F.col("__last.status").alias("last_status"), F.col(f"__last.{finished}").alias("last_finished"), "last_success")
     stats = cards.groupBy(source).agg(F.count("*").alias("total"), F.count_if(stale).alias("stale"), F.count_if(failed).alias("failures"))
-    out = sources.join(last, source, "left").join(good, source, "left").join(stats, source, "left")
+    out = sources.join(ran, source, "left").join(stats, source, "left")
     return out.select(source, F.coalesce("last_status", F.lit("never")).alias("last_status"), "last_finished", "last_success", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "stale", "failures")])
 
 
@@ -51,3 +51,21 @@ def coverage(candidates: DataFrame, stored: DataFrame, keys: list[str], order: s
     """Candidates with their first stored row and an outcome: visible, stored_excluded or missing."""
     one = stored.groupBy(*keys).agg(F.min_by("status", order).alias("status"))
     return candidates.join(one, keys, "left").withColumn("outcome", F.when(F.col("status").isNull(), "missing").when(F.col("status") == "active", "visible").otherwise("stored_excluded"))
+
+
+def booked(runs: DataFrame, done: DataFrame, as_of: Column) -> DataFrame:
+    """``runs`` (run_id, source, status, started_at, finished_at, found, saved, failed, error) after the outcomes in ``done`` (run_id, source, found, saved, failed, error).
+
+    A known run takes its counters, the first 300 characters of its error, the
+    end time and its status; an unknown one is begun and ended at once. Runs
+    without an outcome stay. One join on the run id.
+    """
+    d = done.select(*[F.col(c).alias(f"d_{c}") for c in ("run_id", "source", "found", "saved", "failed", "error")], F.lit(True).alias("d_new"))
+    both = runs.withColumn("__old", F.lit(True)).join(d, F.col("run_id") == F.col("d_run_id"), "full_outer")
+    new = F.col("d_new").isNotNull()
+    ended = source_status(F.col("d_failed") > 0, F.col("d_error").isNotNull(), F.col("d_saved") > 0)
+    take = lambda c, value: F.when(new, value).otherwise(F.col(c)).alias(c)
+    return both.select(
+        F.coalesce("run_id", "d_run_id").alias("run_id"), F.coalesce("source", "d_source").alias("source"), take("status", ended), F.when(F.col("__old").isNull(), as_of).otherwise(F.col("started_at")).alias("started_at"), take("finished_at", as_of),
+        *[take(c, F.col(f"d_{c}")) for c in ("found", "saved", "failed")], take("error", F.substring("d_error", 1, 300)),
+    )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.html import text_of
 from ..functions.text import clean
 from ..operators import engine, state
+from ..sources.versions import current, publish
 
 
 def analyse(table: DataFrame, as_of: Column, only_pending: bool = True) -> DataFrame:
@@ -16,3 +17,11 @@ def analyse(table: DataFrame, as_of: Column, only_pending: bool = True) -> DataF
     todo = state.pending(table, engine.VERSION) if only_pending else table
     done = engine.evaluate(todo.withColumn("text", clean(text_of(F.col("text"))))).withColumn("analyzed_at", as_of)
     return done.unionByName(table.where(current), allowMissingColumns=True) if only_pending else done
+
+
+def write_back(spark: SparkSession, root: str, as_of: Column, only_pending: bool = True) -> int:
+    """Analyses the newest version of the table at ``root`` and publishes the result as its next one: all rows or none."""
+    table = current(spark, root)
+    if table is None:
+        raise ValueError(f"no table at {root}")
+    return publish(analyse(table, as_of, only_pending), root)

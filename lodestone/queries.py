@@ -662,3 +662,40 @@ def snapshot_coalesce_join(spark, sf_dir):
     live = load(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("user_id"), "source")
     saved = load(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", "user_id").join(live, "user_id", "left")
     return saved.select("event_id", F.coalesce("source", F.lit("snapshot")).alias("source"), F.col("source").isNull().alias("saved_snapshot"))
+
+
+@register(CARDS + "SELECT k.key, CAST(count(c.doc_id) AS BIGINT) AS n FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('xx')) k(key) LEFT JOIN cards c ON c.fit = k.key GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM cards")
+def analyzed_fit_counts(spark, sf_dir):
+    return search.counts(cards(spark, sf_dir), "fit", ["en", "de", "fr", "es", "xx"], "all")
+
+
+SAVED = "mine AS (SELECT doc_id, fit, category, n_chars AS fit_score, tags FROM active WHERE doc_id IN (SELECT user_id FROM events WHERE event_type = 'view'))\n"
+
+
+def mine(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    entries = load(spark, sf_dir, "events").where("event_type = 'view'").select(F.col("user_id").alias("doc_id"))
+    return entries, active(spark, sf_dir).withColumn("fit_score", F.col("n_chars"))
+
+
+@register(CARDS + "," + SAVED + "SELECT doc_id, fit_score FROM mine WHERE fit = 'en' AND list_has_all(tags, ['the']) ORDER BY fit_score DESC, doc_id")
+def personal_view(spark, sf_dir):
+    entries, live = mine(spark, sf_dir)
+    return search.personal_view(entries, live, "doc_id", fit="en", fits=LANGS, tags=["the"]).select("doc_id", "fit_score")
+
+
+@register(CARDS + "," + SAVED + "SELECT k.key, CAST(count(m.doc_id) AS BIGINT) AS n FROM (VALUES ('en'), ('de'), ('fr'), ('es')) k(key) LEFT JOIN mine m ON m.fit = k.key GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM mine")
+def personal_fit_counts(spark, sf_dir):
+    entries, live = mine(spark, sf_dir)
+    return search.counts(search.personal_view(entries, live, "doc_id"), "fit", ["en", "de", "fr", "es"], "all")
+
+
+@register(
+    """WITH r AS (SELECT o_orderkey AS run_id, o_orderpriority AS source, o_orderdate AS started_at FROM orders WHERE o_orderstatus = 'O'), d AS (SELECT l_orderkey AS run_id, min(l_returnflag) AS source, count(*) AS found, count_if(l_quantity > 10) AS saved, count_if(l_tax > 0.06) AS failed, max(CASE WHEN l_discount > 0.09 THEN repeat('late ', 80) END) AS error FROM lineitem WHERE l_linestatus = 'F' OR l_quantity > 45 GROUP BY 1)
+SELECT coalesce(r.run_id, d.run_id) AS run_id, coalesce(r.source, d.source) AS source, CASE WHEN d.run_id IS NULL THEN 'running' WHEN failed = 0 AND error IS NULL THEN 'success' WHEN saved > 0 THEN 'partial' ELSE 'failed' END AS status, CASE WHEN r.run_id IS NULL THEN TIMESTAMP '2001-01-01 00:00:00' ELSE CAST(started_at AS TIMESTAMP) END AS started_at, CASE WHEN d.run_id IS NOT NULL THEN TIMESTAMP '2001-01-01 00:00:00' END AS finished_at, found, saved, failed, left(error, 300) AS error FROM r FULL JOIN d ON r.run_id = d.run_id"""
+)
+def run_bookkeeping(spark, sf_dir):
+    none = lambda t: F.lit(None).cast(t)
+    runs = load(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("source"), F.lit("running").alias("status"), F.col("o_orderdate").cast("timestamp_ntz").alias("started_at"), none("timestamp_ntz").alias("finished_at"), *[none("long").alias(c) for c in ("found", "saved", "failed")], none("string").alias("error"))
+    late = F.max(F.when(F.col("l_discount") > 0.09, F.repeat(F.lit("late "), 80)))
+    done = load(spark, sf_dir, "lineitem").where("l_linestatus = 'F' OR l_quantity > 45").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.min("l_returnflag").alias("source"), F.count("*").alias("found"), F.count_if(F.col("l_quantity") > 10).alias("saved"), F.count_if(F.col("l_tax") > 0.06).alias("failed"), late.alias("error"))
+    return status.booked(runs, done, F.expr(AS_OF))

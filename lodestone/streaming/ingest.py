@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import state
+from ..sources.versions import current, publish
 
 
 def upsert_stream(batches: DataFrame, root: str, checkpoint: str, key: str, seen: str, compared: str, version: str) -> StreamingQuery:
@@ -16,6 +17,8 @@ def upsert_stream(batches: DataFrame, root: str, checkpoint: str, key: str, seen
 
     Each batch writes a new version beside the old one; current() reads the
     newest. A batch that runs twice after a failure overwrites its own version.
+    The whole table is written with each batch, as the stored one is small next
+    to the pages that it is made of; older versions go.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -23,22 +26,11 @@ def upsert_stream(batches: DataFrame, root: str, checkpoint: str, key: str, seen
         rows = state.first_seen(batch, [key], [F.col(seen).desc()])
         old = current(spark, root, before=number)
         whole = rows.withColumn(version, F.lit(0)) if old is None else state.upsert(old, rows, key, seen, compared, version)
-        whole.write.mode("overwrite").parquet(f"{root}/version={number:010d}")
+        publish(whole, root, number)
 
     return batches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).queryName(f"upsert-{uuid.uuid4().hex}").start()
 
 
-def current(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version of a table, or none; read through Spark's own file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    done = [n for n in done if before is None or int(n.split("=")[1]) < before]
-    return spark.read.parquet(f"{root}/{done[-1]}") if done else None
-
-
 def windowed(events: DataFrame, at: str, by: str, width: str, late: str) -> DataFrame:
     """Counts per key and event-time window; rows later than ``late`` are dropped. An extension beside the batch roll-ups."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import facts, html, segments, text
 from lodestone.operators import clusters, engine, lexicon, search, state, status
+from lodestone.plans import analysis
+from lodestone.sources import versions
 from lodestone.streaming import ingest
 
 
@@ -170,3 +172,21 @@ def test_stream_upserts_each_batch(spark, tmp_path):
     spark.createDataFrame([(1, "b", 2), (2, "c", 2)], schema).write.mode("append").parquet(source)
     run()
     assert sorted((r["k"], r["title"], r["v"]) for r in ingest.current(spark, root).collect()) == [(1, "b", 0), (2, "c", 0)]
+
+
+def test_write_back_publishes_whole_versions(spark, tmp_path):
+    root = str(tmp_path / "adverts")
+    rows = [(1, "Junior QA tester", "No experience required. " * 9, "Chisinau", None, None, "verified", "open", 0, None), (2, "Senior lawyer", "Papers. " * 20, "Chisinau", None, None, "verified", "open", 0, None)]
+    table = spark.createDataFrame(rows, "id int, title string, text string, location string, work_mode string, schedule string, description_quality string, availability string, analysis_version int, analyzed_at timestamp_ntz")
+    assert versions.publish(table, root) == 0
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'")
+    assert analysis.write_back(spark, root, at) == 1
+    got = {r["id"]: (r["status"], r["analysis_version"], r["analyzed_at"].year) for r in versions.current(spark, root).collect()}
+    assert got == {1: ("active", engine.VERSION, 2024), 2: ("excluded", engine.VERSION, 2024)}
+    (tmp_path / "adverts" / "version=0000000009").mkdir()  # a version that never was committed
+    assert versions.current(spark, root).count() == 2
+    for _ in range(3):
+        analysis.write_back(spark, root, at)
+    assert len([p for p in (tmp_path / "adverts").iterdir() if (p / "_SUCCESS").exists()]) == 3
+    with pytest.raises(ValueError):
+        analysis.write_back(spark, str(tmp_path / "none"), at)
