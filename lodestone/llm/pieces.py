@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -30,11 +31,12 @@ def _width(raw: np.ndarray) -> np.ndarray:
 class Lattice:
     """Pieces and scores of a vocabulary file. Characters without a piece go to byte pieces at a fixed penalty.
 
-    A segmentation's score is the sum of its pieces' scores, as in a unigram
-    model. In a file of merges the scores are merge ranks, so its best
-    segmentation is the one of least total rank, which need not be the one that
-    merging finds. Texts are taken as they are: of the file's normalisation only
-    the leading mark is applied.
+    A segmentation's score is the sum of its pieces' log probabilities, as in a
+    unigram model. A file of merges has ranks in their place, which are no
+    probabilities; they count as ranks of a Zipf law, so that a piece's
+    probability falls with one over its rank. The best segmentation need not be
+    the one that merging finds. Texts are taken as they are: of the file's
+    normalisation only the leading mark is applied.
     """
 
     def __init__(self, path: str):
@@ -42,16 +44,19 @@ class Lattice:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.bytes, self.ids, scores = {}, {}, []
+        self.bytes, found = {}, {}
         for i, text in enumerate(self.texts):
             if model.is_byte(i):
                 self.bytes[int(text[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.ids[text] = (i, model.get_score(i))
-                scores.append(model.get_score(i))
+                found[text] = (i, model.get_score(i))
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = model.unk_id()
-        self.penalty = min(scores, default=0.0) - 10
+        if found and all(score == int(score) <= 0 for _, score in found.values()):  # merge ranks
+            whole = math.log(sum(1 / (2 - score) for _, score in found.values()))
+            found = {t: (i, -math.log(2 - score) - whole) for t, (i, score) in found.items()}
+        self.ids: dict[str, tuple[int, float]] = found
+        self.penalty = min((score for _, score in found.values()), default=0.0) - 10
         self.longest = max(map(len, self.ids), default=1)
         straddling = any(re.search(rf"[^{MARK}]{MARK}", t) for t in self.ids)
         #: Pieces never run from a character on to a mark, so a text falls apart before each run of marks.
@@ -238,7 +243,7 @@ class Lattice:
             for w in weakest:
                 if (word := number[a + w]) not in others:
                     mine = tuple(flat[begin[a + w] : begin[a + w] + count[a + w]].tolist())
-                    others[word] = [(score[word] - s, i) for s, i in self.n_best(names[word], n) if i != mine][: n - 1]
+                    others[word] = [(max(0.0, score[word] - s), i) for s, i in self.n_best(names[word], n) if i != mine][: n - 1]
                 singles += [(float(x), int(a + w), k) for k, (x, _) in enumerate(others[word])]
             singles = sorted(singles)[: n - 1]
             ways = sorted((sum(x for x, _, _ in c), c) for k in range(1, n) for c in combinations(singles, k) if len({w for _, w, _ in c}) == k)[: n - 1]
