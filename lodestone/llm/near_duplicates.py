@@ -16,9 +16,9 @@ REGISTERS, ROWS = 128, 4
 MANTISSA = 10
 #: Two registers of different minima agree by chance about this often.
 CHANCE = 0.17 / (1 << MANTISSA)
-#: An estimate so far under the threshold is over four standard errors off, so no true link is lost to it.
+#: An estimate so far under the threshold is over four standard errors off: about 2 in 100,000 true links are lost to it.
 MARGIN = 0.16
-#: Rows and shingles of a bucket that are compared with as many others in one task.
+#: Rows and shingles of a bucket in one block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 BROADCAST_ROWS = 200_000
 
@@ -184,20 +184,24 @@ def components(links: DataFrame) -> DataFrame:
 
 def _undecided(least: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Rows of two blocks (or one) of a bucket that have a likely partner of another component, not met in an earlier band."""
+        """Rows of one block of a bucket that have a likely partner of another component, not met in an earlier band.
+
+        The block's own rows meet all rows outside the bucket's main component;
+        two of those meet in the own block of the larger one.
+        """
         sig = np.array(rows["sig"].tolist(), np.int64)
         regs = sig.view(np.uint16)
-        rep, comp, size, block = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["n_shingles"].to_numpy(), rows["block"].to_numpy()
-        low, high, band, head = rows["lo"].iloc[0], rows["hi"].iloc[0], rows["band"].iloc[0], rows["head"].to_numpy()
-        left, right = np.flatnonzero((block == low) & (rep != head)), np.flatnonzero((block == high) & (rep != head))
+        rep, comp, size, out = rows["rep"].to_numpy(), rows["comp"].to_numpy(), rows["n_shingles"].to_numpy(), rows["outside"].to_numpy(bool)
+        band, head = rows["band"].iloc[0], rows["head"].to_numpy()
+        left, right = np.flatnonzero(out & (rep != head)), np.flatnonzero(rows["own"].to_numpy(bool) & (rep != head))
         wanted = np.zeros(len(rows), bool)
         for i in left:
-            j = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high)) & (np.minimum(size[right], size[i]) >= least * np.maximum(size[right], size[i]))]
+            j = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | ~out[right]) & (np.minimum(size[right], size[i]) >= least * np.maximum(size[right], size[i]))]
             j = j[~(sig[j, :band] == sig[i, :band]).any(axis=1)]
             j = j[estimate(regs[j], regs[i]) >= least]
             wanted[j] = True
             wanted[i] |= len(j) > 0
-        return rows.loc[wanted, ["band", "key", "lo", "hi", "block", "rep", "comp"]]
+        return rows.loc[wanted, ["band", "key", "block", "own", "outside", "rep", "comp"]]
 
     return run
 
@@ -213,16 +217,16 @@ def _sets(batches):
 
 def _bridges(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of two blocks (or one) of a bucket whose whole sets are similar enough, as many as it takes to join their components."""
+        """Pairs of one block of a bucket whose whole sets are similar enough, as many as it takes to join their components."""
         sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
         size = np.array([len(x) for x in sets])
         start = np.cumsum(size) - size
         terms, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        rep, block = rows["rep"].to_numpy(), rows["block"].to_numpy()
+        rep = rows["rep"].to_numpy()
         label = np.unique(rows["comp"].to_numpy(), return_inverse=True)[1]
-        right = block == rows["hi"].iloc[0]
+        right = rows["own"].to_numpy(bool)
         seen, found = np.zeros(len(terms), bool), []
-        for i in np.flatnonzero(block == rows["lo"].iloc[0]):
+        for i in np.flatnonzero(rows["outside"].to_numpy(bool)):
             mine = ids[start[i] : start[i] + size[i]]
             seen[mine] = True
             both = np.add.reduceat(seen[ids], start, dtype=np.int64)
@@ -262,15 +266,20 @@ def link(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: s
     roots = components(links)
 
     named = members.join(roots.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = named.groupBy("band", "key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("band", "key")
-    rest = named.join(open_, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.join(reps.select("rep", "n_shingles", "sig"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = rest.select("band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "head", "rep", "comp", "n_shingles", "sig")
-    pair = ["band", "key", "lo", "hi"]
-    open_rows = cut(met.groupBy(*pair).applyInPandas(_undecided(percent / 100 - MARGIN), f"band int, key long, lo int, hi int, block int, rep {kind}, comp {kind}"))
+    # the largest component of a bucket is joined already: its rows need to meet the others only, and stay in one block each
+    parts = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("band", "key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("n")).where("n > 1").select("band", "key", "main")
+    rest = named.join(open_, ["band", "key"]).withColumns({"home": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "outside": F.col("comp") != F.col("main")})
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    met = rest.join(reps.select("rep", "n_shingles", "sig"), "rep").withColumn("block", F.explode(F.when(F.col("outside"), everywhere).otherwise(F.array("home"))))
+    met = met.select("band", "key", "block", (F.col("home") == F.col("block")).alias("own"), "outside", "head", "rep", "comp", "n_shingles", "sig")
+    group = ["band", "key", "block"]
+    # the comparison costs time, not bytes, so its tasks are not merged by size
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_rows = cut(met.repartition(tasks, *group).groupBy(*group).applyInPandas(_undecided(percent / 100 - MARGIN), f"band int, key long, block int, own boolean, outside boolean, rep {kind}, comp {kind}"))
     wanted = texts.toDF("rep", "text").join(small(open_rows.select("rep").distinct(), BROADCAST_ROWS), "rep")
     sets = wanted.mapInArrow(_sets, f"rep {kind}, set binary").where("length(set) > 0")
-    more = cut(open_rows.join(sets, "rep").groupBy(*pair).applyInPandas(_bridges(percent), f"a {kind}, b {kind}").distinct())
+    more = cut(open_rows.join(sets, "rep").groupBy(*group).applyInPandas(_bridges(percent), f"a {kind}, b {kind}").distinct())
     if not more.isEmpty():
         roots = components(links.unionByName(confirmed(more, texts, reps, percent)))
 
