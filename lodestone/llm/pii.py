@@ -38,7 +38,7 @@ SYLLABLES = {
 }
 #: Rounds of drawing after which a format is taken to be used up. Names, addresses, phones and secrets grow by the round, so only fixed formats can come so far.
 MAX_ROUNDS = 64
-#: Rounds in which phones and secrets keep their length.
+#: Rounds in which phones and secrets keep their length, if they have letters or digits that can change.
 SAME_LENGTH = 8
 #: Most colliding entities whose replacements are broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -143,7 +143,7 @@ def surrogate(entity: Column, kind: Column, ident: Column, attempt: Column, key:
         return (
             F.when(kind == "email", F.concat(_refill(F.lower(local), d), longer("x", attempt - 1), F.lit("@"), _refill(F.lower(F.substr(at, F.lit(2), F.length(at) - 1 - F.length(tail))), F.reverse(d)), F.lower(tail)))
             .when(kind == "access_key", F.concat(F.substr(entity, F.lit(1), F.lit(4)), _refill(F.substr(entity, F.lit(5)), d)))
-            .when(kind == "secret", F.concat(lead, F.regexp_extract(code, r"^[^\"']*", 0), longer("x", attempt - SAME_LENGTH), F.regexp_extract(code, r"[\"']?$", 0)))
+            .when(kind == "secret", F.concat(lead, F.regexp_extract(code, r"^[^\"']*", 0), longer("x", F.when(value.rlike("[A-Za-z0-9]"), attempt - SAME_LENGTH).otherwise(attempt)), F.regexp_extract(code, r"[\"']?$", 0)))
             .when(kind == "ip", octets)
             .when(kind == "card", _card(entity, d))
             .when(kind == "phone", F.concat(country, F.substr(_refill(entity, d), F.length(country) + 1), longer("0", attempt - SAME_LENGTH)))
