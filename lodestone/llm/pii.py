@@ -178,7 +178,8 @@ def attempts(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select("kind", F.col("ident").alias("new_ident"))
     for _ in range(MAX_ROUNDS):
         made = open_.withColumn("new", surrogate(F.col("sample"), F.col("kind"), F.col("ident"), F.col("attempt"), key))
-        made = made.withColumn("new_ident", identity(F.col("kind"), F.col("new")))
+        # kept, so that the drawing is planned and done once a round, not once for each use
+        made = cut(made.select("kind", "ident", identity(F.col("kind"), F.col("new")).alias("new_ident")))
         first = made.groupBy("kind", "new_ident").agg(F.min("ident").alias("first"), F.count("*").alias("n"))
         losers = made.join(first.where(F.col("n") > 1), ["kind", "new_ident"]).where(F.col("ident") != F.col("first")).select("kind", "ident")
         taken = made.join(real, ["kind", "new_ident"], "left_semi").select("kind", "ident")
