@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 N_BEST = 3
 #: Bytes of text, and cells of a lattice, that are worked on at once.
-TEXT_BYTES, CELLS = 12 << 20, 2_000_000
+TEXT_BYTES, CELLS = 4 << 20, 500_000
 #: Longer segments are searched one by one.
 LONG = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
