@@ -21,7 +21,7 @@ from .common import cut, small
 MIN_DOCS = 3
 TOP_TERMS = 200
 #: Bytes of text that DuckDB counts at once, rows that a task holds before it sends them, bytes of text and kept rows a shard.
-BLOCK_BYTES, HELD_ROWS, SHARD_BYTES, SHARD_ROWS = 4 << 20, 500_000, 16 << 20, 250_000
+BLOCK_BYTES, HELD_ROWS, SHARD_BYTES, SHARD_ROWS = 2 << 20, 300_000, 8 << 20, 150_000
 #: Sources of a language whose pairs one shard sums; beyond it pairs are dealt out in squares of this side.
 SIDE = 256
 GROUPS = 200_000
@@ -53,7 +53,7 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY f(p, q) DESC, term) <= {
 
 
 def _duck(shard: pa.Table | None = None):
-    held = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+    held = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     held.sql("CREATE MACRO f(p, q) AS ((p - q) * (p - q)) // q")
     if shard is not None:
         held.register("shard", shard)
