@@ -12,7 +12,7 @@ WEIGHTS, EPOCHS = (1, 2, 3), 3
 #: Words of a block.
 BLOCK = 2048
 #: Documents of a source, and slots of a schedule, that one running count goes over.
-RUN = 50_000
+RUN = 8192
 SOURCES = 100_000
 
 
