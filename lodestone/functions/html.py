@@ -1,155 +1,25 @@
-"""Text, links, details and closure notices of pages: one small parser under Arrow batches."""
+"""Visible text and links of pages."""
 
 from __future__ import annotations
 
-import json
-import re
-import unicodedata
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tags that hold no text, and tags that end a block.
-SKIPPED = ("script", "style", "noscript", "nav", "footer", "button", "iframe", "svg")
-BLOCKS = ("p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article", "header", "main", "table")
-
-
-# Marks of elements on listing and detail pages, by class, and labels of detail fields.
-CONTENT = {"vacancy-content", "vacancy-description", "content-text", "job-description"}
-STATUS = {"alert", "vacancy-status", "job-status", "job-expired", "vacancy-not-found"}
-ASIDE, HIDDEN = {"similar-jobs", "related-jobs", "recommended-jobs"}, {"hidden", "uk-hidden"}
-LABEL, SUMMARY, PAY = "text-muted3", "vacancy-summary-item-mobile", "vacancy-salary"
-LABELS = {"oras:": "location", "locatie:": "work_mode", "program de lucru:": "schedule", "salariu:": "salary", "studii:": "education", "experienta:": "experience"}
-SUMMARIES = ("location", "experience", "schedule", "education", "work_mode")
-EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-
-class _Reader(HTMLParser):
-    """Collects in one pass: text outside skipped elements, the text of the content, links, JSON-LD scripts, status notices and labelled fields.
-
-    The content is the first element marked as such, else the first <main> or
-    <article>. Hidden elements and recommendations give no notice.
-    """
-
-    def __init__(self, page: str):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.main, self.links, self.scripts, self.title = [], [], [], [], []
-        self.skip, self.inside, self.link, self.ld, self.head = [], 0, None, False, False
-        #: Open elements as [name, whether it shows no status, what it collects].
-        self.open, self.content, self.marked = [], [], False
-        self.signals, self.fields, self.summary, self.label = [], {}, [], None
-        self.feed(page)
-        self.close()
-        while self.open:
-            self._pop()
-
-    def handle_starttag(self, tag, attrs):
-        attrs = {k: v or "" for k, v in attrs}
-        self.ld = tag == "script" and attrs.get("type") == "application/ld+json"
-        self.head = tag == "title"
-        if tag in SKIPPED:
-            self.skip.append(tag)
-        if tag in ("article", "main"):
-            self.inside += 1
-        if tag == "a":
-            self.link = [attrs.get("href", ""), ""]
-        if tag == "br":
-            self._add("\n")
-        if tag in EMPTY:
-            return
-        marks = {*attrs.get("class", "").split(), attrs.get("id", "")}
-        mute = bool(self.open and self.open[-1][1]) or tag in ("nav", "footer", "aside") or bool(marks & (ASIDE | HIDDEN)) or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
-        kinds = {}
-        if not mute and (tag in ("h1", "h2") or marks & STATUS or attrs.get("role") == "alert"):
-            kinds["signal"] = []
-        if not self.marked and (marks & CONTENT or "data-js-vacancy-content" in attrs or attrs.get("itemprop") == "description"):
-            self.marked, kinds["content"] = True, self.content
-        if self.label and len(self.open) == self.label[1]:
-            kinds["value"] = []
-        for mark, kind in ((LABEL, "label"), (SUMMARY, "summary"), (PAY, "pay")):
-            if mark in marks:
-                kinds[kind] = []
-        self.open.append([tag, mute, kinds])
-
-    def _pop(self):
-        tag, _, kinds = self.open.pop()
-        said = {k: " ".join("".join(v).split()) for k, v in kinds.items()}
-        if "signal" in said:
-            self.signals.append(said["signal"])
-        if "value" in said and self.label:
-            self.fields.setdefault(self.label[0], said["value"])
-            self.label = None
-        if (name := LABELS.get(_plain(said.get("label", "")))) is not None:
-            self.label = (name, len(self.open))
-        if "summary" in said:
-            self.summary.append(said["summary"])
-        if "pay" in said:
-            self.fields.setdefault("salary", said["pay"])
-        return tag
+from .elements import Tree, elements, find, let_nodes, mark, raw_text
+from .text import clean
 
-    def handle_endtag(self, tag):
-        if tag == "a" and self.link:
-            self.links.append((self.link[0], " ".join(self.link[1].split())))
-            self.link = None
-        if self.skip and tag == self.skip[-1]:
-            self.skip.pop()
-        if tag in BLOCKS:
-            self._add("\n")
-        if tag in ("article", "main"):
-            self.inside = max(0, self.inside - 1)
-        if tag in ("script", "title"):
-            self.ld = self.head = False
-        if any(x[0] == tag for x in self.open):
-            while self._pop() != tag:
-                pass
-
-    def handle_data(self, data):
-        if self.ld:
-            self.scripts.append(data)
-        if self.head:
-            self.title.append(data)
-        if self.link:
-            self.link[1] += data
-        if not self.head:
-            self._add(data)
-
-    def _add(self, piece):
-        if not self.skip:
-            self.parts.append(piece)
-            if self.inside:
-                self.main.append(piece)
-            for _, _, kinds in self.open:
-                for held in kinds.values():
-                    held.append(piece)
-
-
-def _plain(text: str) -> str:
-    """Lower case without marks on Latin letters."""
-    out = ""
-    for c in unicodedata.normalize("NFKD", text):
-        if not (unicodedata.combining(c) and out and out[-1].isascii()):
-            out += c
-    return unicodedata.normalize("NFC", out).lower()
-
-
-def _clean(parts: list[str]) -> str:
-    lines = [" ".join(x.split()) for x in "".join(parts).split("\n")]
-    out: list[str] = []
-    for line in lines:
-        if line or (out and out[-1]):
-            out.append(line)
-    return "\n".join(out).strip()
+# Closure notices.
+CLOSED = r"(?:acest (?:anunt|job|loc de munca)|(?:anuntul|vacanta|pozitia)(?: de angajare)?|oferta)(?:\s+\S+){0,4}\s+(?:nu mai este (?:activ|disponibil)|a expirat|este (?:inchis[ăa]?|inactiv[ăa]?|expirat[ăa]?|arhivat[ăa]?))|(?:this (?:job|vacancy|position)|job (?:posting|offer)|vacancy)(?:\s+\S+){0,3}\s+(?:has expired|is (?:closed|no longer available|inactive|archived)|has been (?:closed|removed))|(?:вакансия|объявление)(?:\s+\S+){0,3}\s+(?:закрыта|закрыто|неактивна|неактивно|удалена|удалено|в архиве|больше не (?:актуальна|доступна))|(?:anunt|vacanta|job|vacancy) (?:not found|indisponibil[ăa]?|inexistent[ăa]?)|вакансия не найдена"
 
 
 def _texts(pages: pd.Series) -> pd.Series:
-    return pages.fillna("").map(lambda page: _clean(_Reader(page).parts))
+    return pages.fillna("").map(lambda page: Tree(page).text())
 
 
 def html_to_text(page: Column) -> Column:
     """Visible text of each page, a line a block; null counts as empty."""
-    return F.pandas_udf(_texts, "string")(page)
+    return clean(F.pandas_udf(_texts, "string")(page))
 
 
 def text_of(value: Column) -> Column:
@@ -158,89 +28,11 @@ def text_of(value: Column) -> Column:
     return F.when(markup, html_to_text(F.when(markup, value))).otherwise(F.coalesce(value, F.lit("")))
 
 
-def _links(pages: pd.Series) -> pd.Series:
-    return pages.fillna("").map(lambda page: [{"pos": i, "link": a, "title": t} for i, (a, t) in enumerate(_Reader(page).links)])
-
-
 def listing_links(page: Column) -> Column:
-    """Links of each page in order, with their texts."""
-    return F.pandas_udf(_links, "array<struct<pos:int,link:string,title:string>>")(page)
-
-
-def _posting(node):
-    """The first job posting of a JSON-LD value, through arrays and graphs."""
-    if isinstance(node, list):
-        return next((x for x in map(_posting, node) if x), None)
-    if isinstance(node, dict):
-        return node if "JobPosting" in str(node.get("@type")) else _posting(node.get("@graph"))
-    return None
-
-
-def _read_posting(scripts: list[str]) -> dict:
-    for script in scripts:
-        try:
-            found = _posting(json.loads(script))
-        except ValueError:
-            continue
-        if found:
-            return found
-    return {}
-
-
-def _name(value) -> str | None:
-    value = value[0] if isinstance(value, list) and value else value
-    return str(value.get("name") or "") or None if isinstance(value, dict) else str(value) if value else None
-
-
-DETAILS = ("title", "description", "company", "location", "work_mode", "schedule", "salary", "education", "experience", "date_posted", "valid_through", "notice", "error")
-# Closure notices.
-CLOSED = re.compile(r"(?:acest (?:anunt|job|loc de munca)|(?:anuntul|vacanta|pozitia)(?: de angajare)?|oferta)(?:\s+\S+){0,4}\s+(?:nu mai este (?:activ|disponibil)|a expirat|este (?:inchis[ăa]?|inactiv[ăa]?|expirat[ăa]?|arhivat[ăa]?))|(?:this (?:job|vacancy|position)|job (?:posting|offer)|vacancy)(?:\s+\S+){0,3}\s+(?:has expired|is (?:closed|no longer available|inactive|archived)|has been (?:closed|removed))|(?:вакансия|объявление)(?:\s+\S+){0,3}\s+(?:закрыта|закрыто|неактивна|неактивно|удалена|удалено|в архиве|больше не (?:актуальна|доступна))|(?:anunt|vacanta|job|vacancy) (?:not found|indisponibil[ăa]?|inexistent[ăa]?)|вакансия не найдена")
-
-
-def details(page: Column) -> Column:
-    """Fields of a detail page, parsed once: its content if that has 100 characters, else its job posting. Under 100 or over 25,000 characters: an error.
-
-    Fields beside labels or in the fixed order of a summary come before those of
-    the posting. ``notice`` is the first status text that says the offer is
-    closed; on a page without content and posting, the start of its main text
-    counts as one.
-    """
-    return F.pandas_udf(_details, f"struct<{','.join(f'{k}:string' for k in DETAILS)}>")(page)
-
-
-def _notice(found: _Reader, posting: dict) -> str | None:
-    signals = list(found.signals)
-    if not found.marked and not posting.get("description"):
-        signals.append(" ".join("".join(found.main or found.parts).split())[:3000])
-    return next((x[:300] for x in signals if CLOSED.search(_plain(x))), None)
-
-
-def _details(pages: pd.Series) -> pd.DataFrame:
-    def read(page: str) -> dict:
-        found = _Reader(page)
-        posting = _read_posting(found.scripts)
-        body = _clean(found.content)
-        if len(body) < 100:
-            body = _clean(found.main)
-        if len(body) < 100:
-            body = _clean(_Reader(str(posting.get("description") or "")).parts) or body
-        place = posting.get("jobLocation") or {}
-        places = [x.get("address") for x in (place if isinstance(place, list) else [place]) if isinstance(x, dict)]
-        places = [str(x["addressLocality"]) for x in places if isinstance(x, dict) and x.get("addressLocality")]
-        fields = dict(zip(SUMMARIES, found.summary, strict=False)) | found.fields
-        error = "description too short" if len(body) < 100 else "description too long" if len(body) > 25_000 else None
-        return {
-            "title": posting.get("title") or _clean(found.title) or None, "description": body, "company": _name(posting.get("hiringOrganization")),
-            "location": fields.get("location") or ", ".join(places) or None, "work_mode": "Remote" if posting.get("jobLocationType") == "TELECOMMUTE" else fields.get("work_mode"),
-            "schedule": fields.get("schedule"), "salary": fields.get("salary"), "education": fields.get("education"), "experience": fields.get("experience"),
-            "date_posted": posting.get("datePosted"), "valid_through": posting.get("validThrough") if posting.get("title") else None, "notice": _notice(found, posting), "error": error,
-        }
-
-    return pd.DataFrame([read(p) for p in pages.fillna("")], columns=list(DETAILS), dtype=object)
+    """Links of each page in order, with their texts on one line."""
 
+    def one(nodes: Column) -> Column:
+        line = lambda n: F.trim(F.regexp_replace(raw_text(nodes, n), r"\s+", " "))
+        return F.transform(find(nodes, mark("a")), lambda n, i: F.struct(i.alias("pos"), F.coalesce(n["attrs"]["href"], F.lit("")).alias("link"), line(n).alias("title")))
 
-def closed(found: Column, as_of: Column) -> Column:
-    """struct<closed, reason> of details(): a status notice, or a titled posting past its date."""
-    past = found["valid_through"].try_cast("timestamp") < as_of
-    reason = F.when(found["notice"].isNotNull(), found["notice"]).when(F.coalesce(past, F.lit(False)), "posting expired")
-    return F.struct(reason.isNotNull().alias("closed"), reason.alias("reason"))
+    return let_nodes(elements(page), one)

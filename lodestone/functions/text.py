@@ -65,9 +65,9 @@ def company(name: Column) -> Column:
 
 
 def valid_company(name: Column) -> Column:
-    """The name with single spaces, or null where it is no name: empty, over 150 characters, a placeholder or digits only."""
+    """The name with single spaces, or null where it is no name: empty, over 150 characters, a placeholder, a rank among employers, or digits only."""
     out = F.trim(F.regexp_replace(name, r"\s+", " "))
-    return F.when(F.length(out).between(1, 150) & ~F.lower(out).rlike(r"^(?:n/?a|facebook|instagram|linkedin|telegram|top employer)$") & ~out.rlike(r"^[\d\s+().-]+$"), out)
+    return F.when(F.length(out).between(1, 150) & ~out.rlike(r"(?i)^(?:n/a|linkedin|facebook|instagram|top angajator.*|[+\d\s]+)$"), out)
 
 
 def title(name: Column, employer: Column, places: str = "chisinau|moldova|remote") -> Column:

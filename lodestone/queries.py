@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import facts, html, segments, text
+from .functions import facts, html, segments, text, urls
 from .operators import clusters, engine, lexicon, search, state, status
 from .plans import analysis
+from .sources import sites
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -509,7 +510,8 @@ def html_to_text(spark, sf_dir):
 @register(f"""WITH p AS (SELECT page_id, {_visible("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, CAST(length({_visible("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}) AS BIGINT) AS n_chars FROM pages)
 SELECT page_id, nullif(title, '') AS title, n_chars, CASE WHEN n_chars < 100 THEN 'description too short' WHEN n_chars > 25000 THEN 'description too long' END AS error FROM p""")
 def html_main_text(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", html.details("html").alias("d")).select("page_id", "d.title", F.length("d.description").cast("long").alias("n_chars"), "d.error")
+    found = sites.details(load(spark, sf_dir, "pages").select("page_id", F.lit("page").alias("source"), "html"), {"page": sites.GENERIC})
+    return found.select("page_id", F.when(F.col("title") != "", F.col("title")).alias("title"), F.length("description").cast("long").alias("n_chars"), "error")
 
 
 @register(r"WITH n AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages) SELECT page_id, unnest(regexp_extract_all(nav, '<a href=\"([^\"]*)\">', 1)) AS link FROM n")
@@ -527,8 +529,68 @@ def closed_detect(spark, sf_dir):
     around = [n.format("\u0001").split("\u0001") for n in NOTICES]
     part = lambda i: F.get(F.array(*[F.lit(a[i]) for a in around]), (F.col("page_id") % len(NOTICES)).cast("int"))
     page = F.concat(part(0), F.coalesce("html", F.lit("")), part(1))
-    found = load(spark, sf_dir, "pages").select("page_id", html.details(page).alias("d"))
-    return found.select("page_id", html.closed(F.col("d"), F.expr(AS_OF)).alias("c")).select("page_id", "c.closed", "c.reason")
+    found = sites.details(load(spark, sf_dir, "pages").select("page_id", F.lit("page").alias("source"), page.alias("html")), {"page": sites.GENERIC})
+    return found.select("page_id", sites.closed(F.expr(AS_OF)).alias("c")).select("page_id", "c.closed", "c.reason")
+
+
+# Links of pages as references of five kinds, read on the page they stand on.
+def _codes(path: str) -> str:
+    return f"replace(replace(url_encode({path}), '%2C', ','), '%2F', '/')"
+
+
+@register(rf"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+', 0) AS scheme, regexp_extract(url, '//([^/?#]*)', 1) AS host, regexp_extract(url, '//[^/]*([^?#]*)', 1) AS path, regexp_extract(url, '\?[^#]*', 0) AS query, x.i AS pos, substr(x.h, 2) AS word
+  FROM (SELECT page_id, url, unnest(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda h, i: {{'h': h, 'i': i - 1}})) AS x FROM pages)),
+w AS (SELECT *, regexp_replace(path, '[^/]*$', '') AS folder, {_codes('word')} AS coded FROM l)
+SELECT page_id, pos, CASE pos % 5 WHEN 0 THEN scheme || '://' || host || '/' || coded WHEN 1 THEN scheme || '://' || host || folder || coded WHEN 2 THEN scheme || '://' || host || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || coded WHEN 3 THEN scheme || '://files.example.org/' || coded ELSE scheme || '://' || host || path || '?w=1#' || word END AS link FROM w""")
+def url_resolve(spark, sf_dir):
+    hrefs = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"')), lambda h: F.substring(h, 2, 1 << 20))
+    found = load(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(hrefs).alias("pos", "word"))
+    kinds = [F.concat(F.lit("/"), F.col("word")), F.col("word"), F.concat(F.lit(".././"), F.col("word")), F.concat(F.lit(" //Files.example.org/a/../"), F.col("word")), F.concat(F.lit("?w=1#"), F.col("word"))]
+    link = F.get(F.array(*kinds), F.col("pos") % 5)
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), urls.shown(urls.resolve(link, F.col("url"))).alias("link"))
+
+
+# The menus of pages as lists of adverts of three sites: a card an entry, with an icon, a badge and a company; links are relative, of another host, or not of an advert.
+SITE_LINKS = {"Rabota.md": ("/ro/joburi/$1/1/22?from=menu", "https://www.rabota.md/ro/locuri-de-munca/{}/22"), "Lucru.md": ("//lucru.md/ru/munca/$1/77/", "https://www.lucru.md/ru/munca/{}/77"), "Delucru.md": ("/ro/job/{}#$1", "https://www.delucru.md/ro/job/{}")}
+ENTRY = r'<li><a href="/([^"]*)">([^<]*)</a></li>'
+
+
+@register(rf"""WITH l AS (SELECT page_id, page_id % 3 AS k, unnest(regexp_extract_all(html, '{ENTRY}', 1)) AS slug, unnest(regexp_extract_all(html, '{ENTRY}', 2)) AS word FROM pages),
+w AS (SELECT DISTINCT page_id, k, slug, regexp_replace(replace(word, '&amp;', '&'), '\s+', ' ', 'g') AS word, CASE k WHEN 0 THEN 'https://www.rabota.md/ro/locuri-de-munca/' || {_codes('slug')} || '/22' WHEN 1 THEN 'https://www.lucru.md/ru/munca/' || {_codes('slug')} || '/77' ELSE 'https://www.delucru.md/ro/job/' || page_id END AS link FROM l)
+SELECT page_id, CASE k WHEN 0 THEN 'Rabota.md' WHEN 1 THEN 'Lucru.md' ELSE 'Delucru.md' END AS source, link, CASE WHEN k = 2 THEN 'Operator' ELSE word END AS title, CASE k WHEN 0 THEN word || ' SRL' WHEN 1 THEN 'N/A' ELSE 'Gama' END AS company FROM w GROUP BY ALL""")
+def listing_adverts(spark, sf_dir):
+    names = list(SITE_LINKS)
+    k = (F.col("page_id") % 3).cast("int")
+    cards = [
+        f"""<div class="vacancyCardItem"><a class="vacancyShowPopup x" href="{SITE_LINKS[names[0]][0]}"><svg><b>i</b></svg> <span>$2</span><i class="badge">NEW</i></a><p><a href="/ro/companies/3">$2 SRL</a></p></div>""",
+        f"""<div data-vacancy-id="7"><h2><a class="vacancyShowPopup" href="{SITE_LINKS[names[1]][0]}">$2<i class="salary">500 EUR</i></a></h2><span class="company-name">Facebook</span></div><a class="vacancyShowPopup" href="/ru/munca">$2</a>""",
+        """<div class="job-item"><div class="job-title"><a class="link-job" href="/ro/job/{}#$1">Operator</a></div><i class="company-name"> Gama </i></div><a class="link-job" href="https://evil.test/ro/job/1">$2</a>""",
+    ]
+    card = F.replace(F.get(F.array(*map(F.lit, cards)), k), F.lit("{}"), F.col("page_id").cast("string"))
+    page = F.concat(F.lit("<html><body>"), F.array_join(F.transform(F.regexp_extract_all("html", F.lit(ENTRY), F.lit(0)), lambda e: F.regexp_replace(e, F.lit(ENTRY), card)), "\n"))
+    pages = load(spark, sf_dir, "pages").select("page_id", F.get(F.array(*map(F.lit, names)), k).alias("source"), page.alias("html"))
+    return sites.listing(pages, keep=("page_id",)).select("page_id", "source", "link", "title", "company")
+
+
+# The articles of pages in the places that sites keep their adverts in: first of a chain, after a short one, in a posting alone, and by id.
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+
+
+@register(rf"""WITH p AS (SELECT page_id, page_id % 4 AS k, {_visible(_ARTICLE)} AS body FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'Head ' || page_id WHEN 1 THEN 'First' WHEN 2 THEN 'Posted' ELSE 'Op' END AS title, CASE k WHEN 0 THEN 'Alfa' WHEN 2 THEN 'Beta' ELSE 'N/A' END AS company, CASE k WHEN 0 THEN 'Orhei' WHEN 2 THEN 'Balti, Cahul' WHEN 3 THEN 'Ungheni' ELSE '' END AS location,
+CASE WHEN k = 2 THEN 'Remote' WHEN k = 3 THEN 'Oficiu' ELSE '' END AS work_mode, CASE k WHEN 0 THEN '900 EUR' WHEN 3 THEN '700' ELSE '' END AS salary, md5(CASE WHEN k <> 2 OR length(body) > 0 THEN body ELSE '' END) AS body_md5, CASE WHEN length(body) < 100 THEN 'description too short' WHEN length(body) > 25000 THEN 'description too long' END AS error FROM p""")
+def detail_pages(spark, sf_dir):
+    article = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
+    graph = F.to_json(F.struct(F.array(F.struct(F.array(F.lit("Thing"), F.lit("JobPosting")).alias("@type"), F.lit("Posted").alias("title"), article.alias("description"), F.lit("TELECOMMUTE").alias("jobLocationType"), F.struct(F.lit("Beta").alias("name")).alias("hiringOrganization"), F.array(*[F.struct(F.struct(F.lit(x).alias("addressLocality")).alias("address")) for x in ("Balti", "Cahul")]).alias("jobLocation"))).alias("@graph")))
+    shapes = [
+        F.concat(F.lit("<p class='vacancy-title'>Head "), F.col("page_id").cast("string"), F.lit("</p><b class='vacancy-summary-item-mobile'>Orhei</b><i class='vacancy-salary'>900  EUR</i><div class='vacancy-info'><a href='/ro/companies/1'>Alfa</a></div><div class='vacancy-content'>"), article, F.lit("</div><aside>More adverts</aside>")),
+        F.concat(F.lit("<h1>First</h1><div class='vacancy-content'>Short</div><div data-js-vacancy-content>"), article, F.lit("</div>")),
+        F.concat(F.lit("<script type='application/ld+json'>{broken</script><script type='application/ld+json'>"), graph, F.lit("</script><main>Menu</main>")),
+        F.concat(F.lit("<h1 class='job-item-title'>Op</h1><div id='job-description'>Top<div class='content-text'>"), article, F.lit("</div></div><div><b class='text-muted3'>Oraș:</b> <b>Ungheni</b></div><div><b class='text-muted3'>Locație:</b><b></b><b>Oficiu</b></div><div><b class='text-muted3'>Salariu:</b><b>700</b></div>")),
+    ]
+    k = (F.col("page_id") % 4).cast("int")
+    pages = load(spark, sf_dir, "pages").select("page_id", F.when(k == 3, "Delucru.md").when(k == 2, "Lucru.md").otherwise("Rabota.md").alias("source"), F.get(F.array(*shapes), k).alias("html"))
+    return sites.details(pages).select("page_id", "title", "company", "location", "work_mode", "salary", F.md5("description").alias("body_md5"), "error")
 
 
 @register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(props->>'k' AS INT) END AS k FROM events")

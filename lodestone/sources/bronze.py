@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import listing_links
-from ..functions.text import safe_link
-
 # Defaults of the stored listing table.
 DEFAULTS = {
     "company": ("string", "N/A"), "category": ("string", "General IT"), "status": ("string", "active"), "description_quality": ("string", "unverified"), "availability": ("string", "unknown"),
@@ -21,13 +18,6 @@ def feed_pages(feeds: DataFrame, pages: int, style: Column) -> DataFrame:
     return feeds.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max(1, min(10, pages)))))).withColumn("link", style)
 
 
-def listing(pages: DataFrame, hosts: list[str] | None = None, path: str = "/.*") -> DataFrame:
-    """(source, link, title) from stored listing pages: allowed links, titles of 1 to 240 characters, the last title a link."""
-    found = pages.select("source", F.explode(listing_links("html")).alias("x")).select("source", "x.pos", "x.title", safe_link(F.col("x.link"), hosts, path).alias("link"))
-    good = found.where(F.col("link").isNotNull() & F.length("title").between(1, 240))
-    return good.groupBy("source", "link").agg(F.max_by("title", "pos").alias("title"))
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

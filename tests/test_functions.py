@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import facts, html, segments, text
 from lodestone.operators import clusters, engine, lexicon, search, state, status
 from lodestone.plans import analysis
-from lodestone.sources import versions
+from lodestone.sources import sites, versions
 from lodestone.streaming import ingest
 
 
@@ -79,16 +79,21 @@ def test_rule_engine_decides(spark):
     assert case(spark, text=None, title=None)["status"] == "excluded"
 
 
+def details(spark, page, as_of="2021-01-01"):
+    found = sites.details(spark.createDataFrame([("page", page)], "source string, html string"), {"page": sites.GENERIC})
+    return found.select("*", sites.closed(F.expr(f"TIMESTAMP '{as_of}'")).alias("shut")).first()
+
+
 PAGE = '<html><title>T</title><nav><a href="/n">n</a></nav><script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"QA","hiringOrganization":{"name":"Alfa"},"validThrough":"2020-01-01"}]}</script><main><p>%s</p></main></html>'
 
 
 def test_pages(spark):
     page = PAGE % ("word " * 30)
-    got = one(spark, html.details(F.col("p")), p=page)
+    got = details(spark, page)
     assert (got["title"], got["company"], got["error"]) == ("QA", "Alfa", None)
     assert one(spark, html.html_to_text(F.col("p")), p=page).startswith("word word")
-    assert one(spark, html.details(F.col("p")), p="<p>x")["error"] == "description too short"
-    shut = one(spark, html.closed(html.details(F.col("p")), F.expr("TIMESTAMP '2021-01-01'")), p=page)
+    assert details(spark, "<p>x")["error"] == "description too short"
+    shut = got["shut"]
     assert shut["closed"] and shut["reason"] == "posting expired"
     assert one(spark, html.html_to_text(F.col("p")), p=None) == ""
 
@@ -96,12 +101,12 @@ def test_pages(spark):
 def test_fields_and_notices_of_pages(spark):
     advert = "<div class='vacancy-content'>" + "duties of the role " * 10 + "</div>"
     labelled = "<div><span class='text-muted3'>Oraș:</span><b>Bălți</b></div><div><span class='text-muted3'>Salariu:</span> <b>900 EUR</b></div>" + advert
-    got = one(spark, html.details(F.col("p")), p=labelled)
+    got = details(spark, labelled)
     assert (got["location"], got["salary"], got["error"], got["notice"]) == ("Bălți", "900 EUR", None, None)
     listed = "".join(f"<li class='vacancy-summary-item-mobile'>{x}</li>" for x in ("Chișinău", "no", "day", "any", "office")) + "<p class='vacancy-salary'>5 lei</p>" + advert
-    got = one(spark, html.details(F.col("p")), p=listed)
+    got = details(spark, listed)
     assert [got[k] for k in ("location", "experience", "schedule", "education", "work_mode", "salary")] == ["Chișinău", "no", "day", "any", "office", "5 lei"]
-    notice = lambda p: one(spark, html.details(F.col("p")), p=p)["notice"]
+    notice = lambda p: details(spark, p)["notice"]
     assert notice("<div role='alert'>Acest anunț a expirat</div>" + advert) == "Acest anunț a expirat"
     assert notice("<main>Vacancy not found</main>") == "Vacancy not found"
     assert notice("<p>This job is closed</p>" + advert) is None and notice("<aside><h2>This job is closed</h2></aside>" + advert) is None
