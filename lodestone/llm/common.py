@@ -43,6 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+def arrow_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Holds batches of texts on their way to Python workers to ``size`` bytes, unless the session asks for less: else a batch of long texts takes 64 MB on both sides, and its copies more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= size:
+        spark.conf.set(key, str(size))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep its rows in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import arrow_batches, cut, small
 
 #: A term is kept in a language if at least so many of its documents hold it.
 MIN_DOCS = 3
@@ -125,6 +125,7 @@ def audit(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     shards = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    arrow_batches(docs.sparkSession)
     counted = docs.mapInArrow(_counted, "lang string, source string, term string, n long, d long")
     by_term = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).alias("shard")
     kept = cut(counted.select("*", by_term).groupBy("shard").applyInArrow(_kept, "lang string, source string, term string, n long, total long, first boolean"))

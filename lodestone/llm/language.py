@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import bucket, byte_blocks, grams
+from .common import arrow_batches
 
 SPECTRUM = (1, 2, 3, 4)
 BITS = 15
@@ -70,6 +71,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train:
     drawn = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language"))
     picked = rows.where(F.pmod(drawn, F.lit(1 << 20)) / F.lit(1 << 20) < F.element_at(share, F.col(lang_col)))
     picked = picked.select(drawn.alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropDuplicates(["h"]).select("text", "lang")
+    arrow_batches(docs.sparkSession)
     model = picked.mapInArrow(_packed, "lang string, bits binary").groupBy().applyInPandas(_fit, "lang string, weights binary").collect()
     model.sort(key=lambda r: r[0])
     return [r[0] for r in model], np.stack([np.frombuffer(r[1], np.float32) for r in model], axis=1) if model else np.zeros((1 << BITS, 0), np.float32)
@@ -82,6 +84,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     learned. Rows may repeat; an empty table gives an empty one.
     """
     langs, weights = model
+    arrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats a language, whatever the input's size
 
     def score(batches):

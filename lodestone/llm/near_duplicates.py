@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import byte_blocks
-from .common import cut, small
+from .common import arrow_batches, cut, small
 
 WORDS = 5
 REGISTERS, ROWS = 128, 4
@@ -116,6 +116,7 @@ def _sign(batches):
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (128-bit fingerprint of the set), sig (bands of four 16-bit registers)."""
     kind = dict(docs.dtypes)[id_col]
+    arrow_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(_sign, f"doc_id {kind}, n_shingles long, f1 long, f2 long, sig array<long>")
 
 

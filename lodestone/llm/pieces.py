@@ -12,11 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_batches
+
 #: The mark that stands for a space in piece vocabularies.
 MARK = "▁"
 N_BEST = 3
 #: Bytes of text, and cells of a lattice, that are worked on at once.
-TEXT_BYTES, CELLS = 4 << 20, 500_000
+TEXT_BYTES, CELLS = 3 << 20, 500_000
 #: Longer segments are searched one by one.
 LONG = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -302,21 +304,19 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         pieces = lattice(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b] or "") <= TEXT_BYTES):
-                    size += len(texts[b] or "")
-                    b += 1
-                held = [t for t in texts[a:b] if t is not None]
-                done = dict(zip((i for i in range(a, b) if texts[i] is not None), pieces.encode(held, n), strict=True))
-                rows = [done.get(i) for i in range(a, b)]
-                columns = ([r and r[0] for r in rows], [r and r[1] for r in rows], [r and pieces.decode(r[0][0].tolist()) == t for r, t in zip(rows, texts[a:b], strict=True)])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+            ends, a = np.cumsum(sizes), 0
+            while a < len(sizes):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TEXT_BYTES, "right")))
+                texts = batch.column(1).slice(a, b - a).to_pylist()
+                done = iter(pieces.encode([t for t in texts if t is not None], n))
+                rows = [None if t is None else next(done) for t in texts]
+                columns = ([r and r[0] for r in rows], [r and r[1] for r in rows], [r and pieces.decode(r[0][0].tolist()) == t for r, t in zip(rows, texts, strict=True)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "segmentations", "scores", "round_trip"])
                 a = b
 
     kind = dict(docs.dtypes)[id_col]
+    arrow_batches(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, segmentations array<array<int>>, scores array<double>, round_trip boolean")
 
 

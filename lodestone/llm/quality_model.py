@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules, weak, wording
 from .blocks import bucket, byte_blocks, grams
-from .common import free
+from .common import arrow_batches, free
 
 #: Buckets of byte grams, and of words beside them.
 BITS, WORD_BITS = 12, 11
@@ -80,6 +80,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_t
     Form and wording have a label model each, as good form says nothing of the
     wording and would outvote it; a document is good if it is so in both.
     """
+    arrow_batches(docs.sparkSession)
     labellers = quality_rules.rules()
     names = list(labellers)
     voted = lambda d: quality_rules.features(d, id_col, text_col).select("doc_id", *[v.alias(k) for k, v in labellers.items()])
@@ -106,6 +107,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col:
     table gives an empty one.
     """
     out_col = free(out_col, docs.columns)
+    arrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE + 1 numbers
 
     def rate(batches):

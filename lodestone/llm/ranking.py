@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import alnum_words, cut
+from .common import alnum_words, arrow_batches, cut
 
 TOP = 50
 #: Distinct terms of items that one pass over the documents looks for; more items go in further passes.
@@ -139,6 +139,7 @@ def _block(texts: DataFrame, item_schema: StructType, items: dict, k: int) -> Da
     spark, kind = texts.sparkSession, dict(texts.dtypes)["doc_id"]
     terms = sorted({t for held in items.values() for t in held})
     number = {t: n for n, t in enumerate(terms)}
+    arrow_batches(spark)
     known = spark.sparkContext.broadcast({t.encode(): n for t, n in number.items()})
     vectors = cut(texts.mapInArrow(lambda batches: _vectors(known, batches), f"doc_id {kind}, size long, terms array<int>, counts array<long>"))
     count, total = vectors.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
