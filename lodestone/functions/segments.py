@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import MARKED, PLAIN, let, normalize
+from .folding import MARKED
+from .text import let, normalize
 
 #: Stands between pieces; it occurs in no text that passed clean().
 MARK = "\u0001"
@@ -40,7 +41,7 @@ def records(text: Column, section: str) -> Column:
 def accented(pattern: str) -> str:
     """``pattern`` with each plain Latin letter standing for its marked forms too, so that it can run on unchanged text."""
     marks: dict[str, str] = {}
-    for marked, base in zip(MARKED, PLAIN, strict=True):
+    for marked, base in MARKED.items():
         marks[base] = marks.get(base, "") + marked
     out, inside, escaped = [], False, False
     for c in pattern:

@@ -2,41 +2,15 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _latin() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, from the Unicode decompositions."""
-    found = {}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFKD", chr(code))
-        if base[0].isascii() and base[0].isalpha() and all(unicodedata.combining(c) for c in base[1:]) and len(base) > 1:
-            found[chr(code)] = base[0]
-    return "".join(found), "".join(found.values())
-
-
-MARKED, PLAIN = _latin()
-# Curly quotes, long dashes and the no-break space, with what stands for them.
-QUOTED, UNQUOTED = "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "
-#: Lower-case letters with marks and the signs above: what one pass over lower-cased text replaces.
-_SMALL = "".join(m for m in MARKED if m == m.lower())
-_FOLDED, _FOLDS = _SMALL + QUOTED, "".join(dict(zip(MARKED, PLAIN, strict=True))[m] for m in _SMALL) + UNQUOTED
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, also where the body uses it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from .folding import folded, let
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, Latin letters without marks (other scripts keep theirs), plain quotes, dashes and spaces. Null: empty."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    folded = F.translate(low, _FOLDED, _FOLDS)
-    # most texts are plain: only others pay for the folding
-    return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(folded.rlike(r"\p{M}"), F.regexp_replace(folded, r"(\p{IsLatin})\p{M}+", "$1")).otherwise(folded)
+    """Lower case, plain letters for compatibility forms and Latin letters with marks (other scripts keep theirs), plain quotes, dashes and spaces. Null: empty."""
+    return folded(F.coalesce(text, F.lit("")))
 
 
 def clean(text: Column) -> Column:
@@ -55,13 +29,19 @@ def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(normalize(text), r"[^\p{L}\p{N}]+", " "))
 
 
-# Legal forms around company names.
-LEGAL_FORMS = "srl|s r l|sa|s a|ltd|llc|gmbh|inc|ooo|ao|icm|sc"
+# Legal forms before and after company names.
+FORMS_BEFORE, FORMS_AFTER = ("ics ", "ocn ", "o c n "), (" srl", "s r l", " sa", " s a")
+
+
+def company(name: Column, before: tuple[str, ...] = FORMS_BEFORE, after: tuple[str, ...] = FORMS_AFTER) -> Column:
+    """Company words without a legal form at either end."""
+    return F.trim(F.regexp_replace(words(name), rf"^(?:{'|'.join(before)})|(?:{'|'.join(after)})$", ""))
 
 
-def company(name: Column) -> Column:
-    """Company words without legal forms at either end."""
-    return F.trim(F.regexp_replace(words(name), rf"^(?:{LEGAL_FORMS}) | (?:{LEGAL_FORMS})$", ""))
+def rewritten(text: Column, pattern: str, body) -> Column:
+    """``text`` with each match of a pattern replaced by ``body(match)``."""
+    cut = F.split(F.regexp_replace(text, f"({pattern})", "\x01$1\x01"), "\x01")
+    return F.array_join(F.transform(cut, lambda piece, i: F.when(i % 2 == 1, body(piece)).otherwise(piece)), "")
 
 
 def valid_company(name: Column) -> Column:
@@ -70,15 +50,33 @@ def valid_company(name: Column) -> Column:
     return F.when(F.length(out).between(1, 150) & ~out.rlike(r"(?i)^(?:n/a|linkedin|facebook|instagram|top angajator.*|[+\d\s]+)$"), out)
 
 
-def title(name: Column, employer: Column, places: str = "chisinau|moldova|remote") -> Column:
-    """Title words without bracketed remarks, employer and place at the end, and with one spelling of synonyms."""
-    out = words(F.regexp_replace(F.coalesce(name, F.lit("")), r"\([^)]*\)", " "))
-    for pattern, value in ((r"\bsys ?admin(?:istrator)?\b", "system administrator"), (r"\b(?:internship|trainee)\b", "intern")):
-        out = F.regexp_replace(out, pattern, value)
-    who = company(employer)
-    tail = F.concat(F.lit(" "), who)
-    out = F.when((F.length(who) > 0) & F.endswith(out, tail), F.substring(out, F.lit(1), F.length(out) - F.length(tail))).otherwise(out)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, rf"(?: (?:{places}))+$", ""), r"^(.+) \1$", "$1"))
+# Places in titles, remarks on pay, and forms of one occupation.
+PLACES, PAY_REMARK = "moldova|chisinau", r"\d.{0,15}(?:usd|mdl|eur)"
+SYNONYMS = ((r"системный администратор|сис\.?\s*админ|administrator de sistem", "system administrator"),)
+SAME_TITLES = ((r"^(system administrator)(?: system administrator)+$", "$1"), (r"^(?:internship it|it internship)$", "it internship"))
+
+
+def title(name: Column, employer: Column, places: str = PLACES) -> Column:
+    """Title words in one spelling, without employer and place at the end.
+
+    Brackets go if they hold just the employer, a place, or pay; others stay, as
+    they tell adverts apart.
+    """
+
+    def known(who: Column) -> Column:
+        def remark(block: Column) -> Column:
+            return let(words(block), lambda said: F.when((said == who) | said.rlike(rf"^(?:{places})$") | said.rlike(PAY_REMARK), F.lit(" ")).otherwise(block))
+
+        out = rewritten(normalize(name), r"\([^)]*\)", remark)
+        for pattern, value in SYNONYMS:
+            out = F.regexp_replace(out, pattern, value)
+        out = let(words(out), lambda t: F.when((F.length(who) > 0) & F.endswith(t, F.concat(F.lit(" "), who)), F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(who)))).otherwise(t))
+        out = F.trim(F.regexp_replace(out, rf"(?:^|\s)(?:{places})$", ""))
+        for pattern, value in SAME_TITLES:
+            out = F.regexp_replace(out, pattern, value)
+        return out
+
+    return let(company(employer), known)
 
 
 def shingles(text: Column, n: int = 5) -> Column:

@@ -362,7 +362,7 @@ def title_canonical(spark, sf_dir):
 
 @register("SELECT c_custkey, 'customer ' || right(c_name, 9) AS company FROM customer")
 def company_canonical(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select("c_custkey", text.company(F.concat(F.lit("SRL "), F.col("c_name"), F.lit(", Ltd"))).alias("company"))
+    return load(spark, sf_dir, "customer").select("c_custkey", text.company(F.concat(F.lit("SRL "), F.col("c_name"), F.lit(", Ltd")), ("srl ",), (" ltd",)).alias("company"))
 
 
 @register(f"WITH w AS (SELECT doc_id, string_split({WORDS_SQL}, ' ') AS w FROM documents) SELECT doc_id, CAST(CASE WHEN len(w) < 5 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' ')))) END AS BIGINT) AS n FROM w")
@@ -384,6 +384,41 @@ def text_repair_quality(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.repaired(F.col("text"), quality, " the ", ".", "###", 3000)["quality"].alias("quality"))
 
 
+# First lines with what a board adds to a title: the employer, a skill, pay, a synonym, the employer again, or the place.
+_LINE = "translate(split_part(coalesce(text, ''), chr(10), 1), '()', '  ')"
+
+
+@register(rf"""WITH d AS (SELECT doc_id, doc_id % 6 AS k, source, trim(regexp_replace(lower(strip_accents({_LINE})), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS w FROM documents)
+SELECT doc_id, trim(CASE k WHEN 1 THEN w || ' python' WHEN 3 THEN 'system administrator ' || w WHEN 4 THEN CASE WHEN w = '' THEN source ELSE w END ELSE w END) AS title FROM d""")
+def title_forms(spark, sf_dir):
+    line = F.translate(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), "()", "  ")
+    forms = [F.concat(line, F.lit(" ("), F.initcap("source"), F.lit(")")), F.concat(line, F.lit(" (Python)")), F.concat(line, F.lit(" (500 - 700 EUR)")), F.concat(F.lit("Сис. Админ "), line), F.concat(line, F.lit(" "), F.upper("source")), F.concat(line, F.lit(", Chișinău"))]
+    shown, employer = F.get(F.array(*forms), (F.col("doc_id") % 6).cast("int")), F.concat(F.lit("ICS "), "source")
+    return load(spark, sf_dir, "documents").select("doc_id", text.title(shown, employer).alias("title"))
+
+
+@register("SELECT c_custkey, CASE c_custkey % 5 WHEN 3 THEN w || ' ltd' WHEN 4 THEN 'sc ' || w ELSE w END AS company FROM (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS w FROM customer)")
+def company_forms(spark, sf_dir):
+    forms = [("ICS ", " S.R.L."), ("O.C.N. «", "»"), ("", " SA"), ("", ", Ltd"), ("SC ", " srl")]
+    name = F.get(F.array(*[F.concat(F.lit(a), "c_name", F.lit(b)) for a, b in forms]), (F.col("c_custkey") % 5).cast("int"))
+    return load(spark, sf_dir, "customer").select("c_custkey", text.company(name).alias("company"))
+
+
+# Whole pages as they were stored: a menu, the mark twice, the text, and what ends it; every fifth is verified, and some are of no known site.
+@register(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 5 = 0 THEN 'verified' ELSE 'unverified' END AS q, doc_id % 4 AS k FROM documents),
+s AS (SELECT *, CASE k WHEN 0 THEN 'Menu Descrierea poziției vacante links Descrierea poziției vacante' || t || ' Trimite CV acum Despre companie 10 ani' WHEN 1 THEN t || ' Top angajator' WHEN 2 THEN t ELSE 'Descrierea poziției vacante ' || t END AS body FROM d),
+c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN k = 0 THEN t ELSE body END, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain FROM s),
+r AS (SELECT *, CASE WHEN body = '' THEN 'missing' WHEN q = 'verified' THEN 'verified' WHEN length(body) > 25000 OR k = 1 THEN 'contaminated' ELSE 'recovered' END AS quality FROM c)
+SELECT doc_id, quality, md5(CASE quality WHEN 'verified' THEN body WHEN 'recovered' THEN plain ELSE '' END) AS body_md5 FROM r""")
+def stored_text_repair(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    bodies = [F.concat(F.lit("Menu Descrierea poziției vacante links Descrierea poziției vacante"), t, F.lit(" Trimite CV acum Despre companie 10 ani")), F.concat(t, F.lit(" Top angajator")), t, F.concat(F.lit("Descrierea poziției vacante "), t)]
+    k = (F.col("doc_id") % 4).cast("int")
+    d = load(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*bodies), k).alias("body"), F.when(F.col("doc_id") % 5 == 0, "verified").otherwise("unverified").alias("q"), F.when(k < 2, "Delucru.md").otherwise("Lucru.md").alias("source"))
+    got = sites.stored_text(F.col("body"), F.col("q"), F.col("source"))
+    return d.select("doc_id", F.inline(F.array(got))).select("doc_id", "quality", F.md5("text").alias("body_md5"))
+
+
 # Sentences keep their ends; in SQL an abbreviation is hidden while the text is cut.
 SAID = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)([ei]\.\s?[ge])\.', '\1' || chr(2), 'g'), '([\n;!?])', '\1' || chr(1), 'g'), '\.(\s+\p{L})', '.' || chr(1) || '\1', 'g'), chr(1)), lambda s: replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), chr(2), '.')), lambda s: length(s) > 0)"
 

@@ -65,6 +65,8 @@ GENERIC = Site(
     "https://localhost", "^$", link=mark("a"), content=(*_POPUP["content"], mark(id="job-description"), mark("main"), mark("article")), block=any_of(_POPUP["block"], mark(id="job-description")),
     heading=mark("title"), employer=mark(cls="company-name"), label=mark(cls="text-muted3"), summary=_POPUP["summary"], pay=_POPUP["pay"],
 )
+# Where a stored page of a site has its advert, where that ends, and what only pages without it hold.
+STORED = {"Delucru.md": ("descrierea pozitiei vacante", r"trimite cv|despre companie|locuri de munca similare", r"cititi in intregime|top angajator|generator cv online")}
 LABELS = {"oras:": "location", "locatie:": "work_mode", "program de lucru:": "schedule", "salariu:": "salary", "studii:": "education", "experienta:": "experience"}
 SUMMARY = ("location", "experience", "schedule", "education", "work_mode")
 STATUS = any_of(mark(attr="role", value="alert"), *(mark(cls=c) for c in ("alert", "vacancy-status", "job-status", "job-expired", "vacancy-not-found")), mark("h1"), mark("h2"))
@@ -203,3 +205,29 @@ def closed(as_of: Column) -> Column:
     past = F.coalesce(F.col("valid_through").try_cast("timestamp") < as_of, F.lit(False))
     reason = F.when(F.col("notice").isNotNull(), F.col("notice")).when(past, "posting expired")
     return F.struct(reason.isNotNull().alias("closed"), reason.alias("reason"))
+
+
+def stored_text(text: Column, quality: Column, source: Column, bounds: dict[str, tuple[str, str, str]] = STORED) -> Column:
+    """struct<text, quality> of a stored description, repaired where it is a whole page.
+
+    Empty: missing. Verified: kept as it is. Over LONG characters: contaminated,
+    and nothing is kept. On a site with bounds: what stands from the last mark
+    to the first end after it, both looked for in folded text, is recovered; a
+    text with a sign of a page but no mark is contaminated. Others are recovered.
+    """
+    state = lambda t, q: F.struct(t.alias("text"), F.lit(q).alias("quality"))
+    nothing, whole = F.lit(""), F.coalesce(text, F.lit(""))
+
+    def between(mark_: str, end: str) -> Column:
+        def cut(folded: Column) -> Column:
+            tail = F.substring_index(folded, mark_, -1)
+            start, stop = F.length(folded) - F.length(tail), F.regexp_instr(tail, F.lit(end))
+            return clean(F.substring(whole, start + 1, F.when(stop > 0, stop - 1).otherwise(F.length(whole))))
+
+        return let(normalize(whole), cut)
+
+    out = F.when(whole == "", state(nothing, "missing")).when(quality == "verified", state(whole, "verified")).when(F.length(whole) > LONG, state(nothing, "contaminated"))
+    for name, (mark_, end, sign) in bounds.items():
+        folded = normalize(whole)
+        out = out.when((source == name) & F.contains(folded, F.lit(mark_)), state(between(mark_, end), "recovered")).when((source == name) & folded.rlike(sign), state(nothing, "contaminated"))
+    return out.otherwise(state(clean(whole), "recovered"))

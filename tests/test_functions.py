@@ -1,8 +1,10 @@
 """Behaviour of text, page, rule and state operators on small rows."""
 
 import datetime as dt
+import unicodedata
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lodestone.functions import facts, html, segments, text
@@ -17,6 +19,22 @@ def one(spark, value, **columns):
     return frame.select(value.alias("x")).first()["x"]
 
 
+def test_folding_of_every_character(spark):
+    """Each assigned character by itself against Unicode's own normal forms."""
+    codes = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    frame = spark.createDataFrame([(c, chr(c)) for c in codes], "code int, c string").repartition(4)
+    got = {r[0]: r[1] for r in frame.select("code", text.normalize(F.col("c"))).collect()}
+    after_latin = regex.compile(r"(\p{Script=Latin})\p{M}+")
+
+    def want(c):
+        out = unicodedata.normalize("NFC", after_latin.sub(r"\1", unicodedata.normalize("NFKD", c))).lower()
+        return out.translate(dict(zip(map(ord, "‘’–— "), "''-- ", strict=True)))
+
+    assert {hex(c): (got[c], want(chr(c))) for c in codes if got[c] != want(chr(c))} == {}
+    said = {"ﬁnance ½ № Ｆｕｌｌ": "finance 1⁄2 no full", "И\u0306од е\u0308ж": "йод ёж", "e\u0301\u0302t": "et", "Straße ĲSSEL": "straße ijssel", "“a” … 🙂": "“a” ... 🙂", "각 가": "각 가"}
+    assert {k: one(spark, text.normalize(F.lit(k))) for k in said} == said
+
+
 def test_normalize_keeps_marks_of_other_scripts(spark):
     assert one(spark, text.normalize(F.col("t")), t="ÉTÉ Ёй \u2018a\u2019 \u2013\u00a0b") == "ete ёй 'a' - b"
     assert one(spark, text.clean(F.col("t")), t=" a\u00a0 \tb \n\n\n\n c ") == "a b\n\nc"
@@ -24,8 +42,25 @@ def test_normalize_keeps_marks_of_other_scripts(spark):
 
 
 def test_names_and_links(spark):
-    assert one(spark, text.company(F.lit("SRL Alfa Beta, Ltd"))) == "alfa beta"
-    assert one(spark, text.title(F.lit("Sysadmin (Alfa) Alfa Chisinau"), F.lit("none"))) == "system administrator alfa"
+    names = {"ICS Foo S.R.L.": "foo", "OCN Bar SA": "bar", "O.C.N. Gama": "gama", "Inc SC Ltd": "inc sc ltd", "SRL Beta": "srl beta", "Alfa SRL": "alfa"}
+    assert {k: one(spark, text.company(F.lit(k))) for k in names} == names
+    assert one(spark, text.company(F.lit("SRL Alfa Beta, Ltd"), ("srl ",), (" ltd",))) == "alfa beta"
+    valid = {"Top angajator 2024": None, "Telegram": "Telegram", "N/A": None, "+373 22 1": None, " A\n B ": "A B", "x" * 151: None, "LinkedIn": None}
+    assert {k: one(spark, text.valid_company(F.lit(k))) for k in valid} == valid
+
+
+def test_titles_that_differ_stay_apart(spark):
+    titles = {
+        ("Developer (Python)", ""): "developer python", ("Developer (Java)", ""): "developer java", ("Tester (Alfa SRL)", "Alfa"): "tester alfa srl", ("Tester (Alfa)", "Alfa SRL"): "tester", ("Tester (Chișinău)", ""): "tester", ("Tester (500 - 700 EUR)", ""): "tester",
+        ("Сисадмин", ""): "system administrator", ("Administrator de sistem (сис. админ)", ""): "system administrator", ("Internship Java", ""): "internship java", ("Internship IT", ""): "it internship", ("IT Internship, Chisinau", ""): "it internship",
+        ("Sysadmin (Alfa) Alfa Chisinau", "none"): "sysadmin alfa alfa", ("Operator Alfa", "ICS Alfa"): "operator", ("Alfa", "Alfa"): "alfa", ("", ""): "",
+    }
+    frame = spark.createDataFrame([(n, t, e) for n, (t, e) in enumerate(titles)], "n int, t string, e string")
+    got = [r[0] for r in frame.orderBy("n").select(text.title(F.col("t"), F.col("e"))).collect()]
+    assert got == list(titles.values())
+
+
+def test_links(spark):
     link = lambda v: one(spark, text.safe_link(F.lit(v), ["example.org"], r"/job/\d+"))
     assert link("https://www.example.org/job/12/?a=1#x") == "https://example.org/job/12"
     assert link("http://example.org/job/12") is None and link("https://evil.org/job/12") is None and link("not a link") is None
