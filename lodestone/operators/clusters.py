@@ -1,34 +1,55 @@
-"""Near-duplicate cards: blocked pairs, greedy complete linkage within a block, one representative with all sources."""
+"""Near-duplicate cards: blocked pairs, greedy complete linkage by components of links, one representative with all sources."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dice
+from ..sources.shared import cut
+from . import graph
 
 MIN_SHINGLES, SAME_TEXT, SAME_TITLE = 25, 0.88, 0.7
 
 
-def candidates(cards: DataFrame, keys: list[str], same_text: float = SAME_TEXT) -> DataFrame:
-    """(a, b, same, titles, shortest, dice): pairs a < b of one block with one title, or with a Dice of shingles of ``same_text`` at least.
+def _block(keys: list[str]) -> Column:
+    """One value for equal keys; nulls in keys equal nulls."""
+    return F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
 
-    ``same`` is whether the titles are equal, ``titles`` the Dice of their
-    words, ``shortest`` the smaller number of shingles. Cards meet by title or
-    by a shingle: so similar sets share one among their first by hash, as the
-    others alone are too few. Nulls in keys equal nulls.
+
+def _meeting(side: DataFrame, same_text: float) -> DataFrame:
+    """(a, b): cards a < b of one block that share one of their first shingles, the rarest first.
+
+    Dice d asks for d / (2 - d) of the union, so that a set may miss all but the
+    rest of its own: similar sets share one of so many. Counted within the
+    block, boilerplate comes last and is hardly ever met by.
     """
-    side = cards.select("id", F.xxhash64(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})).alias("block"), "title", "tokens", "shingles")
-    hashed = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s)))
-    # Dice d asks for d / (2 - d) of the union, so that a set may miss all but the rest of its own
-    first = F.size("shingles") - F.ceil(same_text / (2 - same_text) * F.size("shingles")).cast("int") + 1
-    met = side.select("id", "block", F.explode(F.concat(F.array(F.xxhash64(F.lit("title"), "title")), F.when(F.size("shingles") > 0, F.slice(hashed, F.lit(1), first)).otherwise(F.array().cast("array<bigint>")))).alias("at"))
+    each = side.select("id", "block", F.size("shingles").alias("n"), F.explode(F.transform("shingles", lambda s: F.xxhash64(s))).alias("at"))
+    often = each.groupBy("block", "at").agg(F.count("*").alias("often"))
+    listed = each.join(often, ["block", "at"]).groupBy("id", "block", "n").agg(F.array_sort(F.collect_list(F.struct("often", "at"))).alias("listed"))
+    first = F.col("n") - F.ceil(same_text / (2 - same_text) * F.col("n")).cast("int") + 1
+    met = listed.select("id", "block", F.explode(F.slice("listed", F.lit(1), first)).alias("x")).where("x.often > 1").select("id", "block", "x.at")
     both = met.alias("x").join(met.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.id") < F.col("y.id")))
-    both = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _rated(both: DataFrame, side: DataFrame) -> DataFrame:
     of = lambda k: side.select(F.col("id").alias(k), F.struct("title", "tokens", "shingles").alias(f"c{k}"))
     c = lambda k, name: F.col(f"c{k}.{name}")
-    rated = both.join(of("a"), "a").join(of("b"), "b").select("a", "b", (c("a", "title") == c("b", "title")).alias("same"), dice(c("a", "tokens"), c("b", "tokens")).alias("titles"), F.least(F.size(c("a", "shingles")), F.size(c("b", "shingles"))).alias("shortest"), dice(c("a", "shingles"), c("b", "shingles")).alias("dice"))
+    return both.join(of("a"), "a").join(of("b"), "b").select("a", "b", (c("a", "title") == c("b", "title")).alias("same"), dice(c("a", "tokens"), c("b", "tokens")).alias("titles"), F.least(F.size(c("a", "shingles")), F.size(c("b", "shingles"))).alias("shortest"), dice(c("a", "shingles"), c("b", "shingles")).alias("dice"))
+
+
+def candidates(cards: DataFrame, keys: list[str], same_text: float = SAME_TEXT) -> DataFrame:
+    """(a, b, same, titles, shortest, dice): pairs a < b of one block with one title, or with a Dice of shingles of ``same_text`` at least.
+
+    ``same`` is whether the titles are equal, ``titles`` the Dice of their
+    words, ``shortest`` the smaller number of shingles.
+    """
+    side = cards.select("id", _block(keys).alias("block"), "title", "tokens", "shingles")
+    x, y = (side.select(F.col("id").alias(k), "block", "title") for k in "ab")
+    titled = x.join(y, ["block", "title"]).where("a < b").select("a", "b")
+    rated = _rated(titled.unionByName(_meeting(side, same_text)).distinct(), side)
     return rated.where(F.col("same") | (F.col("dice") >= same_text))
 
 
@@ -38,40 +59,83 @@ def pairs(cards: DataFrame, keys: list[str], min_shingles: int = MIN_SHINGLES) -
     return candidates(cards, keys).where(F.col("same") | similar).select("a", "b")
 
 
-def clusters(cards: DataFrame, keys: list[str], order: list[str], min_shingles: int = MIN_SHINGLES) -> DataFrame:
+def _settled(cards: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """The groups of one component: cards (id, pos, title, lead) in the order of pos, links (a, b) between cards of different titles.
+
+    Cards of one title match. So a card matches all of a group if it is linked
+    to as many members as have other titles; a group is kept as its number of
+    members of each title.
+    """
+    before: dict = {}
+    for a, b in zip(links["a"], links["b"], strict=True):
+        before.setdefault(b, []).append(a)
+        before.setdefault(a, []).append(b)
+    group: dict = {}
+    heads, sizes, held = [], [], {}
+    for card, title in cards.sort_values("pos")[["id", "title"]].itertuples(index=False):
+        linked: dict[int, int] = {}
+        for other in before.get(card, ()):
+            if (g := group.get(other)) is not None:
+                linked[g] = linked.get(g, 0) + 1
+        fits = (g for g in sorted({*linked, *held.get(title, ())}) if sum(sizes[g].values()) - sizes[g].get(title, 0) == linked.get(g, 0))
+        mine = next(fits, None)
+        if mine is None:
+            mine = len(heads)
+            heads.append(card)
+            sizes.append({})
+        if not sizes[mine].get(title):
+            held.setdefault(title, []).append(mine)
+        sizes[mine][title] = sizes[mine].get(title, 0) + 1
+        group[card] = mine
+    return pd.DataFrame({"id": list(group), "cluster_id": [heads[g] for g in group.values()]})
+
+
+def clusters(cards: DataFrame, keys: list[str], order: list[str | Column], min_shingles: int = MIN_SHINGLES) -> DataFrame:
     """(id, cluster_id): each card, in order, joins the first group of its block all of whose members it matches.
 
-    The order of the members decides, as the first card of a group names it.
-    Blocks are the unit of work: keys must keep them small, such as employer,
-    fit and requirements do. Equal (title, text) cards are one member of the
-    comparison, so exact copies cost no comparison.
+    The order decides, as the first card of a group names it; ids follow it, and
+    nulls come last. Cards match by title, or by similar titles and nearly the
+    same text. A null title counts as an empty one.
+
+    Most cards are settled without being compared one by one. Cards of one title
+    and text go where the first of them goes. A card that matches no other title
+    can only be in a group of its own title, and no other title can join such a
+    group; so of those the first decides for all that follow. What is left, the
+    cards with a link to another title and one more for each title, falls apart
+    into components. Each is settled in one task, which gets ids, titles'
+    hashes and links, but no texts.
     """
     kind = dict(cards.dtypes)["id"]
-
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*order, "id"], kind="stable")
-        groups: list[tuple[int, list[tuple[str, frozenset, frozenset]]]] = []
-        seen: dict[tuple, int] = {}
-        out = []
-        for r in rows.itertuples(index=False):
-            card = (r.title, frozenset(r.tokens), frozenset(r.shingles))
-            if card not in seen:
-                seen[card] = next((k for k, (_, members) in enumerate(groups) if all(_same(card, m, min_shingles) for m in members)), len(groups))
-                if seen[card] == len(groups):
-                    groups.append((r.id, []))
-                groups[seen[card]][1].append(card)
-            out.append((r.id, groups[seen[card]][0]))
-        return pd.DataFrame(out, columns=["id", "cluster_id"])
-
-    return cards.select("id", "title", "tokens", "shingles", *{*order} - {"id"}, *keys).groupBy(*keys).applyInPandas(group, f"id {kind}, cluster_id {kind}")
-
-
-def _dice(a: frozenset, b: frozenset) -> float:
-    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
-
-
-def _same(a: tuple, b: tuple, min_shingles: int) -> bool:
-    return a[0] == b[0] or _dice(a[1], b[1]) >= SAME_TITLE and min(len(a[2]), len(b[2])) >= min_shingles and _dice(a[2], b[2]) >= SAME_TEXT
+    columns = [F.col(c) if isinstance(c, str) else c for c in order] + [F.col("id")]
+    place = F.struct(*[x for i, c in enumerate(columns) for x in (c.isNull().alias(f"null{i}"), c.alias(f"key{i}"))])
+    title = F.coalesce("title", F.lit(""))
+    side = cards.select("id", _block(keys).alias("block"), title.alias("title"), "tokens", "shingles", place.alias("place"))
+    text = F.md5(F.to_json(F.struct(title, F.array_sort("shingles"))))
+    known = cut(side.withColumn("text", text))
+    firsts = known.groupBy("block", "text").agg(F.min_by(F.struct("id", "title", "tokens", "shingles", "place"), "place").alias("x")).select("block", "text", "x.*")
+    firsts = cut(firsts.withColumn("name", F.xxhash64("block", "title")))
+
+    rated = _rated(_meeting(firsts, SAME_TEXT), firsts)
+    links = cut(rated.where(~F.col("same") & (F.col("titles") >= SAME_TITLE) & (F.col("shortest") >= min_shingles) & (F.col("dice") >= SAME_TEXT)).select("a", "b"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    narrow = firsts.select("id", "block", "text", "title", "name", "place")
+    plain = narrow.join(linked, "id", "left_anti")
+    lead = plain.groupBy("block", "title").agg(F.min_by("id", "place").alias("lead"))
+    plain = cut(plain.join(lead, ["block", "title"]).select("block", "text", "id", "lead"))
+    acting = narrow.join(linked, "id", "left_semi").unionByName(narrow.join(plain.where("id = lead").select("id"), "id", "left_semi"))
+
+    names = narrow.select("id", "name")
+    ends = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    parts = graph.components(ends, "x", "y").toDF("name", "part")
+    acting = acting.join(parts, "name", "left").withColumn("part", F.coalesce("part", "name"))
+    acting = acting.withColumn("pos", F.row_number().over(Window.partitionBy("part").orderBy("place"))).select("part", "id", "pos", F.xxhash64("block", "title").alias("title"))
+    alone = acting.join(parts.select("part").distinct(), "part", "left_anti").select("id", F.col("id").alias("cluster_id"))
+    among = ends.join(parts, F.col("x") == F.col("name")).select("part", "a", "b")
+    settled = acting.join(parts.select("part").distinct(), "part", "left_semi").groupBy("part").cogroup(among.groupBy("part")).applyInPandas(_settled, f"id {kind}, cluster_id {kind}")
+    decided = cut(settled.unionByName(alone))
+    first = decided.join(narrow.select("id", "block", "text"), "id").select("block", "text", "cluster_id")
+    follow = plain.where("id <> lead").join(decided.withColumnRenamed("id", "lead"), "lead").select("block", "text", "cluster_id")
+    return known.select("id", "block", "text").join(first.unionByName(follow), ["block", "text"]).select("id", "cluster_id")
 
 
 def cards_of(members: DataFrame, cluster: str, rank: list[Column], link: str, source: str) -> DataFrame:
