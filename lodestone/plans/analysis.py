@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.html import text_of
 from ..functions.text import clean
 from ..operators import engine, state
-from ..sources.versions import current, publish
+from ..sources.versions import commit
 
 
 def analyse(table: DataFrame, as_of: Column, only_pending: bool = True) -> DataFrame:
@@ -19,9 +19,12 @@ def analyse(table: DataFrame, as_of: Column, only_pending: bool = True) -> DataF
     return done.unionByName(table.where(current), allowMissingColumns=True) if only_pending else done
 
 
-def write_back(spark: SparkSession, root: str, as_of: Column, only_pending: bool = True) -> int:
-    """Analyses the newest version of the table at ``root`` and publishes the result as its next one: all rows or none."""
-    table = current(spark, root)
-    if table is None:
-        raise ValueError(f"no table at {root}")
-    return publish(analyse(table, as_of, only_pending), root)
+def write_back(spark: SparkSession, root: str, as_of: Column, only_pending: bool = True, lease: int | None = None) -> int:
+    """Analyses the newest version of the table at ``root`` and publishes the result as its next one: all rows or none, and on what other writers left."""
+
+    def change(table: DataFrame | None) -> DataFrame:
+        if table is None:
+            raise ValueError(f"no table at {root}")
+        return analyse(table, as_of, only_pending)
+
+    return commit(spark, root, change, lease=lease)

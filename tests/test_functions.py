@@ -227,6 +227,7 @@ def test_write_back_publishes_whole_versions(spark, tmp_path):
     assert versions.current(spark, root).count() == 2
     for _ in range(3):
         analysis.write_back(spark, root, at)
+    assert versions.clean(spark, root, keep=3) == 0 and versions.clean(spark, root, keep=3, hours=0) == 3
     assert len([p for p in (tmp_path / "adverts").iterdir() if (p / "_SUCCESS").exists()]) == 3
     with pytest.raises(ValueError):
         analysis.write_back(spark, str(tmp_path / "none"), at)
