@@ -75,7 +75,8 @@ def evaluate(df: DataFrame) -> DataFrame:
     exposure_score, exclusion_reason, reasons, status, analysis_version. Null
     fields count as empty. Stages are plain projections: one narrow map without
     a shuffle, whatever the size. Quotes are unchanged parts of their source,
-    three at most.
+    three at most. Reasons are ordered, each a label and the sentence that shows
+    it, where one does.
     """
     c, e = F.col, lambda k: F.coalesce(F.col(k), F.lit(""))
     kept = df.columns
@@ -158,6 +159,9 @@ def evaluate(df: DataFrame) -> DataFrame:
     more = [("DESCRIPTION_UNVERIFIED", ~c("_complete")), ("BEGINNER_ELIGIBILITY_UNCONFIRMED", c("_fit") == "other"), ("SENIOR_ROLE", senior), ("VACANCY_CLOSED", c("availability") == "closed")]
     d = d.withColumns({"entry_fit": F.when(c("exclusion_reason").isNotNull(), "excluded").when(placeless, "review").otherwise(c("_fit")), "_flags": F.concat("_flags", F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in more])))})
     why = lex.REASONS
+    begun = F.get(F.filter("_whole", lambda r: said(r["normalized"], lex.ENTRY_BODY)), F.lit(0))["text"]
+    least = F.get(F.filter("_exp.required", lambda x: x["years"] == low), F.lit(0))["evidence"]
+    cited = {why["entry_body"]: begun, why["alternative"]: F.get("_exp.alternatives", F.lit(0))["evidence"]}
     reasons = [
         (c("exclusion_reason"), c("exclusion_reason").isNotNull()), (why["no_experience"], c("_noexp")), (why["entry_title"], c("_etitle")), (why["entry_body"], c("_ebody") & ~c("_etitle")), (why["student"], badge & ~c("_worked")), (why["student_prior"], c("_friendly") & ~(badge & ~c("_worked"))), (why["training"], c("_training")),
         (F.format_string(why["years"], shown_number(low)), low.isNotNull()), (why["alternative"], alternatives), (why["incomplete"], ~c("_complete")), (why["no_signal"], ~signal), (why["degree"], flag("DEGREE_REQUIRED")), (why["advanced"], c("_advanced")), (why["later_pay"], flag("INTERNSHIP_PAY_UNCLEAR")), (why["unclear"], flag("EXPERIENCE_UNCLEAR")), (why["no_place"], placeless),
@@ -168,7 +172,7 @@ def evaluate(df: DataFrame) -> DataFrame:
             "category_evidence": F.when(c("_titled").isNotNull() & (c("_titled") == c("category")), _sourced("title", "Job title")).otherwise(_quotes(reduce(lambda o, r: F.when(c("category") == r[0], phrase(r[2])).otherwise(o), lex.CATEGORIES, F.lit(r"(?!)")))),
             "experience_min": low, "payment_status": c("_payment"), "exposure_score": F.when(F.array_contains("_tags", "Customer Facing"), 5.0).otherwise(0.0),
             "fit_score": capped(score(c("_noexp"), c("_etitle"), c("_ebody"), badge & ~c("_worked"), c("_training")), c("entry_fit")),
-            "reasons": F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k) if isinstance(k, str) else k) for k, v in reasons])),
+            "reasons": F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), _reason(k, cited.get(k) if isinstance(k, str) else least if i else None)) for i, (k, v) in enumerate(reasons)])),
             "status": F.when(c("exclusion_reason").isNotNull(), "excluded").otherwise("active"), "analysis_version": F.lit(VERSION),
         }
     )
@@ -176,6 +180,10 @@ def evaluate(df: DataFrame) -> DataFrame:
     return out.select(*[k for k in kept if k not in new], *new)
 
 
+def _reason(label: str | Column, evidence: Column | None) -> Column:
+    return F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), (F.lit(None).cast("string") if evidence is None else evidence).alias("evidence"))
+
+
 def _speaks(language: str, kind: str):
     """Whether a sentence asks for a language: as Required, or as Preferred."""
     return lambda r: has(r["normalized"], language) & ~r["course"] & (r["soft"] if kind == "Preferred" else ~r["soft"] & r["hard"])
