@@ -19,11 +19,17 @@ SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?<![\d\w])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?!\d)"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа"
-NAME = rf"\b(?:{MALE}|{FEMALE})\b\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+#: Titles of either gender.
+NEUTRAL = "Dr|Prof|Professor|доктор|профессор"
+#: Words within names that stay: particles and initials.
+PARTICLE = "von|van|de|der|den|del|della|di|da|dos|du|la|le|zu|zur|bin|al"
+_TITLES = "|".join(sorted({x for t in (MALE, FEMALE, NEUTRAL) for w in t.split("|") for x in (w, w.upper())}))
+_WORD = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)*"
+NAME = rf"\b(?:{_TITLES})\b\.? +(?:\p{{Lu}}\. ?)*(?:(?:{PARTICLE}) )*{_WORD}(?: (?:\p{{Lu}}\. ?)*(?:(?:{PARTICLE}) )*{_WORD}){{0,3}}"
 SHAPES = {"email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "ip": IPV4, "card": CARD, "ssn": SSN, "phone": PHONE, "name": NAME}
 ANY = "|".join(SHAPES.values())
 #: No entity can stand in a text without one of these.
-HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z0-9]{{16}}|[=:][ ]?[\"']?[A-Za-z0-9_\-+/]{{8,}}|\b(?:{MALE}|{FEMALE})\b\.? \p{{Lu}}"
+HINT = rf"[0-9@]|(?:AKIA|ASIA)[A-Z0-9]{{16}}|[=:][ ]?[\"']?[A-Za-z0-9_\-+/]{{8,}}|\b(?:{_TITLES})\b\.? +\p{{L}}"
 
 # Surrogate names by gender and script.
 NAMES = {
@@ -105,12 +111,24 @@ def _card(entity: Column, digest: Column) -> Column:
 
 
 def parts(kind: Column, entity: Column) -> Column:
-    """array<struct<kind, ident, sample>> of what is replaced in a mention: family and given name each, whatever the title; else the whole."""
+    """array<struct<kind, ident, sample>> of what is replaced in a mention: family name and given names, last first, whatever the title; else the whole."""
     part = lambda k, x: F.struct(k.alias("kind"), identity(k, x).alias("ident"), x.alias("sample"))
-    words = F.split(entity, " ")
-    family = part(F.lit("family"), F.element_at(words, -1))
-    given = part(F.when(entity.rlike(rf"^(?:{MALE})\b"), "given_m").otherwise("given_f"), F.get(words, 1))
-    return F.when(kind != "name", F.array(part(kind, entity))).when(F.size(words) > 2, F.array(family, given)).otherwise(F.array(family))
+    named = F.filter(_words(entity), _is_name)
+    family = part(F.lit("family"), F.element_at(named, -1))
+    male = entity.rlike(rf"^(?i:{MALE})\b")
+    # a title of either gender leaves it to the name's ending
+    given = lambda x: part(F.when(male | (entity.rlike(rf"^(?i:{NEUTRAL})\b") & ~x.rlike("(?iu)[aая]$")), "given_m").otherwise("given_f"), x)
+    others = F.transform(F.reverse(F.slice(named, F.lit(1), F.greatest(F.size(named) - 1, F.lit(0)))), given)
+    return F.when(kind != "name", F.array(part(kind, entity))).otherwise(F.concat(F.array(family), others))
+
+
+def _words(entity: Column) -> Column:
+    """The words of a titled name without its title."""
+    return F.split(F.regexp_replace(entity, r"^[^ ]+ +", ""), r" |(?<=\.)(?=\p{Lu})")
+
+
+def _is_name(word: Column) -> Column:
+    return ~word.rlike(rf"^(?:(?:{PARTICLE})|\p{{Lu}}\.|)$")
 
 
 def _named(word: Column, kind: Column, digest: Column, attempt: Column) -> Column:
@@ -123,7 +141,7 @@ def _named(word: Column, kind: Column, digest: Column, attempt: Column) -> Colum
         made = F.when(here & (kind == "family"), F.concat(F.initcap(more(script, 4 + 2 * attempt)), F.lit("н" if script == "cyrillic" else "n"))).otherwise(made)
         for gender in "mf":
             made = F.when(here & (kind == f"given_{gender}"), F.concat(one(NAMES[gender, script], F.lit(0)), more(script, 2 * attempt))).otherwise(made)
-    return made
+    return F.when(word.rlike(r"^[\p{Lu}'’-]{2,}$"), F.upper(made)).otherwise(made)
 
 
 def surrogate(entity: Column, kind: Column, ident: Column, attempt: Column, key: str) -> Column:
@@ -157,7 +175,13 @@ def surrogate(entity: Column, kind: Column, ident: Column, attempt: Column, key:
 def replaced(entity: Column, kind: Column, attempt_of, key: str) -> Column:
     """The replacement of a mention, whose j-th part is drawn at ``attempt_of(j)``. The title of a name stays."""
     new = F.transform(parts(kind, entity), lambda p, j: surrogate(p["sample"], p["kind"], p["ident"], attempt_of(j), key))
-    return F.when(kind == "name", F.concat(F.regexp_extract(entity, r"^[^ ]+ ", 0), F.array_join(F.reverse(new), " "))).otherwise(F.get(new, 0))
+
+    def named(both: Column) -> Column:
+        words, names = both["words"], both["names"]
+        put = lambda w, i: F.when(_is_name(w), F.get(names, F.size(F.filter(F.slice(words, F.lit(1), i), _is_name)))).otherwise(w)
+        return F.concat(F.regexp_extract(entity, r"^[^ ]+ +", 0), F.array_join(F.transform(words, put), " "))
+
+    return F.when(kind == "name", let(F.struct(_words(entity).alias("words"), F.reverse(new).alias("names")), named)).otherwise(F.get(new, 0))
 
 
 def mentions(docs: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
@@ -196,7 +220,7 @@ def bare_names(text: Column, found: Column, kinds: Column, new: Column) -> Colum
     """``text`` with the names of its titled mentions replaced where they stand without title: family alone, or given and family."""
     edge = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), x, F.lit(r"\E(?![\p{L}\p{N}])"))
     pairs = F.arrays_zip(found.alias("old"), new.alias("new"), kinds.alias("kind"))
-    names = F.transform(F.filter(pairs, lambda p: p["kind"] == "name"), lambda p: F.struct(F.regexp_replace(p["old"], r"^[^ ]+ ", "").alias("old"), F.regexp_replace(p["new"], r"^[^ ]+ ", "").alias("new")))
+    names = F.transform(F.filter(pairs, lambda p: p["kind"] == "name"), lambda p: F.struct(F.regexp_replace(p["old"], r"^[^ ]+ +", "").alias("old"), F.regexp_replace(p["new"], r"^[^ ]+ +", "").alias("new")))
     last = F.transform(names, lambda p: F.struct(F.element_at(F.split(p["old"], " "), -1).alias("old"), F.element_at(F.split(p["new"], " "), -1).alias("new")))
     swap = lambda into, of: F.aggregate(F.array_distinct(of), into, lambda a, p: F.when(F.contains(a, p["old"]), F.regexp_replace(a, edge(p["old"]), p["new"])).otherwise(a))
     return F.when(F.size(names) > 0, swap(swap(text, names), last)).otherwise(text)

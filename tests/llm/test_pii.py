@@ -71,3 +71,20 @@ def test_odd_rows_and_columns_with_our_names(spark):
     assert [(a, c, d) for a, _, c, d in got] == [(1, 1, ["name"]), (1, 1, ["name"]), (2, 1, ["email"]), (8, 0, []), (9, 0, [])]
     assert got[0][1] == got[1][1] != "Mr Smith" and got[2][1].startswith("w " * 50_000) and [x[1] for x in got[3:]] == ["", "no one"]
     assert done_.where("text IS NULL").select("n_entities_").first()[0] == 0
+
+
+def test_names_of_many_shapes(spark):
+    """No part of a titled name is left, its particles and its title stay, and its case and number of words are kept."""
+    said = ["Mr John Paul Smith", "Herr Smith-Jones", "Mrs. Anna-Maria Lopez", "Mr O'Brien", "MR JOHN SMITH", "Dr. Alice Brown", "Frau von Braun", "Mr  John", "Prof Maria de la Cruz", "Sr. J. R. Garcia", "господин Иван Петров", "Mr McDonald"]
+    rows = [(i, f"Then {x} came. {x.split()[-1]}'s book") for i, x in enumerate(said)]
+    got = [r[0] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id int, text string"), "k").orderBy("doc_id").select("text").collect()]
+    stay = {"von", "de", "la", "J.", "R.", "Mr", "Mrs.", "Herr", "MR", "Dr.", "Frau", "Prof", "Sr.", "господин"}
+    for x, text in zip(said, got, strict=True):
+        new = text.removeprefix("Then ").split(" came. ")[0]
+        assert len(new.split()) == len(x.split()), (x, text)
+        for a, b in zip(x.split(), new.split(), strict=True):
+            assert (a == b) == (a in stay) and (a in stay or a.isupper() == b.isupper()), (x, text)
+        assert text.split(" came. ")[1] == f"{new.split()[-1]}'s book", (x, text)
+    by = dict(zip(said, got, strict=True))
+    assert by["MR JOHN SMITH"].split()[2].title() == by["Mr  John"].split()[2] or "JOHN" not in by["MR JOHN SMITH"]
+    assert by["MR JOHN SMITH"].split()[3].title() == by["Mr John Paul Smith"].split()[4]

@@ -22,7 +22,7 @@ def words(text):
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("sf"))
-    documents = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("kept", F.lit("x")).withColumn("__score", F.lit(1))
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("kept", F.lit("x")).withColumn("__score", F.lit(1)).withColumn("__id", F.lit(1))
     spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first()["text"]
     more = [(900_001, PROSE), (900_002, PROSE), (900_003, PROSE), (900_003, PROSE), (900_004, PROSE.replace("morning", "evening")), (900_005, f"{PROSE[:60]} {item} {PROSE[80:]}"), (900_006, f"Mr John Smith met us. {PROSE[::-1]} Write to john.smith@example.org"), (900_007, None), (900_008, ""), (None, PROSE.upper().lower() + " once more")]
