@@ -14,10 +14,10 @@ from lodestone.llm.queries import PIECES, surrogate_key
 BROADCAST_ROWS = 100_000
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids``; a null id is an id like any other."""
-    ids = ids.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among ``ids`` (or is not, by a left_anti join); a null id is an id like any other."""
+    ids = ids.select(F.col("doc_id").alias(free("__id", docs.columns)))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(ids.columns[0])), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +35,16 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     linked = cut(near_duplicates.link(docs).select("doc_id", "kept"))
     kept = _only(docs, linked.where("kept"))
-    again = linked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"))
-    again = small(again, BROADCAST_ROWS)
-    same = F.col("doc_id") == F.col("__id")
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").unionByName(once)
+    again = small(linked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), BROADCAST_ROWS)
+    once = _only(kept, again).dropDuplicates(["doc_id", "text"])
+    return _only(kept, again, "left_anti").unionByName(once)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window. Null and empty texts have none; of rows that repeat an id all go if one has a window."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = cut(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(hit, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    hit = cut(found.where(F.size("hits") > 0).select("doc_id").distinct())
+    return _only(docs, small(hit, BROADCAST_ROWS), "left_anti")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
