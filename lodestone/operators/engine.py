@@ -11,8 +11,9 @@ from ..functions import segments
 from ..functions.facts import experience
 from ..functions.text import normalize, shown_number
 from . import lexicon as lex
+from .rules import VERSION, Rules
 
-VERSION = 9
+DEFAULT = Rules()
 
 
 def phrase(words: str) -> str:
@@ -52,22 +53,22 @@ def capped(points: Column, fit: Column) -> Column:
     return F.least(points, most)
 
 
-def categorised(d: DataFrame) -> DataFrame:
+def categorised(d: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """``d`` (_title, _relevant) with category, _titled (found by the title) and _unrelated (why it is no such role, or null)."""
     title, relevant = F.col("_title"), F.col("_relevant")
-    listed = F.when(has(title, lex.DEVELOPER) & ~said(title, lex.NOT_DEVELOPER), "Software Development").otherwise(first_match(title, [(k, t) for k, t, _ in lex.CATEGORIES]))
+    listed = F.when(has(title, lex.DEVELOPER) & ~said(title, lex.NOT_DEVELOPER), "Software Development").otherwise(first_match(title, [(k, t) for k, t, _ in rules.categories]))
     odd = has(title, lex.NON_TECH)
     d = d.withColumn("_titled", listed).withColumn("_odd", odd)
-    named = F.coalesce("_titled", F.when(~F.col("_odd"), first_match(relevant, [(k, b) for k, _, b in lex.CATEGORIES])))
+    named = F.coalesce("_titled", F.when(~F.col("_odd"), first_match(relevant, [(k, b) for k, _, b in rules.categories])))
     # a general name gives way to what the duties say
-    closer = first_match(relevant, [(k, b) for k, _, b in lex.CATEGORIES if k not in ("General IT", "IT Internships")])
+    closer = first_match(relevant, [(k, b) for k, _, b in rules.categories if k not in ("General IT", "IT Internships")])
     d = d.withColumn("_named", named).withColumn("_named", F.when(F.col("_named") == "General IT", F.coalesce(closer, F.lit("General IT"))).otherwise(F.col("_named")))
     planner = said(title, lex.PLANNED) & said(relevant, lex.PLANNING) & ~said(relevant, lex.CODING)
     d = d.withColumn("_unrelated", F.when(planner, lex.EXCLUDED["production"]).when(F.col("_named").isNull() | F.col("_odd"), lex.EXCLUDED["unrelated"]))
     return d.withColumn("category", F.when(F.col("_unrelated").isNotNull(), "General IT").otherwise(F.col("_named")))
 
 
-def evaluate(df: DataFrame) -> DataFrame:
+def evaluate(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """``df`` (title, text, location, work_mode, schedule, description_quality, availability, and salary if there is one) with the engine's columns.
 
     category, tags, quality_flags, tag_evidence, flag_evidence,
@@ -89,7 +90,7 @@ def evaluate(df: DataFrame) -> DataFrame:
     parts = {k: segments.records(c(f"_sec.{k}"), v) for k, v in segments.TITLES.items()}
     d = d.withColumns({"_whole": segments.records(c("text"), "Vacancy text"), "_requirements": parts["requirements"], "_preferred": parts["preferred"], "_by": F.concat(*[parts[k] for k in segments.TITLES])})
     d = d.withColumn("_said", F.array_join(F.transform(F.filter("_by", lambda r: r["section"] != "Benefits"), lambda r: r["normalized"]), "\n"))
-    d = categorised(d)
+    d = categorised(d, rules)
     title, full, relevant, low = c("_title"), c("_full"), c("_relevant"), c("_exp.minimum")
     both = F.concat_ws("\n", title, full)
     wished = lambda n: said(n, lex.OPTIONAL) | ((F.length("_sec.preferred") > 0) & F.contains(normalize(c("_sec.preferred")), n))
@@ -97,7 +98,7 @@ def evaluate(df: DataFrame) -> DataFrame:
     # Signals of applicants.
     prior = lambda n: said(n, lex.PRIOR) & ~said(n, lex.NO_EXPERIENCE) & (~said(n, lex.TOOL_USE) | said(n, lex.EMPLOYED))
     mentioned = F.exists(F.concat("_exp.required", "_exp.preferred", "_exp.alternatives"), lambda x: x["mentioned"] > 0)
-    speech = F.filter(segments.records(or_all(joined("requirements", "preferred", "intro", "responsibilities")), ""), lambda r: has(r["normalized"], "|".join(lex.LANGUAGES.values())))
+    speech = F.filter(segments.records(or_all(joined("requirements", "preferred", "intro", "responsibilities")), ""), lambda r: has(r["normalized"], "|".join(rules.languages.values()) or r"(?!)"))
     d = d.withColumns(
         {
             "_noexp": said(full, lex.NO_EXPERIENCE), "_etitle": has(title, lex.ENTRY_TITLE), "_ebody": said(full, lex.ENTRY_BODY), "_friendly": said(full, lex.STUDENTS), "_intern": has(both, lex.INTERNSHIP), "_senior": has(title, lex.SENIOR), "_advanced": said(relevant, lex.ADVANCED), "_mentioned": mentioned,
@@ -128,16 +129,16 @@ def evaluate(df: DataFrame) -> DataFrame:
     outside = c("_there") & ~c("_local") & ~(c("_remote") & said(c("_place"), lex.ANYWHERE))
 
     spoken = lambda p, kind: F.exists("_speech", _speaks(p, kind))
-    js = lex.SKILLS["JavaScript / Node"]
+    js = rules.skills.get("JavaScript / Node", r"(?!)")
     scripts = F.exists("_by", lambda r: (r["section"] != "Benefits") & has(r["normalized"], js) & ~(said(r["normalized"], lex.REACT_TO) & ~said(r["text"], lex.REACT)))
     tags = [
         ("No Experience Required", c("_noexp")), ("Students / Graduates Welcome", badge & ~c("_worked")), ("Junior / Entry Level", entry & ~c("_intern")), ("Internship / Trainee", c("_intern")), ("Experience Preferred", (F.size("_exp.preferred") > 0) | c("_optional")),
         ("Employer Training", c("_training")), ("Paid Internship", c("_ipaid") & c("_intern")), ("Remote", c("_remote")), ("Hybrid", c("_hybrid")), ("Part Time", said(F.concat_ws("\n", "_sched", full), lex.PART_TIME)), ("Flexible Schedule", said(full, lex.FLEXIBLE)), ("Rotational Shifts", said(full, lex.SHIFTS)),
         ("Driver's License", said(full, lex.DRIVER)), ("No Degree Required", c("_nodegree")), ("Portfolio", said(relevant, lex.PORTFOLIO)), ("Customer Facing", said(relevant, lex.CUSTOMERS)),
-        *[(k, (has(title, p) | has(c("_said"), p)) & (has(title, p) | scripts if p == js else F.lit(True))) for k, p in lex.SKILLS.items()],
+        *[(k, (has(title, p) | has(c("_said"), p)) & (has(title, p) | scripts if p == js else F.lit(True))) for k, p in rules.skills.items()],
     ]
     labels = [F.when(v, F.lit(k)) for k, v in tags]
-    labels += [F.when(has(title, p) | spoken(p, "Required"), F.lit(f"{k} Required")).when(spoken(p, "Preferred"), F.lit(f"{k} Preferred")) for k, p in lex.LANGUAGES.items()]
+    labels += [F.when(has(title, p) | spoken(p, "Required"), F.lit(f"{k} Required")).when(spoken(p, "Preferred"), F.lit(f"{k} Preferred")) for k, p in rules.languages.items()]
     flags = [
         ("EXPERIENCE_INFLATION_2PLUS_YEARS", low >= 2), ("EXPERIENCE_REQUIREMENT_1YEAR", (low >= 1) & (low < 2)), ("SOME_EXPERIENCE_REQUIRED", (low > 0) & (low < 1)), ("EXPERIENCE_OR_STUDENTS", alternatives), ("CONFLICTING_EXPERIENCE", conflict), ("MIXED_SENIORITY", mixed), ("ADVANCED_SKILLS_REQUESTED", c("_advanced")),
         ("EXPERIENCE_UNCLEAR", unclear), ("INTERNSHIP_PAY_UNCLEAR", later), ("TRAINING_FEE_OR_COURSE", c("_fee") | c("_course")), ("UNPAID", c("_unpaid")), ("PAY_NOT_STATED", payment == "unknown"), ("RELOCATION_REQUIRED", c("_abroad")), ("OUTSIDE_CHISINAU", outside), ("LOCATION_UNCONFIRMED", ~c("_there")),
@@ -168,12 +169,12 @@ def evaluate(df: DataFrame) -> DataFrame:
     ]
     out = d.withColumns(
         {
-            "tags": c("_tags"), "quality_flags": c("_flags"), "tag_evidence": _tag_quotes(), "flag_evidence": _flag_quotes(),
-            "category_evidence": F.when(c("_titled").isNotNull() & (c("_titled") == c("category")), _sourced("title", "Job title")).otherwise(_quotes(reduce(lambda o, r: F.when(c("category") == r[0], phrase(r[2])).otherwise(o), lex.CATEGORIES, F.lit(r"(?!)")))),
+            "tags": c("_tags"), "quality_flags": c("_flags"), "tag_evidence": _tag_quotes(rules), "flag_evidence": _flag_quotes(),
+            "category_evidence": F.when(c("_titled").isNotNull() & (c("_titled") == c("category")), _sourced("title", "Job title")).otherwise(_quotes(reduce(lambda o, r: F.when(c("category") == r[0], phrase(r[2])).otherwise(o), rules.categories, F.lit(r"(?!)")))),
             "experience_min": low, "payment_status": c("_payment"), "exposure_score": F.when(F.array_contains("_tags", "Customer Facing"), 5.0).otherwise(0.0),
             "fit_score": capped(score(c("_noexp"), c("_etitle"), c("_ebody"), badge & ~c("_worked"), c("_training")), c("entry_fit")),
             "reasons": F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), _reason(k, cited.get(k) if isinstance(k, str) else least if i else None)) for i, (k, v) in enumerate(reasons)])),
-            "status": F.when(c("exclusion_reason").isNotNull(), "excluded").otherwise("active"), "analysis_version": F.lit(VERSION),
+            "status": F.when(c("exclusion_reason").isNotNull(), "excluded").otherwise("active"), "analysis_version": F.lit(rules.version),
         }
     )
     new = ["category", "tags", "quality_flags", "tag_evidence", "flag_evidence", "category_evidence", "experience_min", "payment_status", "entry_fit", "fit_score", "exposure_score", "exclusion_reason", "reasons", "status", "analysis_version"]
@@ -223,15 +224,15 @@ def _quoted(held: str, rules: list[tuple[str, str, bool]], fields: list[tuple[st
     return F.map_from_entries(F.filter(F.concat(found, own), lambda x: F.size(x["v"]) > 0))
 
 
-def _tag_quotes() -> Column:
+def _tag_quotes(known: Rules) -> Column:
     rules = [
         ("No Experience Required", lex.NO_EXPERIENCE, False), ("Students / Graduates Welcome", lex.STUDENTS, False), ("Junior / Entry Level", f"{phrase(lex.ENTRY_TITLE)}|{lex.ENTRY_BODY}", True), ("Internship / Trainee", phrase(lex.INTERNSHIP), True), ("Employer Training", lex.TRAINING, True), ("Paid Internship", lex.PAID_INTERNSHIP, False),
         ("Remote", f"{lex.REMOTE_MODE}|{lex.REMOTE_TEXT}", False), ("Hybrid", lex.HYBRID, False), ("Part Time", lex.PART_TIME, False), ("Flexible Schedule", lex.FLEXIBLE, False), ("Rotational Shifts", lex.SHIFTS, False), ("Driver's License", lex.DRIVER, False), ("No Degree Required", lex.NO_DEGREE, False), ("Portfolio", lex.PORTFOLIO, False), ("Customer Facing", lex.CUSTOMERS, False),
-        *[(k, phrase(p), True) for k, p in lex.SKILLS.items()],
+        *[(k, phrase(p), True) for k, p in known.skills.items()],
     ]
     fields = [("Remote", "work_mode", "_mode", "Work arrangement on source"), ("Hybrid", "work_mode", "_mode", "Work arrangement on source"), ("Part Time", "schedule", "_sched", "Schedule on source")]
     special = [("Experience Preferred", _cited(F.filter("_whole", lambda r: F.exists("_exp.preferred", lambda x: x["evidence"] == r["text"]) | (said(r["normalized"], "experience|experienta|опыт") & (said(r["normalized"], lex.OPTIONAL) | F.exists("_preferred", lambda x: x["text"] == r["text"]))))))]
-    for k, p in lex.LANGUAGES.items():
+    for k, p in known.languages.items():
         for kind in ("Required", "Preferred"):
             mine = F.filter("_speech", _speaks(p, kind))
             special.append((f"{k} {kind}", F.when(has(F.col("_title"), p), _sourced("title", "Job title")).otherwise(_cited(mine)) if kind == "Required" else _cited(mine)))

@@ -16,7 +16,7 @@ CATEGORIES = [
     ("IT Internships", r"(?:it |software )internships?|internships? it|stagiu it|стажировк[а-я]*.{0,10}it", r"internship it|it internship|stagiu it|стажировк[а-я]*.{0,10}it"),
     ("General IT", r"it junior|junior it|entry-level it|it trainee|specialist it|specialist tic", r"information technology|tehnologii informationale|domeniul tic"),
 ]
-DEVELOPER, NOT_DEVELOPER = r"developer|programator|программист[а-я]*|разработчик", r"data (?:entry|scientist|engineer)|wordpress|qa|test|1c"
+DEVELOPER, NOT_DEVELOPER = r"developer|programator|программист[а-я]*|разработчик[а-я]*", r"data (?:entry|scientist|engineer)|wordpress|qa|test|1c"
 NON_TECH = r"accountant|contabil[a-z]*|financial manager|finance|purchasing|achizitii|recruiter|recrutare|office manager|asistent director|ceo assistant|travel assistant|paralegal|lector|profesor|sales|vanzari|account manager|bucatar|casier|водитель|бухгалтер[а-я]*"
 PLANNED, PLANNING, CODING = r"programat[a-z]*.{0,25}productie", r"planificarea|comenzilor de productie", r"scriere.{0,20}cod|dezvoltare.{0,20}software"
 SKILLS = {

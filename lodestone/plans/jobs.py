@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts, segments, text
 from ..operators import clusters, engine, search, state
+from ..operators.rules import Rules
 from ..sources import sites
 from ..sources.versions import commit
 
@@ -24,7 +25,7 @@ APART, ALIKE = ("Remote", "Hybrid", "Part Time", "Rotational Shifts", "Driver's
 WRITTEN = ("raw_description", "description", "description_quality", "company", "responsibilities_text", "requirements_text", "location", *("category tags quality_flags tag_evidence flag_evidence category_evidence experience_min payment_status entry_fit fit_score exposure_score exclusion_reason reasons status analysis_version".split()), "analyzed_at")
 
 
-def derive(jobs: DataFrame, as_of: Column, only_pending: bool = True) -> DataFrame:
+def derive(jobs: DataFrame, as_of: Column, only_pending: bool = True, rules: Rules = engine.DEFAULT) -> DataFrame:
     """``jobs`` with all columns of WRITTEN worked out for the due rows; the rest pass through as they are.
 
     The description as it first came is kept, the one that is shown is repaired,
@@ -32,8 +33,8 @@ def derive(jobs: DataFrame, as_of: Column, only_pending: bool = True) -> DataFra
     the sections on duties and requirements are columns of their own. One narrow
     map without a shuffle.
     """
-    up_to_date = F.coalesce((F.col("analysis_version") == engine.VERSION) & F.col("analyzed_at").isNotNull(), F.lit(False))
-    todo = state.pending(jobs, engine.VERSION) if only_pending else jobs
+    up_to_date = F.coalesce((F.col("analysis_version") == rules.version) & F.col("analyzed_at").isNotNull(), F.lit(False))
+    todo = state.pending(jobs, rules.version) if only_pending else jobs
     raw = F.coalesce("raw_description", "description") if "raw_description" in jobs.columns else F.col("description")
     todo = todo.withColumn("raw_description", raw).withColumn("__stored", sites.stored_text(F.col("description"), F.col("description_quality"), F.col("source")))
     # a generator, so that the repaired text is worked out once
@@ -41,18 +42,18 @@ def derive(jobs: DataFrame, as_of: Column, only_pending: bool = True) -> DataFra
     todo = todo.select(*rest, F.inline(F.array("__stored"))).withColumnRenamed("quality", "description_quality")
     town = F.when(text.normalize(F.col("text")).rlike(TOWN), TOWN_NAME).otherwise("")
     todo = todo.withColumns({"location": F.coalesce(F.nullif("location", F.lit("")), town), "company": F.coalesce(text.valid_company(F.col("company")), F.lit("N/A")), "__sections": segments.sections(F.col("text"))})
-    done = engine.evaluate(todo)
+    done = engine.evaluate(todo, rules)
     done = done.withColumns({"description": F.nullif("text", F.lit("")), "responsibilities_text": F.col("__sections.responsibilities"), "requirements_text": F.col("__sections.requirements"), "analyzed_at": as_of}).drop("text", "__sections")
     return done.unionByName(jobs.where(up_to_date), allowMissingColumns=True) if only_pending else done
 
 
-def write_back(spark: SparkSession, root: str, as_of: Column, only_pending: bool = True, lease: int | None = None) -> int:
+def write_back(spark: SparkSession, root: str, as_of: Column, only_pending: bool = True, lease: int | None = None, rules: Rules = engine.DEFAULT) -> int:
     """Publishes the newest version of the table at ``root`` with its due rows analysed, on what other writers left: all rows or none."""
 
     def change(jobs: DataFrame | None) -> DataFrame:
         if jobs is None:
             raise ValueError(f"no table at {root}")
-        return derive(jobs, as_of, only_pending)
+        return derive(jobs, as_of, only_pending, rules)
 
     return commit(spark, root, change, lease=lease)
 
@@ -126,7 +127,7 @@ def read(jobs: DataFrame, fit: str = "beginner", links: dict[str, sites.Site] =
 def filters(jobs: DataFrame, links: dict[str, sites.Site] = sites.SITES) -> DataFrame:
     """(facet, name, n): what the cards can be filtered by, zeros included: fits, categories, review reasons, tags, and how many adverts are excluded."""
     active = cards(jobs.where("status = 'active'"), links).select("entry_fit", "category", "review_reasons", "tags")
-    dims = {"fit": ["beginner", "stretch", "review", "other"], "category": [k for k, _, _ in engine.lex.CATEGORIES], "review": list(REVIEW)}
+    dims = {"fit": ["beginner", "stretch", "review", "other"], "category": [k for k, _, _ in engine.DEFAULT.categories], "review": list(REVIEW)}
     said = F.concat(F.array(F.struct(F.lit("fit").alias("facet"), F.col("entry_fit").alias("name")), F.struct(F.lit("fit").alias("facet"), F.lit("all").alias("name")), F.struct(F.lit("category").alias("facet"), F.col("category").alias("name"))), *[F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("facet"), x.alias("name"))) for c, k in (("review_reasons", "review"), ("tags", "tag"))])
     counted = active.select(F.explode(said).alias("x")).groupBy("x.facet", "x.name").agg(F.count("*").alias("n"))
     out = jobs.where("status = 'excluded'").agg(F.lit("excluded").alias("facet"), F.lit("excluded").alias("name"), F.count("*").alias("n"))

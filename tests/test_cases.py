@@ -1,6 +1,7 @@
 """Adverts and what the rule engine must make of them: one table of cases, judged in one run."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import engine
 
@@ -140,3 +141,23 @@ def test_sections_of_quotes(judged):
     assert [tuple(q) for q in judged["languages"]["tag_evidence"]["German Preferred"]] == [("German language preferred.", "Preferred qualifications")]
     assert [tuple(q) for q in judged["russian years"]["flag_evidence"]["EXPERIENCE_INFLATION_2PLUS_YEARS"]] == [("Опыт работы не менее 2-х лет.", "Requirements")]
     assert [tuple(q) for q in judged["network"]["category_evidence"]] == [("Junior Linux - Network Administrator", "Job title")]
+
+
+def test_rules_from_a_table(spark, judged):
+    """The same labels from the rules as a table; a rule that is added there counts, and makes rows due again."""
+    from lodestone.operators import rules, state
+
+    held = rules.table(spark)
+    assert rules.read(held) == rules.Rules() and rules.read(held).version == engine.VERSION
+    more = rules.read(held.unionByName(spark.createDataFrame([("skill", 99, "any", "cobol|fortran", "Old Languages"), ("category", 99, "title", "arhivar", "Archives")], rules.SCHEMA)))
+    rows = [("new", "Junior arhivar", f"You know COBOL. {MORE}", "Chisinau", None, None, "verified", "open"), ("old", *CASES["network"][0])]
+    table = spark.createDataFrame(rows, "name string, title string, text string, location string, work_mode string, schedule string, description_quality string, availability string")
+    got = {r["name"]: r for r in engine.evaluate(table, more).collect()}
+    assert got["new"]["category"] == "Archives" and "Old Languages" in got["new"]["tags"] and [q["text"] for q in got["new"]["tag_evidence"]["Old Languages"]] == ["You know COBOL."]
+    same = [c for c in judged["network"].asDict() if c not in ("name", "analysis_version")]
+    assert [got["old"][c] for c in same] == [judged["network"][c] for c in same]
+    done = table.withColumn("analysis_version", F.lit(engine.VERSION)).withColumn("analyzed_at", F.current_timestamp())
+    assert more.version != engine.VERSION and state.pending(done, engine.VERSION).count() == 0 and state.pending(done, more.version).count() == 2
+    for bad in (("skill", 1, "title", "x", "y"), ("flag", 1, "any", "x", "y"), ("skill", 1, "any", "(", "y"), ("skill", 1, "any", None, "y")):
+        with pytest.raises(ValueError):
+            rules.read(spark.createDataFrame([bad], rules.SCHEMA))
