@@ -97,7 +97,7 @@ def _looked_up(text: Column) -> Column:
 
 def _composed(text: Column) -> Column:
     """Letters joined with the mark that follows them, where there is such a letter."""
-    pairs = F.create_map(*[F.lit(x) for k, v in PAIRS.items() for x in (k, v)])
+    pairs = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in PAIRS.items())), F.lit("\x1e"), F.lit("\x1f"))  # a constant: worked out once a plan
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}|\P{M}+(?!\p{M})|."), F.lit(0))
     return F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) == 2, F.coalesce(pairs[p], p)).otherwise(p)), "")
 
@@ -109,7 +109,8 @@ def folded(text: Column) -> Column:
     are joined with a letter in their order of writing, two at most.
     """
     low = F.lower(F.translate(text, "".join(_FIRST), "".join(_FIRST.values())))
-    one = F.translate(low, _FROM, _TO)
-    several = F.when(one.rlike(f"[{_CLASS}]"), _looked_up(one)).otherwise(one)
-    joined = let(several, lambda t: F.when(t.rlike(r"\p{M}"), let(F.regexp_replace(t, r"(\p{IsLatin})\p{M}+", "$1"), lambda u: _composed(_composed(u)))).otherwise(t))
+    several = lambda t: F.when(t.rlike(f"[{_CLASS}]"), _looked_up(t)).otherwise(t)
+    plain = lambda t: F.when(t.rlike(r"\p{M}"), let(F.regexp_replace(t, r"(\p{IsLatin})\p{M}+", "$1"), lambda u: _composed(_composed(u)))).otherwise(t)
+    # what is left of most texts is plain by now
+    joined = let(F.translate(low, _FROM, _TO), lambda t: F.when(~t.rlike(r"[^\x00-\x7F]"), t).otherwise(let(several(t), plain)))
     return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).otherwise(joined)

@@ -60,8 +60,10 @@ def search(cards: DataFrame, fit: str = "all", category: str = "", tags: list[st
         out = out.where(F.array_contains("review_reasons", review))
     if text:
         needle = normalize(F.lit(text[:MAX_TEXT]))
-        # tags are looked at only where the fields do not decide
-        out = out.where(F.when(F.contains(normalize(F.concat_ws(" ", *over)), needle), True).otherwise(F.contains(normalize(F.concat_ws(" ", *[F.right(c, F.lit(MAX_TEXT)) for c in over], F.array_join("tags", " "))), needle)))
+        # a generator, so that tags are worked out once and not again in the filter; they are looked at only where the fields do not decide
+        columns = out.columns
+        out = out.select(*[c for c in columns if c != "tags"], F.inline(F.array(F.struct("tags"))))
+        out = out.where(F.when(F.contains(normalize(F.concat_ws(" ", *over)), needle), True).otherwise(F.contains(normalize(F.concat_ws(" ", *[F.right(c, F.lit(MAX_TEXT)) for c in over], F.array_join("tags", " "))), needle))).select(*columns)
     return out
 
 
