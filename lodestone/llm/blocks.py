@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 
+@cache
+def frugal() -> None:
+    """Has this worker give freed arrays back to the system at once. Workers stay for the stages that follow, beside those of other tasks and what the executor itself holds."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # arrays of 1 MB are mapped for themselves, whatever was freed before
+        libc.mallopt(-1, 2 << 20)  # free memory at the end of the heap goes back from 2 MB on
+
+
 def byte_blocks(column: pa.Array, max_bytes: int, max_rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into them) of at most max_bytes or one row each; nulls are empty."""
+    frugal()
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import byte_blocks
+from .blocks import byte_blocks, frugal
 from .common import arrow_batches, cut, small
 
 WORDS = 5
@@ -122,6 +122,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _likely(least: float):
     def run(batches):
+        frugal()
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.array(batch.column(i).flatten()).reshape(batch.num_rows, -1).view(np.uint16) for i in (2, 3))
@@ -138,6 +139,7 @@ def _set(text: str | None) -> set[bytes]:
 
 def _confirm(percent: int):
     def run(batches):
+        frugal()
         last, held = None, set()
         for batch in batches:
             a, b, ta, tb = (batch.column(i) for i in range(4))
@@ -185,6 +187,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _undecided(least: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        frugal()
         """Rows of one block of a bucket that have a likely partner of another component, not met in an earlier band.
 
         The block's own rows meet all rows outside the bucket's main component;
@@ -218,6 +221,7 @@ def _sets(batches):
 
 def _bridges(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        frugal()
         """Pairs of one block of a bucket whose whole sets are similar enough, as many as it takes to join their components."""
         sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
         size = np.array([len(x) for x in sets])

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import frugal
 from .common import arrow_batches
 
 #: The mark that stands for a space in piece vocabularies.
@@ -302,6 +303,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     kinds = (pa.list_(pa.list_(pa.int32())), pa.list_(pa.float64()), pa.bool_())
 
     def run(batches):
+        frugal()
         pieces = lattice(model)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
