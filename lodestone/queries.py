@@ -611,7 +611,8 @@ def listing_adverts(spark, sf_dir):
 _ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 
 
-@register(rf"""WITH p AS (SELECT page_id, page_id % 4 AS k, {_visible(_ARTICLE)} AS body FROM pages)
+# Where the fourth shape's own element is too short, the one around it counts, with the word before it.
+@register(rf"""WITH a AS (SELECT page_id, page_id % 4 AS k, {_visible(_ARTICLE)} AS t FROM pages), p AS (SELECT page_id, k, CASE WHEN k = 3 AND length(t) < 100 THEN 'Top' || t ELSE t END AS body FROM a)
 SELECT page_id, CASE k WHEN 0 THEN 'Head ' || page_id WHEN 1 THEN 'First' WHEN 2 THEN 'Posted' ELSE 'Op' END AS title, CASE k WHEN 0 THEN 'Alfa' WHEN 2 THEN 'Beta' ELSE 'N/A' END AS company, CASE k WHEN 0 THEN 'Orhei' WHEN 2 THEN 'Balti, Cahul' WHEN 3 THEN 'Ungheni' ELSE '' END AS location,
 CASE WHEN k = 2 THEN 'Remote' WHEN k = 3 THEN 'Oficiu' ELSE '' END AS work_mode, CASE k WHEN 0 THEN '900 EUR' WHEN 3 THEN '700' ELSE '' END AS salary, md5(CASE WHEN k <> 2 OR length(body) > 0 THEN body ELSE '' END) AS body_md5, CASE WHEN length(body) < 100 THEN 'description too short' WHEN length(body) > 25000 THEN 'description too long' END AS error FROM p""")
 def detail_pages(spark, sf_dir):
