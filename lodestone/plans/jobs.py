@@ -128,7 +128,9 @@ def filters(jobs: DataFrame, links: dict[str, sites.Site] = sites.SITES) -> Data
     """(facet, name, n): what the cards can be filtered by, zeros included: fits, categories, review reasons, tags, and how many adverts are excluded."""
     active = cards(jobs.where("status = 'active'"), links).select("entry_fit", "category", "review_reasons", "tags")
     dims = {"fit": ["beginner", "stretch", "review", "other"], "category": [k for k, _, _ in engine.DEFAULT.categories], "review": list(REVIEW)}
-    said = F.concat(F.array(F.struct(F.lit("fit").alias("facet"), F.col("entry_fit").alias("name")), F.struct(F.lit("fit").alias("facet"), F.lit("all").alias("name")), F.struct(F.lit("category").alias("facet"), F.col("category").alias("name"))), *[F.transform(c, lambda x, k=k: F.struct(F.lit(k).alias("facet"), x.alias("name"))) for c, k in (("review_reasons", "review"), ("tags", "tag"))])
+    one = lambda facet, name: F.struct(F.lit(facet).alias("facet"), name.alias("name"))
+    each = lambda facet, column: F.transform(column, lambda x: one(facet, x))
+    said = F.concat(F.array(one("fit", F.col("entry_fit")), one("fit", F.lit("all")), one("category", F.col("category"))), each("review", "review_reasons"), each("tag", "tags"))
     counted = active.select(F.explode(said).alias("x")).groupBy("x.facet", "x.name").agg(F.count("*").alias("n"))
     out = jobs.where("status = 'excluded'").agg(F.lit("excluded").alias("facet"), F.lit("excluded").alias("name"), F.count("*").alias("n"))
     known = jobs.sparkSession.createDataFrame([(f, n) for f, names in (dims | {"fit": [*dims["fit"], "all"]}).items() for n in names], "facet string, name string")
