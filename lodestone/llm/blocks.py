@@ -22,7 +22,6 @@ def frugal() -> None:
 
 def byte_blocks(column: pa.Array, max_bytes: int, max_rows: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into them) of at most max_bytes or one row each; nulls are empty."""
-    frugal()
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]

@@ -98,6 +98,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
+    frugal()
     for batch in batches:
         for a, b, data, offsets in byte_blocks(batch.column(1), 1 << 18, 512):
             row, value = shingles(data, offsets)
@@ -211,6 +212,7 @@ def _undecided(least: float):
 
 
 def _sets(batches):
+    frugal()
     for batch in batches:
         for first, end, data, offsets in byte_blocks(batch.column(1), 1 << 20, 512):
             row, value = shingles(data, offsets)

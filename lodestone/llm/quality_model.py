@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_rules, weak, wording
-from .blocks import bucket, byte_blocks, grams
+from .blocks import bucket, byte_blocks, frugal, grams
 from .common import arrow_batches, free
 
 #: Buckets of byte grams, and of words beside them.
@@ -111,6 +111,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", out_col:
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE + 1 numbers
 
     def rate(batches):
+        frugal()
         w = sent.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import byte_blocks
+from .blocks import byte_blocks, frugal
 
 # Words that belittle a person, and words that do so beside a plain meaning.
 INSULTS = {
@@ -96,6 +96,7 @@ def voted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The votes on the wording of each whole text."""
 
     def run(batches):
+        frugal()
         for batch in batches:
             for _, _, data, offsets in byte_blocks(batch.column(0), 1 << 18, 64):
                 cast = votes(counts(words(data, offsets), len(offsets) - 1))
