@@ -122,3 +122,17 @@ def test_postings_through_graphs(spark):
     assert one(spark, title, p=said(post % "a", post % "b")) == "a" and one(spark, title, p=said("[[[" + post % "deep" + "]]]")) == "deep"
     assert one(spark, title, p=said('{"@graph":{"@type":"JobPosting","title":"in"},"@type":"JobPosting","title":"out"}')) == "out"
     assert one(spark, title, p=said("nonsense", "3", "null", '{"@type":"Event","title":"no"}')) is None and one(spark, title, p="<script>" + post % "x" + "</script>") is None
+
+
+def test_memory_of_a_batch_of_pages():
+    """A batch of 2,000 pages is parsed without its trees standing as Python objects all at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages_ = pa.array(["<div class='a b' id=x>" + "<p data-k=v>word <b>bold</b></p>" * 40 + "</div>", None] * 1000)
+    tracemalloc.start()
+    got = el._trees(pages_)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2000 and len(got[0]) == 202 and len(got[1]) == 0 and most < 16 << 20
