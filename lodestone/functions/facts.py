@@ -34,7 +34,7 @@ LATER = r"after.{0,30}(?:internship|training)|dupa.{0,25}(?:stagiu|instruire)|п
 LABEL = r"(?iu)^(?:salary|salari[au]l?|зарплата|compensation|remunerare)\s*:$"
 
 
-def experience(text: Column, requirements: Column | None = None, preferred: Column | None = None) -> Column:
+def experience(text: Column, requirements: Column | None = None, preferred: Column | None = None, held: Column | None = None) -> Column:
     """struct<required, preferred, alternatives array<struct<years, mentioned, evidence>>, minimum double>.
 
     Every mention of years or months counts that stands near a word for
@@ -43,10 +43,9 @@ def experience(text: Column, requirements: Column | None = None, preferred: Colu
     for none; ``mentioned`` is the larger number. Company age, training, mentors
     and driving do not count. A student alternative comes first, then options
     (worded so, or in ``preferred``). The minimum is the largest required
-    number, or null; 0 differs from null.
+    number, or null; 0 differs from null. ``held`` may give the records of the
+    text, where they are known already.
     """
-    asked = F.transform(records(F.lit("") if requirements is None else requirements, ""), lambda r: r["normalized"])
-    optional = F.lit("") if preferred is None else normalize(preferred)
     tail, head = (lambda s, n: F.substring(s, F.greatest(F.length(s) - n + 1, F.lit(1)), F.lit(n))), (lambda s, n: F.substring(s, F.lit(1), F.lit(n)))
 
     def mention(said: Column, n: Column, implied: Column, wished: Column, pieces: Column, m: Column, i: Column) -> Column:
@@ -61,7 +60,7 @@ def experience(text: Column, requirements: Column | None = None, preferred: Colu
         value = F.when(tail(before, 20).rlike(UPPER), F.lit(0.0)).otherwise(years(low))
         return F.struct(value.alias("years"), years(F.coalesce(high, low)).alias("mentioned"), said.alias("evidence"), kind.alias("kind"), counted.alias("counted"))
 
-    def read(r: Column) -> Column:
+    def read(r: Column, asked: Column, optional: Column) -> Column:
         def numbered(n: Column) -> Column:
             implied = F.array_contains(asked, r["normalized"]) & n.rlike(MINIMUM)
             wished = (F.length(optional) > 0) & F.contains(optional, r["normalized"])
@@ -77,8 +76,12 @@ def experience(text: Column, requirements: Column | None = None, preferred: Colu
         of = lambda k: F.transform(F.filter(found, lambda x: x["kind"] == k), lambda x: F.struct(x["years"].alias("years"), x["mentioned"].alias("mentioned"), x["evidence"].alias("evidence")))
         return F.struct(of("required").alias("required"), of("preferred").alias("preferred"), of("alternatives").alias("alternatives"), F.array_max(F.transform(of("required"), lambda x: x["years"])).alias("minimum"))
 
-    timed = F.filter(records(text, ""), lambda r: r["normalized"].rlike(r"years?|yrs?|\ban\b|ani|лет|год|luni|month|месяц"))
-    return let(F.flatten(F.array_compact(F.transform(timed, read))), buckets)
+    timed = F.filter(records(text, "") if held is None else held, lambda r: r["normalized"].rlike(r"years?|yrs?|\ban\b|ani|лет|год|luni|month|месяц"))
+    # what sentences are held against is worked out once a text, not once a sentence
+    listed = F.transform(records(F.lit("") if requirements is None else requirements, ""), lambda r: r["normalized"])
+    against = F.struct(listed.alias("asked"), (F.lit("") if preferred is None else normalize(preferred)).alias("optional"))
+    found = let(against, lambda k: F.transform(timed, lambda r: read(r, k["asked"], k["optional"])))
+    return let(F.flatten(F.array_compact(found)), buckets)
 
 
 def salary(field: Column, title: Column, text: Column, unclear: Column | None = None) -> Column:

@@ -28,7 +28,7 @@ def trimmed(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """array<string>: unchanged pieces of the text with their ends, which are line ends, ``;``, ``!``, ``?`` and periods before a space and a letter; e.g., i.e. and their like do not end one."""
     cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\n;!?])", f"$1{MARK}")
-    cut = F.regexp_replace(cut, r"(?iu)(?<!т\.\s?[дп])(?<![ei]\.\s?[ge])\.(?=\s+\p{L})", f".{MARK}")
+    cut = F.regexp_replace(cut, r"(?iu)\.(?<!т\.\s?[дп]\.)(?<![ei]\.\s?[ge]\.)(?=\s+\p{L})", f".{MARK}")
     return F.filter(F.transform(F.split(cut, MARK), trimmed), lambda s: F.length(s) > 0)
 
 
@@ -46,11 +46,35 @@ def accented(pattern: str) -> str:
     out, inside, escaped = [], False, False
     for c in pattern:
         inside = (c == "[") or (inside and c != "]")
-        out.append(f"[{c}{marks[c]}]" if c in marks and not inside and not escaped else c)
+        # marked forms are many and are tried on other characters than those of ASCII only
+        out.append(f"(?:{c}|(?!\\p{{ASCII}})[{c}{marks[c]}])" if c in marks and not inside and not escaped else c)
         escaped = c == "\\"
     return "".join(out)
 
 
+def _plain() -> dict[str, str]:
+    """Characters that a pattern takes for another one, whatever the case and, on Latin letters, the marks."""
+    out = {}
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        low = c.upper() if len(c.upper()) == 1 else c
+        low = low.lower() if len(low.lower()) == 1 else low
+        base = MARKED.get(c) or MARKED.get(low) or low
+        if base != c:
+            out[c] = base
+    return out
+
+
+_PLAIN = _plain()
+
+
+def plain(text: Column) -> Column:
+    """``text`` in lower case and without marks on Latin letters, of as many characters as before."""
+    return let(text, lambda t: F.when(~t.rlike(r"[^\x00-\x7F]"), F.lower(t)).otherwise(F.lower(F.translate(t, "".join(_PLAIN), "".join(_PLAIN.values())))))
+
+
 def sections(text: Column, headers: dict[str, str] | None = None) -> Column:
     """struct of intro, one field a section kind, and full_text.
 
@@ -61,9 +85,12 @@ def sections(text: Column, headers: dict[str, str] | None = None) -> Column:
     headers = headers or HEADERS
     body, kinds = F.coalesce(text, F.lit("")), list(headers)
     groups = "|".join(f"({accented(p)})" for p in headers.values())
-    header = rf"(?isu)(?<=\A|[\n.!?:]|[\n.!?:].)(?:{groups})|(?:{groups})(?=\s{{0,4}}:)"
+    around = r"(?<=\A|[\n.!?:]|[\n.!?:].)(?:{0})|(?:{0})(?=\s{{0,4}}:)"
+    header = "(?isu)" + around.format(groups)
     n = len(kinds)
-    marked = F.regexp_replace(body, header, MARK + "".join(f"${i + 1}${i + 1 + n}{_FIELD}" for i in range(n)))
+    # most texts hold no header, which a text of plain letters tells at less cost
+    some = plain(body).rlike(f"({'?s' if all(p == p.lower() for p in headers.values()) else '?isu'})" + around.format("|".join(headers.values())))
+    marked = F.when(~some, body).otherwise(F.regexp_replace(body, header, MARK + "".join(f"${i + 1}${i + 1 + n}{_FIELD}" for i in range(n))))
 
     def parted(parts: Column) -> Column:
         split = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.split(p, _FIELD, n + 1))

@@ -86,9 +86,9 @@ def evaluate(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     joined = lambda *parts: F.array_join(F.filter(F.array(*[c(f"_sec.{p}") for p in parts]), lambda x: F.length(x) > 0), "\n")
     or_all = lambda x: F.when(F.length(x) > 0, x).otherwise(c("_sec.full_text"))
     d = d.withColumn("_relevant", normalize(or_all(joined("intro", "responsibilities", "requirements"))))
-    d = d.withColumn("_exp", experience(c("text"), c("_sec.requirements"), c("_sec.preferred")))
     parts = {k: segments.records(c(f"_sec.{k}"), v) for k, v in segments.TITLES.items()}
     d = d.withColumns({"_whole": segments.records(c("text"), "Vacancy text"), "_requirements": parts["requirements"], "_preferred": parts["preferred"], "_by": F.concat(*[parts[k] for k in segments.TITLES])})
+    d = d.withColumn("_exp", experience(c("text"), c("_sec.requirements"), c("_sec.preferred"), c("_whole")))
     d = d.withColumn("_said", F.array_join(F.transform(F.filter("_by", lambda r: r["section"] != "Benefits"), lambda r: r["normalized"]), "\n"))
     d = categorised(d, rules)
     title, full, relevant, low = c("_title"), c("_full"), c("_relevant"), c("_exp.minimum")
