@@ -53,7 +53,9 @@ class Lattice:
                 self.bytes[int(text[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 found[text] = (i, model.get_score(i))
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
+        #: What each id stands for, in UTF-8.
+        self.raw = [byte_of.get(i) or t.encode() for i, t in enumerate(self.texts)]
         self.unknown = model.unk_id()
         if found and all(score == int(score) <= 0 for _, score in found.values()):  # merge ranks
             whole = math.log(sum(1 / (2 - score) for _, score in found.values()))
@@ -73,7 +75,10 @@ class Lattice:
         self.code_ids = np.array([self.ids[t][0] for t in texts], np.int32)[order]
         self.code_scores = np.array([self.ids[t][1] for t in texts], np.float64)[order]
         self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.codes >> np.uint64(42)).astype(np.int64)] = True
+        leading = (self.codes >> np.uint64(42)).astype(np.int64)
+        self.maybe[leading] = True
+        self.first = np.zeros(1 << 22, np.int32)
+        self.first[leading[::-1]] = np.arange(len(leading), dtype=np.int32)[::-1]
 
     @staticmethod
     def _code(characters: np.ndarray) -> np.uint64:
@@ -127,43 +132,52 @@ class Lattice:
         """
         rows, size = chars.shape
         width = min(self.longest, size)
-        arc = np.full((rows, size + 1, width + 1), _NONE)  # by end and length
-        piece = np.full((rows, size + 1, width + 1), -1, np.int32)
-        code = np.zeros((rows, size), np.uint64)
+        chars = np.ascontiguousarray(chars.T)
+        arc = np.full((size + 1, width + 1, rows), _NONE)  # by end and length; the rows lie side by side
+        piece = np.full((size + 1, width + 1, rows), -1, np.int32)
+        code = np.zeros((size, rows), np.uint64)
         for length in range(1, width + 1):
-            code = (code[:, : size - length + 1] + chars[:, length - 1 :] + np.uint64(1)) * _BASE
-            r, at = np.nonzero(self.maybe[(code >> np.uint64(42)).astype(np.int64)])
-            want = code[r, at]
-            hit = np.minimum(np.searchsorted(self.codes, want), len(self.codes) - 1)
+            code = (code[: size - length + 1] + chars[length - 1 :] + np.uint64(1)) * _BASE
+            at, r = np.nonzero(self.maybe[(code >> np.uint64(42)).astype(np.int64)])
+            want = code[at, r]
+            hit = self.first[(want >> np.uint64(42)).astype(np.int64)]
             same = self.codes[hit] == want
-            r, at, hit = r[same], at[same] + length, hit[same]
-            arc[r, at, length] = self.code_scores[hit]
-            piece[r, at, length] = self.code_ids[hit]
-        r, at = np.nonzero(piece[:, 1:, 1] < 0)
-        raw = chars[r, at].astype(np.int64)
-        arc[r, at + 1, 1], piece[r, at + 1, 1] = self.penalty * _width(raw), -2 - raw
-        best, rest = np.full((rows, size + 1), _NONE), np.full((rows, size + 1), _NONE)
-        best[:, 0] = rest[:, size] = 0
-        chosen = np.zeros((rows, size + 1), np.int64)
+            if not same.all():  # another piece of the same leading bits, or none
+                other = np.flatnonzero(~same)
+                hit[other] = np.minimum(np.searchsorted(self.codes, want[other]), len(self.codes) - 1)
+                same[other] = self.codes[hit[other]] == want[other]
+                at, r, hit = at[same], r[same], hit[same]
+            arc[at + length, length, r] = self.code_scores[hit]
+            piece[at + length, length, r] = self.code_ids[hit]
+        at, r = np.nonzero(piece[1:, 1] < 0)
+        raw = chars[at, r].astype(np.int64)
+        arc[at + 1, 1, r], piece[at + 1, 1, r] = self.penalty * _width(raw), -2 - raw
+        best, rest = np.full((size + 1, rows), _NONE), np.full((size + 1, rows), _NONE)
+        best[0] = rest[size] = 0
+        chosen = np.ones((size + 1, rows), np.int64)
         for end in range(1, size + 1):
             k = min(width, end)
-            arc[:, end, 1 : k + 1] += best[:, end - k : end][:, ::-1]  # from here on: the best that ends with this arc
-            chosen[:, end] = arc[:, end, :].argmax(axis=1)
-            best[:, end] = arc[:, end, :].max(axis=1)
+            here = arc[end, 1 : k + 1]
+            here += best[end - k : end][::-1]  # from here on: the best that ends with this arc
+            best[end] = here[0]
+            for j in range(1, k):
+                chosen[end, here[j] > best[end]] = j + 1
+                np.maximum(best[end], here[j], out=best[end])
         for end in range(size, 0, -1):
             k = min(width, end)
-            arc[:, end, :] += rest[:, end, None]  # the best through this arc
-            tail = arc[:, end, 1 : k + 1] - best[:, end - k : end][:, ::-1]
-            rest[:, end - k : end] = np.maximum(rest[:, end - k : end], tail[:, ::-1])
+            here = arc[end, 1 : k + 1]
+            here += rest[end]  # the best through this arc
+            tail = here - best[end - k : end][::-1]
+            rest[end - k : end] = np.maximum(rest[end - k : end], tail[::-1])
         ids = np.full((rows, size), -1, np.int32)
         live, at = np.arange(rows), np.full(rows, size)
         while len(live):
-            length = chosen[live, at]
-            arc[live, at, length] = _NONE
-            ids[live, at - length] = piece[live, at, length]
+            length = chosen[at, live]
+            arc[at, length, live] = _NONE
+            ids[live, at - length] = piece[at, length, live]
             at = at - length
             live, at = live[at > 0], at[at > 0]
-        return best[:, size], best[:, size] - arc.reshape(rows, -1).max(axis=1), ids
+        return best[size], best[size] - arc.reshape(-1, rows).max(axis=0), ids
 
     def solve(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of many segments: score of the best segmentation, loss of the second best, and the ids of the best of all in a row with their ends."""
@@ -210,7 +224,7 @@ class Lattice:
             number, first = coded.indices.to_numpy(), parts.offsets.to_numpy()
             keep = np.ones(len(number), bool)
             keep[first[:-1]] = False  # what stands before the first mark
-            return number[keep], [s.replace(" ", MARK) for s in coded.dictionary.to_pylist()], first - np.arange(len(first))
+            return number[keep], pc.replace_substring(coded.dictionary, " ", MARK).to_pylist(), first - np.arange(len(first))
         known: dict[str, int] = {}
         number, first = [], [0]
         for text in texts.to_pylist():
@@ -265,21 +279,7 @@ class Lattice:
 
     def decode(self, ids) -> str:
         """The text of the ids: encode() and decode() restore any text without the mark itself."""
-        byte_of = self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            return "".join(map(self.texts.__getitem__, ids)).replace(MARK, " ")[1:]
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.texts[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 _loaded: dict[str, Lattice] = {}

@@ -93,3 +93,19 @@ def test_tables(spark):
     assert len(got[1]["segmentations"]) == 3 and done.count() == len(rows)
     back = {r["doc_id"]: r["text"] for r in module.decode(done.selectExpr("doc_id", "get(segmentations, 1) AS ids"), PIECES).collect()}
     assert back == {1: "to be", 2: None, 3: None, 4: "a b"}
+
+
+def test_bytes_between_pieces_decode_as_each_run_by_itself(pieces):
+    """Runs of byte pieces, cut short or not, between others; and every piece is found by its leading bits, alone or not."""
+    draw, plain = random.Random(5), list(pieces.ids.values())
+    for _ in range(200):
+        ids = [draw.choice(plain)[0] if draw.random() < 0.5 else pieces.bytes[draw.choice((0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0xFF))] for _ in range(12)]
+        want, run = [], b""
+        for i in [*ids, None]:
+            b = next((b for b, k in pieces.bytes.items() if k == i), None)
+            if b is None:
+                want, run = [*want, run.decode("utf-8", "replace"), "" if i is None else pieces.texts[i]], b""
+            else:
+                run += bytes([b])
+        assert pieces.decode(ids) == "".join(want).replace(MARK, " ")[1:]
+    assert np.array_equal(pieces.first[(pieces.codes >> np.uint64(42)).astype(np.int64)], np.searchsorted(pieces.codes >> np.uint64(42), pieces.codes >> np.uint64(42)))
