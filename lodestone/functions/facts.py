@@ -14,6 +14,7 @@ YEARS = r"(?<![\p{L}\p{N}])(\d{1,2})(?:\s*(?:-|to|до)\s*(\d{1,2}))?\s*(?:\+|-
 MONTHS = r"luni|months?|месяц"
 ABOUT = r"experien[a-z]*|опыт[а-я]*"
 MINIMUM = r"minimum|minim|at least|cel putin|не менее|от \d"
+MAYBE = r"experien|опыт|minim|at least|cel putin|не менее|от "
 COMPANY = r"(?:company|compania|компания|работаем).{0,80}(?:years?|ani|лет)"
 MENTOR = r"mana dreapta a unui|mentored by|under (?:the )?(?:guidance|supervision) of|под руководством.{0,40}(?:наставника|коллеги)"
 DRIVING = r"стаж[а-я]* вождения|driving experience|experienta (?:de |in )?conducere"
@@ -76,7 +77,8 @@ def experience(text: Column, requirements: Column | None = None, preferred: Colu
         of = lambda k: F.transform(F.filter(found, lambda x: x["kind"] == k), lambda x: F.struct(x["years"].alias("years"), x["mentioned"].alias("mentioned"), x["evidence"].alias("evidence")))
         return F.struct(of("required").alias("required"), of("preferred").alias("preferred"), of("alternatives").alias("alternatives"), F.array_max(F.transform(of("required"), lambda x: x["years"])).alias("minimum"))
 
-    timed = F.filter(records(text, "") if held is None else held, lambda r: r["normalized"].rlike(r"years?|yrs?|\ban\b|ani|лет|год|luni|month|месяц"))
+    # what counts stands near a word for experience or in a sentence that names a minimum, and most sentences hold neither
+    timed = F.filter(records(text, "") if held is None else held, lambda r: r["normalized"].rlike(MAYBE) & r["normalized"].rlike(r"years?|yrs?|\ban\b|ani|лет|год|luni|month|месяц"))
     # what sentences are held against is worked out once a text, not once a sentence
     listed = F.transform(records(F.lit("") if requirements is None else requirements, ""), lambda r: r["normalized"])
     against = F.struct(listed.alias("asked"), (F.lit("") if preferred is None else normalize(preferred)).alias("optional"))

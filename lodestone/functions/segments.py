@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .folding import MARKED
+from .literals import Words, needed
 from .text import let, normalize
 
 #: Stands between pieces; it occurs in no text that passed clean().
@@ -89,7 +90,11 @@ def sections(text: Column, headers: dict[str, str] | None = None) -> Column:
     header = "(?isu)" + around.format(groups)
     n = len(kinds)
     # most texts hold no header, which a text of plain letters tells at less cost
-    some = plain(body).rlike(f"({'?s' if all(p == p.lower() for p in headers.values()) else '?isu'})" + around.format("|".join(headers.values())))
+    low = all(p == p.lower() for p in headers.values())
+    looked = lambda t: t.rlike(f"({'?s' if low else '?isu'})" + around.format("|".join(headers.values())))
+    # and of those most hold no word of any
+    words = Words(headers.values()) if low and all(map(needed, headers.values())) else None
+    some = let(plain(body), lambda t: F.when(t.rlike(words.any()), looked(t)).otherwise(False) if words else looked(t))
     marked = F.when(~some, body).otherwise(F.regexp_replace(body, header, MARK + "".join(f"${i + 1}${i + 1 + n}{_FIELD}" for i in range(n))))
 
     def parted(parts: Column) -> Column:

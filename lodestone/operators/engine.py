@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import segments
 from ..functions.facts import experience
+from ..functions.literals import Words
 from ..functions.text import normalize, shown_number
 from . import lexicon as lex
 from .rules import VERSION, Rules
 
 DEFAULT = Rules()
+_ABOUT = "experience|experienta|опыт"
 
 
 def phrase(words: str) -> str:
@@ -21,6 +23,11 @@ def phrase(words: str) -> str:
     return rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])"
 
 
+# What is looked for in whole texts and their sentences, and in what they ask for.
+_SAID = [lex.NO_EXPERIENCE, lex.ENTRY_BODY, lex.STUDENTS, phrase(lex.INTERNSHIP), lex.PRIOR, _ABOUT, lex.NO_DEGREE, lex.DEGREE, lex.FEE, lex.UNPAID, lex.TRAINING, lex.PAID_INTERNSHIP, lex.LATER_JOB, lex.PAID, lex.RELOCATION, *lex.ABROAD, lex.REMOTE_TEXT, lex.PART_TIME, lex.FLEXIBLE, lex.SHIFTS, lex.DRIVER]
+_DUTIES = [lex.ADVANCED, lex.PORTFOLIO, lex.CUSTOMERS]
+
+
 def has(text: Column, words: str) -> Column:
     """Whether words stand in an already normalized text; never null."""
     return said(text, phrase(words))
@@ -31,9 +38,9 @@ def said(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
-def first_match(text: Column, rules: list[tuple[str, str]]) -> Column:
+def first_match(text: Column, rules: list[tuple[str, str]], test=has) -> Column:
     """Name of the first rule that matches, null if none."""
-    return F.coalesce(*[F.when(has(text, p), F.lit(k)) for k, p in rules])
+    return F.coalesce(*[F.when(test(text, p), F.lit(k)) for k, p in rules])
 
 
 def last_reason(reasons: list[tuple[str, Column]]) -> Column:
@@ -56,12 +63,15 @@ def capped(points: Column, fit: Column) -> Column:
 def categorised(d: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     """``d`` (_title, _relevant) with category, _titled (found by the title) and _unrelated (why it is no such role, or null)."""
     title, relevant = F.col("_title"), F.col("_relevant")
+    words = Words([phrase(b) for _, _, b in rules.categories])
+    d = d.withColumn("_duties", words.standing(relevant))
+    stands = lambda text, p: words.when(F.col("_duties"), phrase(p), has(text, p))
     listed = F.when(has(title, lex.DEVELOPER) & ~said(title, lex.NOT_DEVELOPER), "Software Development").otherwise(first_match(title, [(k, t) for k, t, _ in rules.categories]))
     odd = has(title, lex.NON_TECH)
     d = d.withColumn("_titled", listed).withColumn("_odd", odd)
-    named = F.coalesce("_titled", F.when(~F.col("_odd"), first_match(relevant, [(k, b) for k, _, b in rules.categories])))
+    named = F.coalesce("_titled", F.when(~F.col("_odd"), first_match(relevant, [(k, b) for k, _, b in rules.categories], stands)))
     # a general name gives way to what the duties say
-    closer = first_match(relevant, [(k, b) for k, _, b in rules.categories if k not in ("General IT", "IT Internships")])
+    closer = first_match(relevant, [(k, b) for k, _, b in rules.categories if k not in ("General IT", "IT Internships")], stands)
     d = d.withColumn("_named", named).withColumn("_named", F.when(F.col("_named") == "General IT", F.coalesce(closer, F.lit("General IT"))).otherwise(F.col("_named")))
     planner = said(title, lex.PLANNED) & said(relevant, lex.PLANNING) & ~said(relevant, lex.CODING)
     d = d.withColumn("_unrelated", F.when(planner, lex.EXCLUDED["production"]).when(F.col("_named").isNull() | F.col("_odd"), lex.EXCLUDED["unrelated"]))
@@ -82,15 +92,28 @@ def evaluate(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     c, e = F.col, lambda k: F.coalesce(F.col(k), F.lit(""))
     kept = df.columns
     d = df.withColumn("_sec", segments.sections(c("text")))
-    d = d.withColumns({"_title": normalize(c("title")), "_full": segments.trimmed(normalize(c("text"))), "_mode": normalize(c("work_mode")), "_sched": normalize(c("schedule")), "_place": normalize(c("location")), "_pay": normalize(c("salary") if "salary" in kept else F.lit(""))})
+    d = d.withColumn("_text", normalize(c("text")))
+    d = d.withColumns({"_title": normalize(c("title")), "_full": segments.trimmed(c("_text")), "_mode": normalize(c("work_mode")), "_sched": normalize(c("schedule")), "_place": normalize(c("location")), "_pay": normalize(c("salary") if "salary" in kept else F.lit(""))})
     joined = lambda *parts: F.array_join(F.filter(F.array(*[c(f"_sec.{p}") for p in parts]), lambda x: F.length(x) > 0), "\n")
     or_all = lambda x: F.when(F.length(x) > 0, x).otherwise(c("_sec.full_text"))
-    d = d.withColumn("_relevant", normalize(or_all(joined("intro", "responsibilities", "requirements"))))
+    d = d.withColumn("_read", or_all(joined("intro", "responsibilities", "requirements")))
+    d = d.withColumn("_relevant", F.when(c("_read") == c("_sec.full_text"), c("_text")).otherwise(normalize(c("_read"))))
     parts = {k: segments.records(c(f"_sec.{k}"), v) for k, v in segments.TITLES.items()}
-    d = d.withColumns({"_whole": segments.records(c("text"), "Vacancy text"), "_requirements": parts["requirements"], "_preferred": parts["preferred"], "_by": F.concat(*[parts[k] for k in segments.TITLES])})
+    d = d.withColumn("_whole", segments.records(c("text"), "Vacancy text"))
+    # a text without headers is all of one kind, and its sentences are known
+    same = F.transform("_whole", lambda r: r.withField("section", F.lit(segments.TITLES["responsibilities"])))
+    parts["responsibilities"] = F.when(c("_sec.responsibilities") == segments.trimmed(c("_sec.full_text")), same).otherwise(parts["responsibilities"])
+    d = d.withColumns({"_requirements": parts["requirements"], "_preferred": parts["preferred"], "_by": F.concat(*[parts[k] for k in segments.TITLES])})
     d = d.withColumn("_exp", experience(c("text"), c("_sec.requirements"), c("_sec.preferred"), c("_whole")))
     d = d.withColumn("_said", F.array_join(F.transform(F.filter("_by", lambda r: r["section"] != "Benefits"), lambda r: r["normalized"]), "\n"))
     d = categorised(d, rules)
+    tongues = "|".join(rules.languages.values()) or r"(?!)"
+    whole, skilled, asked = Words([*_SAID, phrase(tongues)]), Words([phrase(p) for p in rules.skills.values()]), Words(_DUTIES)
+    d = d.withColumns({"_words": whole.standing(F.concat_ws("\n", "_title", "_full")), "_skills": skilled.standing(c("_said")), "_asks": asked.standing(c("_relevant"))})
+    heard = lambda n, p: whole.when(c("_words"), p, said(n, p))
+    duty = lambda n, p: asked.when(c("_asks"), p, said(n, p))
+    some_say = lambda rows, p, test: whole.when(c("_words"), p, F.exists(rows, test))
+    skill = lambda p: skilled.when(c("_skills"), phrase(p), has(c("_said"), p))
     title, full, relevant, low = c("_title"), c("_full"), c("_relevant"), c("_exp.minimum")
     both = F.concat_ws("\n", title, full)
     wished = lambda n: said(n, lex.OPTIONAL) | ((F.length("_sec.preferred") > 0) & F.contains(normalize(c("_sec.preferred")), n))
@@ -98,24 +121,25 @@ def evaluate(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     # Signals of applicants.
     prior = lambda n: said(n, lex.PRIOR) & ~said(n, lex.NO_EXPERIENCE) & (~said(n, lex.TOOL_USE) | said(n, lex.EMPLOYED))
     mentioned = F.exists(F.concat("_exp.required", "_exp.preferred", "_exp.alternatives"), lambda x: x["mentioned"] > 0)
-    speech = F.filter(segments.records(or_all(joined("requirements", "preferred", "intro", "responsibilities")), ""), lambda r: has(r["normalized"], "|".join(rules.languages.values()) or r"(?!)"))
+    speech = F.filter(segments.records(or_all(joined("requirements", "preferred", "intro", "responsibilities")), ""), lambda r: has(r["normalized"], tongues))
+    speech = whole.when(c("_words"), phrase(tongues), speech, F.array())
     d = d.withColumns(
         {
-            "_noexp": said(full, lex.NO_EXPERIENCE), "_etitle": has(title, lex.ENTRY_TITLE), "_ebody": said(full, lex.ENTRY_BODY), "_friendly": said(full, lex.STUDENTS), "_intern": has(both, lex.INTERNSHIP), "_senior": has(title, lex.SENIOR), "_advanced": said(relevant, lex.ADVANCED), "_mentioned": mentioned,
-            "_vague": F.exists("_requirements", lambda r: prior(r["normalized"]) & ~said(r["normalized"], lex.OPTIONAL) & ~said(r["normalized"], r"\d|students?|studenti")),
-            "_worked": F.exists(F.concat("_requirements", "_preferred"), lambda r: prior(r["normalized"])),
-            "_optional": F.exists("_by", lambda r: said(r["normalized"], "experience|experienta|опыт") & (said(r["normalized"], lex.OPTIONAL) | (r["section"] == "Preferred qualifications")) & ~said(r["normalized"], r"(?:company|compania|компания).{0,50}(?:years?|ani|лет)")),
-            "_nodegree": said(full, lex.NO_DEGREE), "_degree": F.exists("_requirements", lambda r: said(r["normalized"], lex.DEGREE) & ~said(r["normalized"], lex.OPTIONAL) & ~said(r["normalized"], lex.DEGREE_OR)),
+            "_noexp": heard(full, lex.NO_EXPERIENCE), "_etitle": has(title, lex.ENTRY_TITLE), "_ebody": heard(full, lex.ENTRY_BODY), "_friendly": heard(full, lex.STUDENTS), "_intern": heard(both, phrase(lex.INTERNSHIP)), "_senior": has(title, lex.SENIOR), "_advanced": duty(relevant, lex.ADVANCED), "_mentioned": mentioned,
+            "_vague": some_say("_requirements", lex.PRIOR, lambda r: prior(r["normalized"]) & ~said(r["normalized"], lex.OPTIONAL) & ~said(r["normalized"], r"\d|students?|studenti")),
+            "_worked": some_say(F.concat("_requirements", "_preferred"), lex.PRIOR, lambda r: prior(r["normalized"])),
+            "_optional": some_say("_by", _ABOUT, lambda r: said(r["normalized"], _ABOUT) & (said(r["normalized"], lex.OPTIONAL) | (r["section"] == "Preferred qualifications")) & ~said(r["normalized"], r"(?:company|compania|компания).{0,50}(?:years?|ani|лет)")),
+            "_nodegree": heard(full, lex.NO_DEGREE), "_degree": some_say("_requirements", lex.DEGREE, lambda r: said(r["normalized"], lex.DEGREE) & ~said(r["normalized"], lex.OPTIONAL) & ~said(r["normalized"], lex.DEGREE_OR)),
             "_speech": F.transform(speech, lambda r: F.struct(r["text"].alias("text"), r["normalized"].alias("normalized"), (said(r["normalized"], lex.LANGUAGE_COURSE) & ~said(r["normalized"], lex.LANGUAGE_KNOWN)).alias("course"), wished(r["normalized"]).alias("soft"), (~said(r["normalized"], lex.LANGUAGE_FREE) & said(r["normalized"], lex.LANGUAGE_LEVEL)).alias("hard"))),
         }
     )
     # Signals of training, pay and place.
     d = d.withColumns(
         {
-            "_course": said(title, lex.COURSE_TITLE) & ~said(title, lex.TEACHER), "_fee": said(full, lex.FEE) & F.exists("_whole", lambda r: said(r["normalized"], lex.FEE) & ~said(r["normalized"], lex.NO_FEE)),
-            "_unpaid": said(full, lex.UNPAID), "_training": said(both, lex.TRAINING), "_ipaid": said(full, lex.PAID_INTERNSHIP), "_later": c("_intern") & said(full, lex.LATER_JOB), "_anypay": said(F.concat_ws("\n", "_pay", full), lex.PAID),
-            "_abroad": said(both, lex.RELOCATION) | (said(title, lex.ABROAD_TITLE) & reduce(lambda a, b: a & b, [said(full, p) for p in lex.ABROAD])),
-            "_there": F.length("_place") > 0, "_local": said(c("_place"), lex.LOCAL), "_remote": said(c("_mode"), lex.REMOTE_MODE) | said(full, lex.REMOTE_TEXT), "_hybrid": said(F.when(F.length("_mode") > 0, c("_mode")).otherwise(full), lex.HYBRID),
+            "_course": said(title, lex.COURSE_TITLE) & ~said(title, lex.TEACHER), "_fee": heard(full, lex.FEE) & F.exists("_whole", lambda r: said(r["normalized"], lex.FEE) & ~said(r["normalized"], lex.NO_FEE)),
+            "_unpaid": heard(full, lex.UNPAID), "_training": heard(both, lex.TRAINING), "_ipaid": heard(full, lex.PAID_INTERNSHIP), "_later": c("_intern") & heard(full, lex.LATER_JOB), "_anypay": said(c("_pay"), lex.PAID) | heard(full, lex.PAID),
+            "_abroad": heard(both, lex.RELOCATION) | (said(title, lex.ABROAD_TITLE) & reduce(lambda a, b: a & b, [heard(full, p) for p in lex.ABROAD])),
+            "_there": F.length("_place") > 0, "_local": said(c("_place"), lex.LOCAL), "_remote": said(c("_mode"), lex.REMOTE_MODE) | heard(full, lex.REMOTE_TEXT), "_hybrid": said(F.when(F.length("_mode") > 0, c("_mode")).otherwise(full), lex.HYBRID),
         }
     )
     entry = c("_etitle") | c("_ebody")
@@ -133,9 +157,9 @@ def evaluate(df: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     scripts = F.exists("_by", lambda r: (r["section"] != "Benefits") & has(r["normalized"], js) & ~(said(r["normalized"], lex.REACT_TO) & ~said(r["text"], lex.REACT)))
     tags = [
         ("No Experience Required", c("_noexp")), ("Students / Graduates Welcome", badge & ~c("_worked")), ("Junior / Entry Level", entry & ~c("_intern")), ("Internship / Trainee", c("_intern")), ("Experience Preferred", (F.size("_exp.preferred") > 0) | c("_optional")),
-        ("Employer Training", c("_training")), ("Paid Internship", c("_ipaid") & c("_intern")), ("Remote", c("_remote")), ("Hybrid", c("_hybrid")), ("Part Time", said(F.concat_ws("\n", "_sched", full), lex.PART_TIME)), ("Flexible Schedule", said(full, lex.FLEXIBLE)), ("Rotational Shifts", said(full, lex.SHIFTS)),
-        ("Driver's License", said(full, lex.DRIVER)), ("No Degree Required", c("_nodegree")), ("Portfolio", said(relevant, lex.PORTFOLIO)), ("Customer Facing", said(relevant, lex.CUSTOMERS)),
-        *[(k, (has(title, p) | has(c("_said"), p)) & (has(title, p) | scripts if p == js else F.lit(True))) for k, p in rules.skills.items()],
+        ("Employer Training", c("_training")), ("Paid Internship", c("_ipaid") & c("_intern")), ("Remote", c("_remote")), ("Hybrid", c("_hybrid")), ("Part Time", said(c("_sched"), lex.PART_TIME) | heard(full, lex.PART_TIME)), ("Flexible Schedule", heard(full, lex.FLEXIBLE)), ("Rotational Shifts", heard(full, lex.SHIFTS)),
+        ("Driver's License", heard(full, lex.DRIVER)), ("No Degree Required", c("_nodegree")), ("Portfolio", duty(relevant, lex.PORTFOLIO)), ("Customer Facing", duty(relevant, lex.CUSTOMERS)),
+        *[(k, (has(title, p) | skill(p)) & (has(title, p) | scripts if p == js else F.lit(True))) for k, p in rules.skills.items()],
     ]
     labels = [F.when(v, F.lit(k)) for k, v in tags]
     labels += [F.when(has(title, p) | spoken(p, "Required"), F.lit(f"{k} Required")).when(spoken(p, "Preferred"), F.lit(f"{k} Preferred")) for k, p in rules.languages.items()]
